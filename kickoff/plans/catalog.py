@@ -165,3 +165,6 @@ def q_elo(t):
 def q_elo_difference(t):
     """Home minus away Elo before each match."""
     return FE.elo_ratings(t.matches()).select(*MATCH_KEY, "elo_difference")
+
+
+from . import catalog_clean  # noqa: E402,F401
