@@ -123,6 +123,9 @@ def oracle_with(*ctes: str) -> str:
     return "WITH " + ",\n".join(parts) + "\n"
 
 
+_FEATURE_CACHE: dict = {}
+
+
 class Tables:
     """Lazy access to the driver tables and the derived stand-in inputs."""
 
@@ -149,5 +152,18 @@ class Tables:
     def users(self) -> DataFrame:
         return self.spark.sql(USERS_SQL, events=self.table("events"))
 
+    def features(self) -> DataFrame:
+        """The unfilled feature table of ``matches``, written once per session and
+        input folder to the shared checkpoint folder (cuts the long lineage)."""
+        from .operators.features import feature_matrix
+        from .session import scratch_path
+        key = (self.spark.sparkContext.applicationId, self.sf_dir)
+        path = _FEATURE_CACHE.get(key)
+        if path is None:
+            path = scratch_path(self.spark, "features")
+            feature_matrix(self.matches(), fill=False).write.mode("overwrite").parquet(path)
+            _FEATURE_CACHE[key] = path
+        return self.spark.read.parquet(path)
+
     def team_aliases(self) -> DataFrame:
         return self.spark.sql(TEAM_ALIASES_SQL, supplier=self.table("supplier"))

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 _LOCAL_BITS = 33  # monotonically_increasing_id = partition id << 33 | row number in partition
 
@@ -47,7 +48,7 @@ def weighted_position(df: DataFrame, order_cols: list, weight: str, out: str) ->
     """Add ``out`` = sum of ``weight`` over all rows before this one in the global order."""
     n = _parts(df)
     srt = df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
-    schema = srt.schema.add("_pid", "long").add("_local", "long")
+    schema = StructType(list(srt.schema.fields) + [StructField("_pid", LongType()), StructField("_local", LongType())])
 
     def number(batches):
         from pyspark import TaskContext
@@ -67,13 +68,14 @@ def weighted_position(df: DataFrame, order_cols: list, weight: str, out: str) ->
                     .drop("_pid", "_local", "_off"))
 
 
-def exact_medians(df: DataFrame, cols: list[str]) -> dict[str, float | None]:
-    """Exact interpolated median of every column (nulls ignored) in one distributed pass.
+def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float]) -> dict[str, list[float | None]]:
+    """Exact linearly interpolated quantiles of every column (nulls/NaN ignored), in
+    one distributed pass: the value at 0-based rank h = (n - 1) p is
+    v[floor h] + (v[ceil h] - v[floor h]) (h - floor h), as numpy's default.
 
     Values are unpivoted to (column, value), counted per distinct value (map-side
     combine), globally ordered by (column, value) with running counts, and the
-    one or two middle values of each column are picked. Only one number per
-    column reaches the driver.
+    ranks needed are picked. Only len(cols) x len(probs) numbers reach the driver.
     """
     if not cols:
         return {}
@@ -85,14 +87,25 @@ def exact_medians(df: DataFrame, cols: list[str]) -> dict[str, float | None]:
     per_name = counted.groupBy("name").agg(F.sum("cnt").alias("n"))
     w = Window.orderBy("name").rowsBetween(Window.unboundedPreceding, -1)
     starts = per_name.select("name", "n", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("start"))
-    starts = F.broadcast(starts)  # one row per requested column
-    lo = F.col("start") + F.floor((F.col("n") - 1) / 2)
-    hi = F.col("start") + F.ceil((F.col("n") - 1) / 2)
-    hit = pos.join(starts, "name")
+    targets = starts.select("name", "start", F.explode(F.array(*[
+        F.struct(F.lit(i).alias("qi"), ((F.col("n") - 1) * F.lit(float(p))).alias("h")) for i, p in enumerate(probs)
+    ])).alias("q")).select("name", "start", "q.qi", "q.h")
+    targets = F.broadcast(targets.select(  # len(cols) x len(probs) rows
+        "name", "qi", (F.col("h") - F.floor("h")).alias("frac"),
+        (F.col("start") + F.floor("h")).alias("lo"), (F.col("start") + F.ceil("h")).alias("hi")))
     covers = lambda k: (F.col("before") <= k) & (k < F.col("before") + F.col("cnt"))
-    picked = hit.where(covers(lo) | covers(hi)).select(
-        "name", F.when(covers(lo), F.col("value")).alias("lo_v"), F.when(covers(hi), F.col("value")).alias("hi_v"))
-    rows = picked.groupBy("name").agg(((F.max("lo_v") + F.max("hi_v")) / 2).alias("median")).collect()
-    out = {c: None for c in cols}
-    out.update({r["name"]: r["median"] for r in rows})
+    hit = pos.join(targets, "name").where(covers(F.col("lo")) | covers(F.col("hi")))
+    picked = hit.groupBy("name", "qi", "frac").agg(
+        F.max(F.when(covers(F.col("lo")), F.col("value"))).alias("v_lo"),
+        F.max(F.when(covers(F.col("hi")), F.col("value"))).alias("v_hi"))
+    rows = picked.select("name", "qi", (F.col("v_lo") + (F.col("v_hi") - F.col("v_lo")) * F.col("frac"))
+                         .alias("q")).collect()
+    out: dict[str, list[float | None]] = {c: [None] * len(probs) for c in cols}
+    for r in rows:
+        out[r["name"]][r["qi"]] = r["q"]
     return out
+
+
+def exact_medians(df: DataFrame, cols: list[str]) -> dict[str, float | None]:
+    """Exact interpolated median of every column (see ``exact_quantiles``)."""
+    return {c: v[0] for c, v in exact_quantiles(df, cols, [0.5]).items()}
