@@ -261,32 +261,37 @@ ELO_SCHEMA = ("league bigint, match_date date, home_team string, away_team strin
               "home_elo double, away_elo double")
 
 
+def elo_fold(pdf: pd.DataFrame, ratings: dict, k: float, start: float) -> pd.DataFrame:
+    """Ordered Elo fold over one league's rows (any order in, order key applied):
+    returns the pre-match ratings and updates ``ratings`` in place."""
+    pdf = pdf.sort_values(["match_date", "home_team", "away_team"], kind="mergesort")
+    he, ae = [], []
+    for h, a, r in zip(pdf["home_team"], pdf["away_team"], pdf["result"]):
+        rh = ratings.get(h, start)
+        ra = ratings.get(a, start)
+        he.append(rh)
+        ae.append(ra)
+        if r is None or pd.isna(r):
+            continue
+        exp_h = 1 / (1 + 10 ** ((ra - rh) / 400))
+        exp_a = 1 - exp_h
+        if r == 1:
+            sh, sa = 1, 0
+        elif r == -1:
+            sh, sa = 0, 1
+        else:
+            sh, sa = 0.5, 0.5
+        ratings[h] = rh + k * (sh - exp_h)
+        ratings[a] = ra + k * (sa - exp_a)
+    out = pdf[["league", "match_date", "home_team", "away_team"]].copy()
+    out["home_elo"] = he
+    out["away_elo"] = ae
+    return out
+
+
 def _elo_fold(k: float, start: float):
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["match_date", "home_team", "away_team"], kind="mergesort")
-        ratings: dict[str, float] = {}
-        he, ae = [], []
-        for h, a, r in zip(pdf["home_team"], pdf["away_team"], pdf["result"]):
-            rh = ratings.get(h, start)
-            ra = ratings.get(a, start)
-            he.append(rh)
-            ae.append(ra)
-            if r is None or pd.isna(r):
-                continue
-            exp_h = 1 / (1 + 10 ** ((ra - rh) / 400))
-            exp_a = 1 - exp_h
-            if r == 1:
-                sh, sa = 1, 0
-            elif r == -1:
-                sh, sa = 0, 1
-            else:
-                sh, sa = 0.5, 0.5
-            ratings[h] = rh + k * (sh - exp_h)
-            ratings[a] = ra + k * (sa - exp_a)
-        out = pdf[["league", "match_date", "home_team", "away_team"]].copy()
-        out["home_elo"] = he
-        out["away_elo"] = ae
-        return out
+        return elo_fold(pdf, {}, k, start)
     return fold
 
 

@@ -359,3 +359,48 @@ def _():
             + ", ".join(cols) + ", " + streaks
             + " FROM prev JOIN recent r USING (league, match_date, home_team, away_team, is_home))\n"
             + pivot(names + ["win_streak", "unbeaten_streak", "momentum"]))
+
+
+# ------------------------------------------------------------ Elo (ordered fold as a recursive CTE)
+
+ELO = """,
+ord AS (SELECT league, match_date, home_team, away_team, result,
+               ROW_NUMBER() OVER (PARTITION BY league ORDER BY match_date, home_team, away_team) AS k FROM matches),
+elo AS (
+  SELECT league, 0::BIGINT AS k, MAP {}::MAP(VARCHAR, DOUBLE) AS r, NULL::DATE AS match_date, NULL::VARCHAR AS home_team,
+         NULL::VARCHAR AS away_team, NULL::DOUBLE AS home_elo, NULL::DOUBLE AS away_elo
+  FROM (SELECT DISTINCT league FROM matches)
+  UNION ALL
+  SELECT league, k, CASE WHEN result IS NULL THEN r ELSE map_concat(r, MAP([home_team, away_team],
+             [rh + 32 * (sh - eh), ra + 32 * ((1 - sh) - (1 - eh))])) END,
+         match_date, home_team, away_team, rh, ra
+  FROM (SELECT o.league, o.k, e.r, o.match_date, o.home_team, o.away_team, o.result,
+               COALESCE(e.r[o.home_team], 1500.0) AS rh, COALESCE(e.r[o.away_team], 1500.0) AS ra,
+               CASE o.result WHEN 1 THEN 1.0 WHEN -1 THEN 0.0 ELSE 0.5 END AS sh,
+               1 / (1 + POW(10, (COALESCE(e.r[o.away_team], 1500.0) - COALESCE(e.r[o.home_team], 1500.0)) / 400)) AS eh
+        FROM elo e JOIN ord o ON o.league = e.league AND o.k = e.k + 1)),
+elo_out AS (SELECT league, match_date, home_team, away_team, home_elo, away_elo FROM elo WHERE k > 0)
+"""
+
+
+def _recursive(body: str) -> str:
+    return body.replace("WITH raw_matches", "WITH RECURSIVE raw_matches", 1)
+
+
+@sql("elo_ratings", "matches")
+def _():
+    return ELO + f"SELECT {MK}, ROUND(home_elo, 6) AS home_elo, ROUND(away_elo, 6) AS away_elo FROM elo_out"
+
+
+@sql("elo_difference", "matches")
+def _():
+    return ELO + f"SELECT {MK}, ROUND(home_elo - away_elo, 6) AS elo_difference FROM elo_out"
+
+
+@sql("elo_expected", "matches")
+def _():
+    return ELO + f"SELECT {MK}, ROUND(1 / (1 + POW(10, (away_elo - home_elo) / 400)), 6) AS expected_home FROM elo_out"
+
+
+for _name in ("elo_ratings", "elo_difference", "elo_expected"):
+    ORACLES[_name] = _recursive(ORACLES[_name])

@@ -245,3 +245,19 @@ def _():
 @sql("scan_standings_json", "matches")
 def _():
     return STANDINGS + f"SELECT {SNAP_COLS} FROM snap WHERE season = (SELECT MAX(season) FROM snap)"
+
+
+@sql("stream_leaderboard", "users")
+def _():
+    return f""", {ENTRIES}
+SELECT *, ROW_NUMBER() OVER (ORDER BY total_points DESC, ordinal) AS position FROM entries
+"""
+
+
+@sql("stream_standings", "matches")
+def _():
+    return STANDINGS + """
+SELECT team, played, wins, draws, losses, goals_for, goals_against,
+       CASE WHEN ordinal = 3 THEN NULL ELSE points END AS points, ordinal, league, season
+FROM snap
+"""

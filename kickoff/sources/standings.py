@@ -41,14 +41,15 @@ def standings_display(snapshot: DataFrame) -> DataFrame:
                            (F.col("goals_for") - F.col("goals_against")).alias("gd"))
 
 
-def sink_standings(snapshot: DataFrame, path: str) -> None:
+def sink_standings(snapshot: DataFrame, path: str, partition_cols=("season",)) -> None:
     """Replace the snapshot of the seasons present in ``snapshot``; other seasons stay.
 
-    Dynamic partition overwrite on the ``season`` directory.
+    Dynamic partition overwrite on the season directory (optionally nested
+    under league).
     """
     spark = snapshot.sparkSession
     spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    snapshot.write.mode("overwrite").partitionBy("season").json(path)
+    snapshot.write.mode("overwrite").partitionBy(*partition_cols).json(path)
 
 
 def scan_standings_json(spark: SparkSession, path: str, season: str | None = None) -> DataFrame:
