@@ -167,4 +167,4 @@ def q_elo_difference(t):
     return FE.elo_ratings(t.matches()).select(*MATCH_KEY, "elo_difference")
 
 
-from . import catalog_clean, catalog_eval, catalog_html, catalog_io, catalog_model, catalog_stats, catalog_stream  # noqa: E402,F401
+from . import catalog_clean, catalog_eval, catalog_html, catalog_io, catalog_model, catalog_requests, catalog_stats, catalog_stream  # noqa: E402,F401
