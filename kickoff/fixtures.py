@@ -139,12 +139,29 @@ class Tables:
             self._cache[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
         return self._cache[name]
 
+    def _stored(self, name: str, build) -> DataFrame:
+        """Derived input written once per session and input folder to the shared
+        checkpoint folder, then read back (a stored table, lineage cut)."""
+        from .session import scratch_path
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        path = _FEATURE_CACHE.get(key)
+        if path is None:
+            path = scratch_path(self.spark, name)
+            build().write.mode("overwrite").parquet(path)
+            _FEATURE_CACHE[key] = path
+        return self.spark.read.parquet(path)
+
     def raw_matches(self) -> DataFrame:
-        return self.spark.sql(RAW_MATCHES_SQL, lineitem=self.table("lineitem"),
-                              supplier=self.table("supplier"))
+        def build():
+            # the supplier count is one scalar: bind it as a literal instead of
+            # re-running the scalar subquery inside every expression
+            n = self.table("supplier").count()
+            text = RAW_MATCHES_SQL.replace(_N, str(n))
+            return self.spark.sql(text, lineitem=self.table("lineitem"))
+        return self._stored("raw_matches", build)
 
     def matches(self) -> DataFrame:
-        return self.spark.sql(MATCHES_SQL, raw_matches=self.raw_matches())
+        return self._stored("matches", lambda: self.spark.sql(MATCHES_SQL, raw_matches=self.raw_matches()))
 
     def predictions(self) -> DataFrame:
         return self.spark.sql(PREDICTIONS_SQL, matches=self.matches())
@@ -156,14 +173,7 @@ class Tables:
         """The unfilled feature table of ``matches``, written once per session and
         input folder to the shared checkpoint folder (cuts the long lineage)."""
         from .operators.features import feature_matrix
-        from .session import scratch_path
-        key = (self.spark.sparkContext.applicationId, self.sf_dir)
-        path = _FEATURE_CACHE.get(key)
-        if path is None:
-            path = scratch_path(self.spark, "features")
-            feature_matrix(self.matches(), fill=False).write.mode("overwrite").parquet(path)
-            _FEATURE_CACHE[key] = path
-        return self.spark.read.parquet(path)
+        return self._stored("features", lambda: feature_matrix(self.matches(), fill=False))
 
     def team_aliases(self) -> DataFrame:
         return self.spark.sql(TEAM_ALIASES_SQL, supplier=self.table("supplier"))

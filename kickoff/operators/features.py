@@ -65,18 +65,33 @@ def team_history(matches: DataFrame, depth: int = C.UNBEATEN_STREAK_SPAN,
 
 
 def form_columns(windows=C.FORM_WINDOWS) -> list[Column]:
-    """form_points_w / form_goals_w / form_conceded_w per appearance (needs ``hist``)."""
+    """form_points_w / form_goals_w / form_conceded_w per appearance (needs ``hist``).
+
+    One ``aggregate`` pass over the newest-first history accumulates every
+    window's sums (points of played matches; goals only when both sides known).
+    """
+    z = F.lit(0)
+    zd = F.lit(0.0)
+    init = F.struct(z.alias("i"), *[x for w in windows for x in (
+        z.alias(f"p{w}"), zd.alias(f"f{w}"), zd.alias(f"a{w}"))])
+
+    def step(acc, x):
+        both = x.gf.isNotNull() & x.ga.isNotNull()
+        fields = [(acc.i + 1).alias("i")]
+        for w in windows:
+            inw = acc.i < w
+            fields += [(acc[f"p{w}"] + F.when(inw, F.coalesce(x.points, z)).otherwise(z)).alias(f"p{w}"),
+                       (acc[f"f{w}"] + F.when(inw & both, x.gf).otherwise(zd)).alias(f"f{w}"),
+                       (acc[f"a{w}"] + F.when(inw & both, x.ga).otherwise(zd)).alias(f"a{w}")]
+        return F.struct(*fields)
+
+    acc = F.aggregate(F.reverse(F.col("hist")), init, step)
     out = []
     for w in windows:
-        h = last_n(F.col("hist"), w)
-        n = F.greatest(F.size(h), F.lit(1))
-        both = lambda x: x.gf.isNotNull() & x.ga.isNotNull()
-        pts = _sum(h, lambda x: F.coalesce(x.points, F.lit(0)))
-        gf = _sum(h, lambda x: F.when(both(x), x.gf).otherwise(F.lit(0.0)), 0.0)
-        ga = _sum(h, lambda x: F.when(both(x), x.ga).otherwise(F.lit(0.0)), 0.0)
-        out += [(pts / (n * 3.0)).alias(f"form_{w}"),
-                (gf / n).alias(f"goals_form_{w}"),
-                (ga / n).alias(f"conceded_form_{w}")]
+        n = F.greatest(F.least(F.size("hist"), F.lit(w)), F.lit(1))
+        out += [(acc[f"p{w}"] / (n * 3.0)).alias(f"form_{w}"),
+                (acc[f"f{w}"] / n).alias(f"goals_form_{w}"),
+                (acc[f"a{w}"] / n).alias(f"conceded_form_{w}")]
     return out
 
 
@@ -90,23 +105,35 @@ def form_features(matches: DataFrame, windows=C.FORM_WINDOWS) -> DataFrame:
 # ---------------------------------------------------------------- momentum & streaks
 
 def momentum_columns(recent: int = C.RECENT_LEAGUE_MATCHES) -> list[Column]:
-    """win_streak, unbeaten_streak, momentum over the league's last ``recent`` matches."""
+    """win_streak, unbeaten_streak, momentum over the league's last ``recent`` matches.
+
+    The team's entries inside the league window are a suffix of its history, so
+    one ``aggregate`` pass newest-first keeps: position, whether each streak is
+    still alive, the streak counts (win: first 10, unbeaten: first 15) and the
+    momentum sums over the first 8 (unplayed entries skipped, weight decays per
+    played entry).
+    """
     seen = F.filter(F.col("hist"), lambda x: x.g > F.col("gb") - recent)
-    wins = F.reverse(last_n(seen, C.WIN_STREAK_SPAN))
-    unbeaten = F.reverse(last_n(seen, C.UNBEATEN_STREAK_SPAN))
-    mom = F.reverse(last_n(seen, C.MOMENTUM_SPAN))
-    played = F.filter(mom, lambda x: x.points.isNotNull())
-    # (momentum, total weight, next weight), weights decay per *played* match
-    acc = F.aggregate(
-        played,
-        F.struct(F.lit(0.0).alias("m"), F.lit(0.0).alias("tw"), F.lit(1.0).alias("w")),
-        lambda a, x: F.struct((a.m + (x.points / 3.0) * a.w).alias("m"), (a.tw + a.w).alias("tw"),
-                              (a.w * C.MOMENTUM_DECAY).alias("w")))
-    momentum = (F.when(F.size(mom) == 0, F.lit(C.MOMENTUM_DEFAULT))
+    t, f = F.lit(True), F.lit(False)
+    init = F.struct(F.lit(0).alias("i"), t.alias("wa"), F.lit(0).alias("wc"), t.alias("ua"), F.lit(0).alias("uc"),
+                    F.lit(0.0).alias("m"), F.lit(0.0).alias("tw"), F.lit(1.0).alias("w"))
+
+    def step(a, x):
+        won = F.coalesce(x.points == 3, f)
+        unbeaten = F.coalesce(x.points >= 1, f)
+        wa = a.wa & won & (a.i < C.WIN_STREAK_SPAN)
+        ua = a.ua & unbeaten & (a.i < C.UNBEATEN_STREAK_SPAN)
+        use = (a.i < C.MOMENTUM_SPAN) & x.points.isNotNull()
+        return F.struct((a.i + 1).alias("i"), wa.alias("wa"), (a.wc + F.when(wa, 1).otherwise(0)).alias("wc"),
+                        ua.alias("ua"), (a.uc + F.when(ua, 1).otherwise(0)).alias("uc"),
+                        (a.m + F.when(use, (x.points / 3.0) * a.w).otherwise(0.0)).alias("m"),
+                        (a.tw + F.when(use, a.w).otherwise(0.0)).alias("tw"),
+                        F.when(use, a.w * C.MOMENTUM_DECAY).otherwise(a.w).alias("w"))
+
+    acc = F.aggregate(F.reverse(seen), init, step)
+    momentum = (F.when(acc.i == 0, F.lit(C.MOMENTUM_DEFAULT))
                 .when(acc.tw > 0, acc.m / acc.tw).otherwise(F.lit(C.MOMENTUM_DEFAULT)))
-    return [_leading(wins, lambda x: x.points == 3).alias("win_streak"),
-            _leading(unbeaten, lambda x: x.points >= 1).alias("unbeaten_streak"),
-            momentum.alias("momentum")]
+    return [acc.wc.alias("win_streak"), acc.uc.alias("unbeaten_streak"), momentum.alias("momentum")]
 
 
 def momentum_features(matches: DataFrame) -> DataFrame:
