@@ -96,10 +96,10 @@ def form_columns(windows=C.FORM_WINDOWS) -> list[Column]:
 
 
 def form_features(matches: DataFrame, windows=C.FORM_WINDOWS) -> DataFrame:
-    apps = team_history(matches, depth=max(windows))
-    cols = form_columns(windows)
-    names = [c for w in windows for c in (f"form_{w}", f"goals_form_{w}", f"conceded_form_{w}")]
-    return pivot_sides(apps.select(*MATCH_KEY, "is_home", *cols), names)
+    """Form columns of both sides (see ``appearance_features``)."""
+    names = [f"{side}_{c}" for n in windows for c in (f"form_{n}", f"goals_form_{n}", f"conceded_form_{n}")
+             for side in ("home", "away")]
+    return appearance_features(matches).select(*MATCH_KEY, *names)
 
 
 # ---------------------------------------------------------------- momentum & streaks
@@ -137,51 +137,138 @@ def momentum_columns(recent: int = C.RECENT_LEAGUE_MATCHES) -> list[Column]:
 
 
 def momentum_features(matches: DataFrame) -> DataFrame:
-    apps = team_history(matches, depth=C.UNBEATEN_STREAK_SPAN, with_league_ordinal=True)
-    return pivot_sides(apps.select(*MATCH_KEY, "is_home", *momentum_columns()),
-                       ["win_streak", "unbeaten_streak", "momentum"])
+    """Streak and momentum columns of both sides (see ``appearance_features``)."""
+    names = [f"{side}_{c}" for c in ("win_streak", "unbeaten_streak", "momentum") for side in ("home", "away")]
+    return appearance_features(matches).select(*MATCH_KEY, *names)
 
 
 def appearance_features(matches: DataFrame) -> DataFrame:
-    """Form, streaks and momentum from one history pass (one exchange on team)."""
-    apps = team_history(matches, depth=C.UNBEATEN_STREAK_SPAN, with_league_ordinal=True)
-    cols = form_columns() + momentum_columns()
-    names = [c for w in C.FORM_WINDOWS for c in (f"form_{w}", f"goals_form_{w}", f"conceded_form_{w}")]
+    """Form (3/5/10), win/unbeaten streaks and momentum of both sides, one row per match.
+
+    Per team (one exchange on league, team), in match order:
+    * sums over the last w appearances = running sum - running sum w rows back
+      (``lag``), so every step is O(1) and code-generated;
+    * current win / unbeaten runs = row number - row number of the last
+      non-win / loss (running max);
+    * the league ordinals and points of the last 15 / 8 appearances are plain
+      ``lag`` columns (no arrays).
+    ``max_by(state, rn)`` over RANGE < day reads the state as of the team's last
+    appearance on an earlier date; same-day matches never see each other. The
+    league window ("last 50 league matches") keeps a suffix of that history of
+    length k; streaks are capped by k and momentum looks at the last min(k, 8).
+    A second aggregation on the match key puts both sides on one row.
+    """
+    m = league_ordinals(matches)
+    apps = team_unpivot(m, extra=["g", "gb"]).withColumn("_day", day_number())
+    w = Window.partitionBy("league", "team").orderBy("_day", "home_team", "away_team")
+    run = w.rowsBetween(Window.unboundedPreceding, 0)
+    w_prev = Window.partitionBy("league", "team").orderBy("_day").rangeBetween(Window.unboundedPreceding, -1)
+    both = F.col("gf").isNotNull() & F.col("ga").isNotNull()
+    apps = apps.select(
+        "*", F.coalesce(F.col("points"), F.lit(0)).alias("_p0"),
+        F.when(both, F.col("gf")).otherwise(F.lit(0.0)).alias("_f0"),
+        F.when(both, F.col("ga")).otherwise(F.lit(0.0)).alias("_a0"))
+    won = F.coalesce(F.col("points") == 3, F.lit(False))
+    unbeaten = F.coalesce(F.col("points") >= 1, F.lit(False))
+    step1 = apps.select(
+        *MATCH_KEY, "is_home", "team", "_day", "gb", "g", "points", F.row_number().over(w).alias("rn"),
+        F.sum("_p0").over(run).alias("cp"), F.sum("_f0").over(run).alias("cf"), F.sum("_a0").over(run).alias("ca"),
+        F.when(~won, 1).otherwise(0).alias("_nw"), F.when(~unbeaten, 1).otherwise(0).alias("_nu"))
+    span_g, span_p = C.UNBEATEN_STREAK_SPAN, C.MOMENTUM_SPAN
+    state = [F.col("rn")]
+    for n in C.FORM_WINDOWS:
+        for c, k in (("cp", "p"), ("cf", "f"), ("ca", "a")):
+            zero = F.lit(0) if c == "cp" else F.lit(0.0)
+            state.append((F.col(c) - F.coalesce(F.lag(c, n).over(w), zero)).alias(f"{k}{n}"))
+    state += [(F.col("rn") - F.coalesce(F.max(F.when(F.col("_nw") == 1, F.col("rn"))).over(run), F.lit(0)))
+              .alias("wrun"),
+              (F.col("rn") - F.coalesce(F.max(F.when(F.col("_nu") == 1, F.col("rn"))).over(run), F.lit(0)))
+              .alias("urun")]
+    state += [(F.col("g") if j == 0 else F.lag("g", j).over(w)).alias(f"g{j + 1}") for j in range(span_g)]
+    state += [(F.col("points") if j == 0 else F.lag("points", j).over(w)).alias(f"q{j + 1}") for j in range(span_p)]
+    step2 = step1.select(*MATCH_KEY, "is_home", "_day", "gb", "team", *state)
+    names2 = [c for c in step2.columns if c not in MATCH_KEY + ["is_home", "_day", "gb", "team"]]
+    prev = step2.select(*MATCH_KEY, "is_home", "gb",
+                        F.max_by(F.struct(*names2), F.col("rn")).over(w_prev).alias("s"))
+    recent = C.RECENT_LEAGUE_MATCHES
+    # k = how many of the last 15 earlier appearances lie in the league's last 50 matches
+    inside = [F.when(F.col(f"s.g{j + 1}") > F.col("gb") - recent, 1).otherwise(0) for j in range(span_g)]
+    prev = prev.withColumn("_k", sum(inside[1:], inside[0]))
+    nb = F.coalesce(F.col("s.rn"), F.lit(0))
+    cols = []
+    for n in C.FORM_WINDOWS:
+        cnt = F.greatest(F.least(nb, F.lit(n)), F.lit(1))
+        cols += [(F.coalesce(F.col(f"s.p{n}"), F.lit(0)) / (cnt * 3.0)).alias(f"form_{n}"),
+                 (F.coalesce(F.col(f"s.f{n}"), F.lit(0.0)) / cnt).alias(f"goals_form_{n}"),
+                 (F.coalesce(F.col(f"s.a{n}"), F.lit(0.0)) / cnt).alias(f"conceded_form_{n}")]
+    k = F.col("_k")
+    wins = F.least(F.coalesce(F.col("s.wrun"), F.lit(0)), k, F.lit(C.WIN_STREAK_SPAN))
+    unb = F.least(F.coalesce(F.col("s.urun"), F.lit(0)), k, F.lit(C.UNBEATEN_STREAK_SPAN))
+    # momentum: newest first over the last min(k, 8); unplayed skipped, weight 0.9^(played entries before)
+    take = F.least(k, F.lit(span_p))
+    use = [(F.lit(j) < take) & F.col(f"s.q{j + 1}").isNotNull() for j in range(span_p)]
+    mom, tw = F.lit(0.0), F.lit(0.0)
+    for j in range(span_p):
+        before = sum([F.when(u, 1).otherwise(0) for u in use[:j]], F.lit(0))  # played entries newer than j
+        weight = F.pow(F.lit(C.MOMENTUM_DECAY), before)
+        mom = mom + F.when(use[j], (F.col(f"s.q{j + 1}") / 3.0) * weight).otherwise(0.0)
+        tw = tw + F.when(use[j], weight).otherwise(0.0)
+    momentum = F.when(take == 0, F.lit(C.MOMENTUM_DEFAULT)).when(tw > 0, mom / tw).otherwise(
+        F.lit(C.MOMENTUM_DEFAULT))
+    cols += [wins.alias("win_streak"), unb.alias("unbeaten_streak"), momentum.alias("momentum")]
+    names = [c for n in C.FORM_WINDOWS for c in (f"form_{n}", f"goals_form_{n}", f"conceded_form_{n}")]
     names += ["win_streak", "unbeaten_streak", "momentum"]
-    return pivot_sides(apps.select(*MATCH_KEY, "is_home", *cols), names)
+    return pivot_sides(prev.select(*MATCH_KEY, "is_home", *cols), names)
 
 
 # ---------------------------------------------------------------- head to head
 
 def head_to_head(matches: DataFrame, max_matches: int = C.H2H_MAX) -> DataFrame:
-    """Last ``max_matches`` earlier meetings of the pair, either venue order."""
+    """Last ``max_matches`` earlier meetings of the pair, either venue order.
+
+    Per unordered pair (one exchange), each meeting is scored from the side of
+    the alphabetically first team; sliding ROWS sums over the last
+    ``max_matches`` meetings are read as of the previous date with ``max_by``
+    and turned to the current home team's perspective. Unplayed meetings count
+    in n and add nothing.
+    """
     m = (matches.select(*MATCH_KEY, "home_goals", "away_goals", "result")
          .withColumn("pair_lo", F.least("home_team", "away_team"))
-         .withColumn("pair_hi", F.greatest("home_team", "away_team")))
-    m = with_team_history(m, ["home_team", "home_goals", "away_goals", "result"], max_matches,
-                          part=["league", "pair_lo", "pair_hi"])
-    h = F.col("hist")
-    cur = F.col("home_team")
-    same = lambda x: x.home_team == cur
-    signed = lambda x: F.when(same(x), x.result).otherwise(-x.result)
-    hw = _sum(h, lambda x: F.when(signed(x) == 1, 1).otherwise(0))
-    aw = _sum(h, lambda x: F.when(signed(x) == -1, 1).otherwise(0))
-    dr = _sum(h, lambda x: F.when(x.result == 0, 1).otherwise(0))
-    hg = _sum(h, lambda x: F.when(x.result.isNull(), 0.0)
-              .otherwise(F.when(same(x), x.home_goals).otherwise(x.away_goals)), 0.0)
-    ag = _sum(h, lambda x: F.when(x.result.isNull(), 0.0)
-              .otherwise(F.when(same(x), x.away_goals).otherwise(x.home_goals)), 0.0)
-    n = F.size(h)
+         .withColumn("pair_hi", F.greatest("home_team", "away_team"))
+         .withColumn("_day", day_number()))
+    played = F.col("result").isNotNull()
+    lo_home = F.col("home_team") == F.col("pair_lo")
+    signed = F.when(lo_home, F.col("result")).otherwise(-F.col("result"))  # +1: first team won
+    one = lambda cond: F.when(F.coalesce(cond, F.lit(False)), 1).otherwise(0)
+    lo_goals = F.when(played, F.when(lo_home, F.col("home_goals")).otherwise(F.col("away_goals"))).otherwise(0.0)
+    hi_goals = F.when(played, F.when(lo_home, F.col("away_goals")).otherwise(F.col("home_goals"))).otherwise(0.0)
+    part = ["league", "pair_lo", "pair_hi"]
+    w = Window.partitionBy(*part).orderBy("_day", "home_team", "away_team")
+    fr = w.rowsBetween(-(max_matches - 1), 0)
+    st = m.select(*MATCH_KEY, "pair_lo", "pair_hi", "_day", F.row_number().over(w).alias("rn"),
+                  F.sum(one(signed == 1)).over(fr).alias("lw"), F.sum(one(signed == -1)).over(fr).alias("hw"),
+                  F.sum(one(F.col("result") == 0)).over(fr).alias("dr"),
+                  F.sum(F.coalesce(lo_goals, F.lit(0.0))).over(fr).alias("lg"),
+                  F.sum(F.coalesce(hi_goals, F.lit(0.0))).over(fr).alias("hg"))
+    w_prev = Window.partitionBy(*part).orderBy("_day").rangeBetween(Window.unboundedPreceding, -1)
+    prev = st.select(*MATCH_KEY, "pair_lo",
+                     F.max_by(F.struct("rn", "lw", "hw", "dr", "lg", "hg"), F.col("rn")).over(w_prev).alias("s"))
+    n = F.least(F.coalesce(F.col("s.rn"), F.lit(0)), F.lit(max_matches))
+    cur_lo = F.col("home_team") == F.col("pair_lo")
+    hw = F.when(cur_lo, F.col("s.lw")).otherwise(F.col("s.hw"))
+    aw = F.when(cur_lo, F.col("s.hw")).otherwise(F.col("s.lw"))
+    hgoals = F.when(cur_lo, F.col("s.lg")).otherwise(F.col("s.hg"))
+    agoals = F.when(cur_lo, F.col("s.hg")).otherwise(F.col("s.lg"))
     d = C.H2H_DEFAULTS
     none = n == 0
-    return m.select(
+    return prev.select(
         *MATCH_KEY,
         F.when(none, d["h2h_home_wins"]).otherwise(hw / n).alias("h2h_home_wins"),
         F.when(none, d["h2h_away_wins"]).otherwise(aw / n).alias("h2h_away_wins"),
-        F.when(none, d["h2h_draws"]).otherwise(dr / n).alias("h2h_draws"),
-        F.when(none, d["h2h_home_goals_avg"]).otherwise(hg / n).alias("h2h_home_goals_avg"),
-        F.when(none, d["h2h_away_goals_avg"]).otherwise(ag / n).alias("h2h_away_goals_avg"),
-        F.when(none, d["h2h_total_goals_avg"]).otherwise((hg + ag) / n).alias("h2h_total_goals_avg"),
+        F.when(none, d["h2h_draws"]).otherwise(F.col("s.dr") / n).alias("h2h_draws"),
+        F.when(none, d["h2h_home_goals_avg"]).otherwise(hgoals / n).alias("h2h_home_goals_avg"),
+        F.when(none, d["h2h_away_goals_avg"]).otherwise(agoals / n).alias("h2h_away_goals_avg"),
+        F.when(none, d["h2h_total_goals_avg"]).otherwise((hgoals + agoals) / n).alias("h2h_total_goals_avg"),
         n.cast("bigint").alias("h2h_matches_count"))
 
 
