@@ -113,34 +113,43 @@ def extract_fixtures(pages: DataFrame) -> DataFrame:
           .withColumn("_m_home", F.when(no_home, F.try_element_at(st, F.lit(1))).otherwise(F.col("_m_home"))))
     mapped = F.array(*[F.col(f"_m_{k}") for k in cols])
     p = p.withColumn("_need", F.coalesce(F.array_max(F.filter(mapped, lambda x: x.isNotNull())), F.lit(-1)) + 1)
-    r = p.select("league", "season_year", "_need", *[F.col(f"_m_{k}") for k in cols],
-                 F.explode(F.slice("_rows", 2, 1 << 30)).alias("_row"))
-    r = r.withColumn("_c", _cells(F.col("_row"))).where(F.size("_c") >= F.col("_need"))
     defaults = {"date": 0, "time": 1, "home": 2, "away": 3, "score": 4, "venue": 5, "attendance": 6}
 
-    def cell(k):
+    def cell(c, k):
         i = F.coalesce(F.col(f"_m_{k}"), F.lit(defaults[k]))
-        return F.when(i < F.size("_c"), F.element_at("_c", (i + 1).cast("int")))
-
-    def team(k):
-        c = cell(k)
-        link = F.regexp_extract(c, r"(?is)<a\b[^>]*>(.*?)</a>", 1)
-        has_link = c.rlike(r"(?is)<a\b")
-        return F.when(c.isNull(), F.lit("")).when(has_link, text_of(link)).otherwise(text_of(c))
-
-    txt = lambda k: F.coalesce(text_of(cell(k)), F.lit(""))
-    out = r.select(
-        "league", S.season_label("season_year").alias("season"),
-        S.parse_date_text(txt("date")).alias("date"), txt("time").alias("time"),
-        team("home").alias("home_team"), team("away").alias("away_team"),
-        txt("score").alias("score"), txt("venue").alias("venue"), txt("attendance").alias("attendance"))
+        return F.when(i < F.size(c), F.element_at(c, (i + 1).cast("int")))
+
+    def txt(c, k):
+        return F.coalesce(text_of(cell(c, k)), F.lit(""))
+
+    def team(c, k):
+        x = cell(c, k)
+        link = F.regexp_extract(x, r"(?is)<a\b[^>]*>(.*?)</a>", 1)
+        return F.when(x.isNull(), F.lit("")).when(x.rlike(r"(?is)<a\b"), text_of(link)).otherwise(text_of(x))
+
+    # Parse every body row of the page inside one array pass and filter there:
+    # each row's cells are extracted once, and no row predicate is pushed below
+    # (and re-evaluated before) the parsing.
+    cells = F.filter(F.transform(F.slice("_rows", 2, 1 << 30), lambda r: _cells(r)),
+                     lambda c: F.size(c) >= F.col("_need"))
+    parsed = F.transform(cells, lambda c: F.struct(
+        txt(c, "date").alias("date_text"), txt(c, "time").alias("time"), team(c, "home").alias("home_team"),
+        team(c, "away").alias("away_team"), txt(c, "score").alias("score"), txt(c, "venue").alias("venue"),
+        txt(c, "attendance").alias("attendance")))
+    p = p.withColumn("_parsed", parsed)
+
+    def keep(x):
+        h, a = x.home_team, x.away_team
+        return ((F.length(h) >= 2) & (F.length(a) >= 2)
+                & ~F.lower(h).isin(*C.HOME_HEADER_WORDS) & ~F.lower(a).isin(*C.AWAY_HEADER_WORDS))
+
+    rows = p.select("league", "season_year", F.explode(F.filter("_parsed", keep)).alias("x"))
+    out = rows.select("league", S.season_label("season_year").alias("season"),
+                      S.parse_date_text("x.date_text").alias("date"), "x.time", "x.home_team", "x.away_team",
+                      "x.score", "x.venue", "x.attendance")
     sc = S.parse_score("score")
-    out = (out.withColumn("home_goals", sc.home_goals).withColumn("away_goals", sc.away_goals)
-              .withColumn("result", S.result_label("home_goals", "away_goals")))
-    h, a = F.col("home_team"), F.col("away_team")
-    keep = ((F.length(h) >= 2) & (F.length(a) >= 2)
-            & ~F.lower(h).isin(*C.HOME_HEADER_WORDS) & ~F.lower(a).isin(*C.AWAY_HEADER_WORDS))
-    return out.where(keep)
+    return (out.withColumn("home_goals", sc.home_goals).withColumn("away_goals", sc.away_goals)
+               .withColumn("result", S.result_label("home_goals", "away_goals")))
 
 
 # ------------------------------------------------------------ standings
