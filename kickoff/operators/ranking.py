@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from ..session import materialize
+
 _LOCAL_BITS = 33  # monotonically_increasing_id = partition id << 33 | row number in partition
 
 
@@ -37,11 +39,15 @@ def global_index(df: DataFrame, order_cols: list, out: str, partitions: int | No
              .withColumn("_mid", F.monotonically_increasing_id())
              .withColumn("_pid", F.shiftright("_mid", _LOCAL_BITS))
              .withColumn("_local", F.col("_mid").bitwiseAND((1 << _LOCAL_BITS) - 1)))
+    # Partition ids are physical: store them once so the counts and the rows they
+    # offset come from the same numbering (two reads of one shuffle may be split
+    # differently by adaptive execution).
+    srt = materialize(srt.drop("_mid"), "global-index")
     counts = srt.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"))
     offs = F.broadcast(_offsets(counts, "_cnt"))
     return (srt.join(offs, "_pid")
                .withColumn(out, F.col("_off") + F.col("_local"))
-               .drop("_mid", "_pid", "_local", "_off"))
+               .drop("_pid", "_local", "_off"))
 
 
 def weighted_position(df: DataFrame, order_cols: list, weight: str, out: str) -> DataFrame:
@@ -60,7 +66,7 @@ def weighted_position(df: DataFrame, order_cols: list, weight: str, out: str) ->
             run += int(w.sum())
             yield pdf.assign(_pid=pid, _local=excl)
 
-    numbered = srt.mapInPandas(number, schema)
+    numbered = materialize(srt.mapInPandas(number, schema), "weighted-position")
     counts = numbered.groupBy("_pid").agg(F.sum(weight).alias("_cnt"))
     offs = F.broadcast(_offsets(counts, "_cnt"))
     return (numbered.join(offs, "_pid")
