@@ -20,8 +20,7 @@ from pyspark.sql import functions as F
 from ..functions import constants as C
 from ..session import materialize
 from ..functions.scalars import elo_expected  # noqa: F401  (documented twin of the fold below)
-from .history import (MATCH_KEY, day_number, last_n, league_ordinals, team_points, team_unpivot,
-                      with_team_history)
+from .history import MATCH_KEY, day_number, league_ordinals, team_points, team_unpivot, with_team_history
 
 
 # ---------------------------------------------------------------- helpers

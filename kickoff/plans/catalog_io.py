@@ -7,7 +7,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators.history import MATCH_KEY
 from ..operators.sets import slug_sources
 from ..session import scratch_path
 from ..sources import files as IO
@@ -100,5 +99,3 @@ def q_scan_slug_map(t):
     IO.sink_slug_map(slug_sources(t.matches()), path)
     return IO.scan_slug_map(t.spark, path)
 
-
-__all__ = ["MATCH_KEY"]
