@@ -4,5 +4,5 @@ from __future__ import annotations
 
 
 def all_oracles() -> dict[str, str]:
-    from . import oracles, oracles_clean, oracles_eval, oracles_html, oracles_model, oracles_requests, oracles_stats  # noqa: F401
+    from . import oracles, oracles_clean, oracles_eval, oracles_html, oracles_matrix, oracles_model, oracles_requests, oracles_stats  # noqa: F401
     return dict(oracles.ORACLES)
