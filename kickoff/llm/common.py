@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import checkpoint_dir
+from ..session import checkpoint_dir, scratch_path
 
 #: Python handles the texts of an Arrow batch in slices of about this many bytes.
 SLICE_BYTES = 4 << 20
@@ -26,6 +26,13 @@ def shared_folder(spark: SparkSession) -> str:
     return checkpoint_dir(spark)
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as a compressed table in the shared folder, and read back: for rows with texts."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def text_key(text: Column) -> Column:
     """128 bits that stand for a text: the grouping key of equal texts (null counts as empty)."""
     return F.unhex(F.md5(F.coalesce(text, F.lit(""))))

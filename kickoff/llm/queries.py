@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, packing, secrets, token_counts
+from . import decontaminate, jaccard_join, packing, quality_knn, quality_rules, secrets, sharding, substring_dedup, token_counts, toxicity
 from .common import documents
 
 
@@ -15,6 +15,11 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the words of 50-word windows that a smaller document has too."""
+    return substring_dedup.remove_repeats(documents(spark, sf_dir), 50, with_text=False).drop("kept")
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes and byte-level BPE tokens of every document."""
     return token_counts.token_counts(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"))
@@ -26,6 +31,31 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("hits")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document."""
+    return toxicity.toxicity_scores(documents(spark, sf_dir), documents(spark, sf_dir, "labels"), 0.3)
+
+
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents: 5-word shingles, similarity 0.8 or more."""
+    return jaccard_join.near_duplicates(documents(spark, sf_dir), 5, 80)
+
+
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 40 shards, counts at most one apart, equal texts together."""
+    return sharding.shard(documents(spark, sf_dir), 40)
+
+
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document."""
+    return quality_knn.quality_scores(documents(spark, sf_dir), documents(spark, sf_dir, "labels"), 0.7)
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document under the base rules and the certified cutoffs."""
+    return quality_rules.quality_rules(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents cut and packed into sequences of 2048 tokens."""
     return packing.pack(documents(spark, sf_dir), tokenizer_file("word_bpe_49k.json"), length=2048, end_id=1)
@@ -37,7 +67,9 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_counts, op3_decontamination, op9_packing, op10_secret_scan)}
+    found = (op1_substring_dedup, op2_token_counts, op3_decontamination, op4_toxicity, op5_jaccard_join,
+             op6_sharding, op7_quality_classifier, op8_quality_rules, op9_packing, op10_secret_scan)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
