@@ -39,4 +39,5 @@ def fitted(sample: DataFrame, fit: Callable[[list[str], list[int]], object]) ->
         rows = sorted((r["doc_id"], r["text"], r["label"]) for b in batches for r in b.to_pylist())
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit([r[1] for r in rows], [r[2] for r in rows]))], pa.binary())], names=["model"])
 
-    return pickle.loads(sample.repartition(1).mapInArrow(run, "model binary").first()["model"])
+    found = sample.repartition(1).mapInArrow(run, "model binary").first()
+    return fit([], []) if found is None else pickle.loads(found["model"])  # no labelled rows

@@ -93,15 +93,15 @@ def certified_cutoffs(labelled: DataFrame, risk: float, delta: float, rules: dic
     good = labelled.where("good")
     strata = good.select("stratum").distinct().count()  # at most MAX_STRATA + 1
     per_rule, per_test = risk / len(rules), delta / (len(rules) * max(strata, 1))
-    exceeded = [F.struct(F.lit(r).alias("rule"), F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c, r=r: F.col(r) > c)).alias("over"))
+    exceeded = [F.struct(F.lit(r).alias("rule"), F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c, r=r: F.col(r) > c)).alias("_m"))
                 for r, cuts in rules.items()]
-    counts = good.select("stratum", F.explode(F.array(*exceeded)).alias("x")).groupBy("stratum", "x.rule", "x.over").agg(F.count(F.lit(1)).alias("n"))
+    counts = good.select("stratum", F.explode(F.array(*exceeded)).alias("x")).groupBy("stratum", "x.rule", "x._m").agg(F.count(F.lit(1)).alias("n"))
     # cutoffs are exceeded from the strict end: a row over m cutoffs is over the last m
     grid = F.create_map(*[x for r, cuts in rules.items() for x in (F.lit(r), F.array(*map(F.lit, cuts)))])
-    spread = counts.groupBy("stratum", "rule").agg(F.sum("n").alias("n"), F.collect_list(F.struct("over", F.col("n").alias("rows"))).alias("_over"))  # a row a cutoff
+    spread = counts.groupBy("stratum", "rule").agg(F.sum("n").alias("n"), F.collect_list(F.struct("_m", F.col("n").alias("_n"))).alias("_over"))  # a row a cutoff
     spread = spread.withColumn("_cuts", grid[F.col("rule")])
     tests = spread.select("stratum", "rule", "n", "_over", F.posexplode("_cuts").alias("j", "cutoff"), F.size("_cuts").alias("m"))
-    tests = tests.withColumn("k", F.aggregate("_over", F.lit(0).cast("bigint"), lambda a, x: a + F.when(x.over >= F.col("m") - F.col("j"), x.rows).otherwise(F.lit(0))))
+    tests = tests.withColumn("k", F.aggregate("_over", F.lit(0).cast("bigint"), lambda a, x: a + F.when(x["_m"] >= F.col("m") - F.col("j"), x["_n"]).otherwise(F.lit(0))))
     passed = (F.col("k") <= F.col("n") * per_rule) & (tail(F.col("n"), F.when(F.col("k") <= F.col("n") * per_rule, F.col("k")).otherwise(F.lit(0)), per_rule) <= per_test)
     tests = tests.withColumn("passed", passed)
     stop = F.min(F.when(~F.col("passed"), F.col("j"))).over(Window.partitionBy("stratum", "rule"))
