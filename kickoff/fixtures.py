@@ -22,8 +22,8 @@ WITH b AS (
   SELECT l.l_orderkey, l.l_linenumber, l.l_partkey,
          l.l_suppkey % {_K} AS league,
          CAST(l.l_shipdate AS DATE) AS d,
-         'Team ' || LPAD(CAST(l.l_suppkey AS STRING), 4, '0') AS h,
-         'Team ' || LPAD(CAST((l.l_suppkey + {_K} * (l.l_partkey % {_SZ})) % {_N} AS STRING), 4, '0') AS a,
+         'Team ' || CAST(l.l_suppkey AS STRING) AS h,
+         'Team ' || CAST((l.l_suppkey + {_K} * (l.l_partkey % {_SZ})) % {_N} AS STRING) AS a,
          CAST(l.l_quantity AS INT) % 12 AS hg,
          CAST(l.l_orderkey % 13 AS INT) - 1 AS ag,
          CAST(FLOOR(l.l_extendedprice) AS BIGINT) AS att
@@ -81,10 +81,10 @@ SELECT user_id, 'user_' || CAST(user_id AS STRING) AS username,
 FROM {events} GROUP BY user_id
 """
 
-# Alias table for this input: "Team NNNN CF" -> "Team NNNN" for every supplier.
+# Alias table for this input: "Team N CF" -> "Team N" for every supplier.
 TEAM_ALIASES_SQL = """
-SELECT 'Team ' || LPAD(CAST(s_suppkey AS STRING), 4, '0') || ' CF' AS alias,
-       'Team ' || LPAD(CAST(s_suppkey AS STRING), 4, '0') AS canonical
+SELECT 'Team ' || CAST(s_suppkey AS STRING) || ' CF' AS alias,
+       'Team ' || CAST(s_suppkey AS STRING) AS canonical
 FROM {supplier}
 """
 

@@ -155,8 +155,12 @@ def find_duplicates(df: DataFrame, keys=("match_date", "home_team", "away_team")
 
 
 def time_split(df: DataFrame, fraction: float = C.TRAIN_FRACTION) -> DataFrame:
-    """Flag the first floor(fraction * n) matches of each league by order key as train."""
+    """Past matches, the first floor(fraction * n) of each league by order key flagged as train.
+
+    Unplayed matches are neither trained nor tested on and take no part in the split.
+    """
     from .history import league_ordinals
+    df, _ = split_past_future(df)
     n = df.groupBy("league").agg(F.count(F.lit(1)).alias("_n"))
     o = league_ordinals(df).join(n, "league")
     return o.withColumn("is_train", F.col("g") <= F.floor(F.col("_n") * F.lit(fraction))).drop("_n", "gb")
@@ -169,8 +173,3 @@ def season_filter(df: DataFrame, season) -> DataFrame:
 def sort_by_date(df: DataFrame) -> DataFrame:
     """Chronological order by the total order key (range-partitioned sort)."""
     return df.orderBy("league", "match_date", "home_team", "away_team")
-
-
-def first_k(df: DataFrame, part: list[str], order: list[str], k: int) -> DataFrame:
-    w = Window.partitionBy(*part).orderBy(*order)
-    return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k).drop("_rn")

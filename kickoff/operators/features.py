@@ -13,28 +13,19 @@ table on (league, season[, date]). No operator joins on ``date <``.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
 from ..session import materialize
-from ..functions.scalars import elo_expected  # noqa: F401  (documented twin of the fold below)
-from .history import MATCH_KEY, day_number, league_ordinals, team_points, team_unpivot, with_team_history
+from .history import MATCH_KEY, day_number, league_ordinals, team_points, team_unpivot
+from .joins import join_small
 
 
 # ---------------------------------------------------------------- helpers
 
-def _sum(arr: Column, fn, zero=0) -> Column:
-    return F.aggregate(arr, F.lit(zero), lambda acc, x: acc + fn(x))
-
-
-def _leading(arr: Column, pred) -> Column:
-    """Number of leading elements satisfying ``pred`` (null counts as false)."""
-    pos = F.array_position(F.transform(arr, lambda x: F.coalesce(pred(x), F.lit(False))), False)
-    return F.when(pos == 0, F.size(arr)).otherwise(pos - 1)
-
-
 def pivot_sides(apps: DataFrame, cols: list[str]) -> DataFrame:
     """join_home_away_features: one row per match with ``home_<c>`` / ``away_<c>``.
 
@@ -50,49 +41,22 @@ def pivot_sides(apps: DataFrame, cols: list[str]) -> DataFrame:
 
 # ---------------------------------------------------------------- form
 
-FORM_FIELDS = ["points", "gf", "ga"]
-
-
-def team_history(matches: DataFrame, depth: int = C.UNBEATEN_STREAK_SPAN,
-                 with_league_ordinal: bool = False) -> DataFrame:
-    """Appearances with the team's last ``depth`` earlier matches in ``hist``."""
-    fields = list(FORM_FIELDS)
-    if with_league_ordinal:
-        matches = league_ordinals(matches)
-        fields.append("g")
-    apps = team_unpivot(matches, extra=["g", "gb"] if with_league_ordinal else [])
-    return with_team_history(apps, fields, depth)
+def recent_counts(matches: DataFrame, recent: int = C.RECENT_LEAGUE_MATCHES) -> DataFrame:
+    """Appearances with ``g``, ``gb`` and ``recent_count``: the team's matches among the
+    league's last ``recent`` before the date (ordinals gb - recent + 1 to gb).
 
-
-def form_columns(windows=C.FORM_WINDOWS) -> list[Column]:
-    """form_points_w / form_goals_w / form_conceded_w per appearance (needs ``hist``).
-
-    One ``aggregate`` pass over the newest-first history accumulates every
-    window's sums (points of played matches; goals only when both sides known).
+    Appearances and window borders are put on one ordinal axis per team: a running count
+    of appearances read at gb and at gb - recent, no list of matches is built.
     """
-    z = F.lit(0)
-    zd = F.lit(0.0)
-    init = F.struct(z.alias("i"), *[x for w in windows for x in (
-        z.alias(f"p{w}"), zd.alias(f"f{w}"), zd.alias(f"a{w}"))])
-
-    def step(acc, x):
-        both = x.gf.isNotNull() & x.ga.isNotNull()
-        fields = [(acc.i + 1).alias("i")]
-        for w in windows:
-            inw = acc.i < w
-            fields += [(acc[f"p{w}"] + F.when(inw, F.coalesce(x.points, z)).otherwise(z)).alias(f"p{w}"),
-                       (acc[f"f{w}"] + F.when(inw & both, x.gf).otherwise(zd)).alias(f"f{w}"),
-                       (acc[f"a{w}"] + F.when(inw & both, x.ga).otherwise(zd)).alias(f"a{w}")]
-        return F.struct(*fields)
-
-    acc = F.aggregate(F.reverse(F.col("hist")), init, step)
-    out = []
-    for w in windows:
-        n = F.greatest(F.least(F.size("hist"), F.lit(w)), F.lit(1))
-        out += [(acc[f"p{w}"] / (n * 3.0)).alias(f"form_{w}"),
-                (acc[f"f{w}"] / n).alias(f"goals_form_{w}"),
-                (acc[f"a{w}"] / n).alias(f"conceded_form_{w}")]
-    return out
+    apps = team_unpivot(league_ordinals(matches), extra=["g", "gb"])
+    key = ["league", "team"]
+    events = apps.select(*key, F.col("g").alias("at"), F.lit(1).alias("one"), F.lit(None).cast("bigint").alias("asker"), F.lit(0).alias("sign"))
+    for shift, sign in ((0, 1), (recent, -1)):
+        events = events.unionByName(apps.select(*key, (F.col("gb") - shift).alias("at"), F.lit(0).alias("one"), F.col("g").alias("asker"), F.lit(sign).alias("sign")))
+    upto = Window.partitionBy(*key).orderBy("at").rangeBetween(Window.unboundedPreceding, 0)
+    counted = events.withColumn("_c", F.sum("one").over(upto)).where("asker IS NOT NULL")
+    per = counted.groupBy(*key, F.col("asker").alias("g")).agg(F.sum(F.col("_c") * F.col("sign")).cast("bigint").alias("recent_count"))
+    return apps.join(per, [*key, "g"])
 
 
 def form_features(matches: DataFrame, windows=C.FORM_WINDOWS) -> DataFrame:
@@ -104,38 +68,6 @@ def form_features(matches: DataFrame, windows=C.FORM_WINDOWS) -> DataFrame:
 
 # ---------------------------------------------------------------- momentum & streaks
 
-def momentum_columns(recent: int = C.RECENT_LEAGUE_MATCHES) -> list[Column]:
-    """win_streak, unbeaten_streak, momentum over the league's last ``recent`` matches.
-
-    The team's entries inside the league window are a suffix of its history, so
-    one ``aggregate`` pass newest-first keeps: position, whether each streak is
-    still alive, the streak counts (win: first 10, unbeaten: first 15) and the
-    momentum sums over the first 8 (unplayed entries skipped, weight decays per
-    played entry).
-    """
-    seen = F.filter(F.col("hist"), lambda x: x.g > F.col("gb") - recent)
-    t, f = F.lit(True), F.lit(False)
-    init = F.struct(F.lit(0).alias("i"), t.alias("wa"), F.lit(0).alias("wc"), t.alias("ua"), F.lit(0).alias("uc"),
-                    F.lit(0.0).alias("m"), F.lit(0.0).alias("tw"), F.lit(1.0).alias("w"))
-
-    def step(a, x):
-        won = F.coalesce(x.points == 3, f)
-        unbeaten = F.coalesce(x.points >= 1, f)
-        wa = a.wa & won & (a.i < C.WIN_STREAK_SPAN)
-        ua = a.ua & unbeaten & (a.i < C.UNBEATEN_STREAK_SPAN)
-        use = (a.i < C.MOMENTUM_SPAN) & x.points.isNotNull()
-        return F.struct((a.i + 1).alias("i"), wa.alias("wa"), (a.wc + F.when(wa, 1).otherwise(0)).alias("wc"),
-                        ua.alias("ua"), (a.uc + F.when(ua, 1).otherwise(0)).alias("uc"),
-                        (a.m + F.when(use, (x.points / 3.0) * a.w).otherwise(0.0)).alias("m"),
-                        (a.tw + F.when(use, a.w).otherwise(0.0)).alias("tw"),
-                        F.when(use, a.w * C.MOMENTUM_DECAY).otherwise(a.w).alias("w"))
-
-    acc = F.aggregate(F.reverse(seen), init, step)
-    momentum = (F.when(acc.i == 0, F.lit(C.MOMENTUM_DEFAULT))
-                .when(acc.tw > 0, acc.m / acc.tw).otherwise(F.lit(C.MOMENTUM_DEFAULT)))
-    return [acc.wc.alias("win_streak"), acc.uc.alias("unbeaten_streak"), momentum.alias("momentum")]
-
-
 def momentum_features(matches: DataFrame) -> DataFrame:
     """Streak and momentum columns of both sides (see ``appearance_features``)."""
     names = [f"{side}_{c}" for c in ("win_streak", "unbeaten_streak", "momentum") for side in ("home", "away")]
@@ -357,20 +289,14 @@ def league_position(matches: DataFrame) -> DataFrame:
     """home/away league position and points-per-game as of kick-off."""
     table = asof_season_table(matches).select(
         "league", "season_year", F.col("as_of").alias("match_date"), "team", "position", "points_per_game")
-    m = matches.select(*MATCH_KEY, "season_year")
-    home = table.select("league", "season_year", "match_date", F.col("team").alias("home_team"),
-                        F.col("position").alias("_hp"), F.col("points_per_game").alias("_hppg"))
-    away = table.select("league", "season_year", "match_date", F.col("team").alias("away_team"),
-                        F.col("position").alias("_ap"), F.col("points_per_game").alias("_appg"))
-    keys = ["league", "season_year", "match_date"]
-    out = (m.join(home, keys + ["home_team"], "left").join(away, keys + ["away_team"], "left")
-           .withColumn("home_league_position", F.coalesce("_hp", F.lit(C.POSITION_DEFAULT)).cast("bigint"))
-           .withColumn("away_league_position", F.coalesce("_ap", F.lit(C.POSITION_DEFAULT)).cast("bigint")))
-    return out.select(
+    apps = team_unpivot(matches, extra=["season_year"]).select(*MATCH_KEY, "season_year", "team", "is_home")
+    placed = apps.join(table, ["league", "season_year", "match_date", "team"], "left").select(
+        *MATCH_KEY, "is_home", F.coalesce("position", F.lit(C.POSITION_DEFAULT)).cast("bigint").alias("league_position"),
+        F.coalesce("points_per_game", F.lit(C.PPG_DEFAULT)).alias("points_per_game"))
+    return pivot_sides(placed, ["league_position", "points_per_game"]).select(
         *MATCH_KEY, "home_league_position", "away_league_position",
         (F.col("home_league_position") - F.col("away_league_position")).alias("position_difference"),
-        F.coalesce("_hppg", F.lit(C.PPG_DEFAULT)).alias("home_points_per_game"),
-        F.coalesce("_appg", F.lit(C.PPG_DEFAULT)).alias("away_points_per_game"))
+        "home_points_per_game", "away_points_per_game")
 
 
 # ---------------------------------------------------------------- Elo
@@ -379,50 +305,53 @@ ELO_SCHEMA = ("league bigint, match_date date, home_team string, away_team strin
               "home_elo double, away_elo double")
 
 
-def elo_fold(pdf: pd.DataFrame, ratings: dict, k: float, start: float) -> pd.DataFrame:
-    """Ordered Elo fold over one league's rows (any order in, order key applied):
-    returns the pre-match ratings and updates ``ratings`` in place."""
-    pdf = pdf.sort_values(["match_date", "home_team", "away_team"], kind="mergesort")
-    he, ae = [], []
-    for h, a, r in zip(pdf["home_team"], pdf["away_team"], pdf["result"]):
-        rh = ratings.get(h, start)
-        ra = ratings.get(a, start)
-        he.append(rh)
-        ae.append(ra)
-        if r is None or pd.isna(r):
-            continue
-        exp_h = 1 / (1 + 10 ** ((ra - rh) / 400))
-        exp_a = 1 - exp_h
-        if r == 1:
-            sh, sa = 1, 0
-        elif r == -1:
-            sh, sa = 0, 1
-        else:
-            sh, sa = 0.5, 0.5
-        ratings[h] = rh + k * (sh - exp_h)
-        ratings[a] = ra + k * (sa - exp_a)
-    out = pdf[["league", "match_date", "home_team", "away_team"]].copy()
-    out["home_elo"] = he
-    out["away_elo"] = ae
-    return out
-
-
-def _elo_fold(k: float, start: float):
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        return elo_fold(pdf, {}, k, start)
-    return fold
+class EloBook:
+    """Ratings of one league's teams, moved match by match in order."""
+
+    def __init__(self, k: float, start: float, ratings: dict[str, float] | None = None):
+        self.k, self.start = k, start
+        self.ratings = {} if ratings is None else ratings
+
+    def play(self, homes: list, aways: list, results: list) -> np.ndarray:
+        """Both ratings before each match; result 1/0/-1 for the home side, anything else leaves them."""
+        before = np.empty((len(results), 2))
+        book, k = self.ratings, self.k
+        for i, (h, a, result) in enumerate(zip(homes, aways, results)):
+            pair = before[i] = book.get(h, self.start), book.get(a, self.start)
+            if result in (1, 0, -1):
+                # what the home side wins over its expectation the away side loses
+                change = k * ((result + 1) / 2 - 1 / (1 + 10 ** ((pair[1] - pair[0]) / 400)))
+                book[h], book[a] = pair[0] + change, pair[1] - change
+        return before
+
+
+def _elo_stream(k: float, start: float):
+    """Rows sorted by league and match order, batch by batch; between batches only one league's ratings are held."""
+    def rate(batches):
+        league, book = None, None
+        for pdf in batches:
+            rated = []
+            for name, part in pdf.groupby("league", sort=False, dropna=False):
+                if book is None or name != league:
+                    league, book = name, EloBook(k, start)
+                before = book.play(part["home_team"].tolist(), part["away_team"].tolist(), part["result"].tolist())
+                rated.append(part.drop(columns="result").assign(home_elo=before[:, 0], away_elo=before[:, 1]))
+            if rated:
+                yield pd.concat(rated)
+    return rate
 
 
 def elo_ratings(matches: DataFrame, k_factor: float = C.ELO_K,
                 initial_rating: float = C.ELO_START) -> DataFrame:
     """Rating of both teams *before* each match; unplayed matches do not update.
 
-    Elo is an ordered fold, sequential inside a league, so each league is one
-    ``applyInPandas`` group carrying only the five columns the fold needs;
-    leagues run in parallel.
+    Elo is an ordered fold, sequential inside a league. Leagues are dealt over the
+    partitions and sorted by Spark (which spills); Python streams through the sorted rows
+    and holds one league's rating map, not its matches.
     """
     m = matches.select("league", "match_date", "home_team", "away_team", F.col("result").cast("double"))
-    out = m.groupBy("league").applyInPandas(_elo_fold(float(k_factor), float(initial_rating)), ELO_SCHEMA)
+    ordered = m.repartition("league").sortWithinPartitions("league", "match_date", "home_team", "away_team")
+    out = ordered.mapInPandas(_elo_stream(float(k_factor), float(initial_rating)), ELO_SCHEMA)
     return out.withColumn("elo_difference", F.col("home_elo") - F.col("away_elo"))
 
 
@@ -462,19 +391,21 @@ def label_encode(matches: DataFrame) -> DataFrame:
     hc = dense_codes(m, "home_team", "home_team_encoded")
     ac = dense_codes(m, "away_team", "away_team_encoded")
     vc = dense_codes(m, "_venue", "venue_encoded")
-    return (m.join(hc, "home_team").join(ac, "away_team").join(vc, "_venue")
-            .select(*MATCH_KEY, "home_team_encoded", "away_team_encoded", "venue_encoded"))
+    out = join_small(join_small(join_small(m, hc, "home_team", "inner"), ac, "away_team", "inner"), vc, "_venue", "inner")
+    return out.select(*MATCH_KEY, "home_team_encoded", "away_team_encoded", "venue_encoded")
 
 
 def median_fill(df: DataFrame, cols: list[str]) -> DataFrame:
     """Null features -> the exact (interpolated) median of the column over all rows."""
     from .ranking import exact_medians
-    med = exact_medians(df, cols)
+    counts = df.agg(*[F.count(F.when(F.col(c).isNull() | F.isnan(F.col(c).cast("double")), 1)).alias(c) for c in cols]).first() if cols else {}
+    med = exact_medians(df, [c for c in cols if counts[c]])
     return df.na.fill({c: float(v) for c, v in med.items() if v is not None})
 
 
 # ---------------------------------------------------------------- matrix
 
+# --- fixed values: the model's features in order ---
 FEATURE_COLUMNS = [
     "home_team_encoded", "away_team_encoded",
     "home_elo", "away_elo", "elo_difference",
@@ -494,8 +425,8 @@ FEATURE_COLUMNS = [
 
 
 def feature_table(matches: DataFrame) -> DataFrame:
-    """Every feature family joined on the match key (unfilled)."""
-    base = matches.select(*MATCH_KEY, "season_year", "home_goals", "away_goals", "result", "venue",
+    """Every feature family brought together on the match key (unfilled)."""
+    base = matches.select(*MATCH_KEY, "season_year", "home_goals", "away_goals", "result",
                           F.month("match_date").alias("month"),
                           F.weekday("match_date").alias("day_of_week"),
                           F.weekday("match_date").isin(5, 6).cast("int").alias("is_weekend"))
@@ -504,8 +435,9 @@ def feature_table(matches: DataFrame) -> DataFrame:
              label_encode(matches)]
     out = base
     for p in parts:
-        out = out.join(p, MATCH_KEY, "left")
-    return out
+        out = out.unionByName(p, allowMissingColumns=True)
+    # every family has one row per match: the one value that is not null
+    return out.groupBy(*MATCH_KEY).agg(*[F.max(c).alias(c) for c in out.columns if c not in MATCH_KEY])
 
 
 def feature_matrix(matches: DataFrame, fill: bool = True) -> DataFrame:

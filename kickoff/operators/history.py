@@ -94,11 +94,3 @@ def with_team_history(apps: DataFrame, fields: list[str], depth: int,
            .drop("_tail", "_rn", "_day"))
     return out
 
-
-def last_n(hist: Column, n: int) -> Column:
-    """The newest ``n`` entries of an oldest-first history array."""
-    return F.slice(hist, F.greatest(F.size(hist) - n + 1, F.lit(1)), n)
-
-
-def newest_first(hist: Column) -> Column:
-    return F.reverse(hist)

@@ -117,11 +117,9 @@ def q_momentum(t):
 
 @query("global_last_50")
 def q_global_last_50(t):
-    """League ordinal, earlier-date count, and how many of the team's last 15
-    earlier matches fall inside the league's last 50 matches before the date."""
-    apps = FE.team_history(t.matches(), depth=15, with_league_ordinal=True)
-    seen = F.filter("hist", lambda x: x.g > F.col("gb") - 50)
-    return apps.select(*APP_KEY, "g", "gb", F.size(seen).cast("bigint").alias("recent_count"))
+    """League ordinal, earlier-date count, and how many of the team's
+    matches are among the league's last 50 matches before the date."""
+    return FE.recent_counts(t.matches()).select(*APP_KEY, "g", "gb", "recent_count")
 
 
 @query("asof_season_table")

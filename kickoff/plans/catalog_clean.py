@@ -171,7 +171,7 @@ def q_find_duplicates(t):
 
 @query("time_split")
 def q_time_split(t):
-    """First floor(0.8 n) matches of each league by order key -> train."""
+    """First floor(0.8 n) past matches of each league by order key -> train."""
     return CL.time_split(t.matches()).select(*MATCH_KEY, "g", "is_train")
 
 

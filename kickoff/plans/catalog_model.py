@@ -64,8 +64,8 @@ def _prepared(t):
     f = MD.apply_impute(f, med)
     params = MD.robust_scale_fit(f.where(F.col("result").isNotNull()), cols)
     f = MD.label_index(MD.apply_scale(f, params))
-    split = CL.time_split(f.select(*MATCH_KEY)).select(*MATCH_KEY, "is_train")
-    f = f.join(split, MATCH_KEY)
+    split = CL.time_split(f.select(*MATCH_KEY, "home_goals", "away_goals", "result")).select(*MATCH_KEY, "is_train")
+    f = f.join(split, MATCH_KEY, "left")
     return MD.assemble(f, cols), cols
 
 

@@ -36,10 +36,10 @@ def q_stream_standings(t):
     pages.repartition("league", "season").write.partitionBy("league", "season").json(src)
     latest = snap.groupBy("league").agg(F.max("season").alias("season"))
     broken = latest.select("league", "season", F.lit("<html><body><p>maintenance</p></body></html>").alias("html"))
-    broken.write.mode("append").partitionBy("league", "season").json(src + "_late")
     J.stream_standings(spark, src, store, ckpt, files_per_trigger=10).awaitTermination()
-    # the late, unparsable pages arrive in a second stream run on the same checkpoint
-    J.stream_standings(spark, f"{src}_late", store, ckpt + "_late").awaitTermination()
+    # the late, unparsable pages arrive after that; the restarted stream goes on from the same checkpoint
+    broken.write.mode("append").partitionBy("league", "season").json(src)
+    J.stream_standings(spark, src, store, ckpt).awaitTermination()
     return spark.read.schema("team string, played bigint, wins bigint, draws bigint, losses bigint, "
                              "goals_for bigint, goals_against bigint, points bigint, ordinal bigint, "
                              "league bigint, season string").json(store)
@@ -47,12 +47,12 @@ def q_stream_standings(t):
 
 @query("stream_elo")
 def q_stream_elo(t):
-    """Matches arrive one season per file, oldest first; ratings kept as stream state."""
+    """Matches arrive season by season, oldest first, each in several files; ratings kept as stream state."""
     spark = t.spark
     src, sink, ckpt = (scratch_path(spark, n) for n in ("matches-in", "elo", "elo-ckpt"))
     m = t.matches()
     seasons = [r[0] for r in m.select("season_year").distinct().orderBy("season_year").collect()]
-    for s in seasons:  # one arrival per season, in season order
-        m.where(F.col("season_year") == s).write.mode("append").parquet(src)
-    J.stream_elo(spark, src, sink, ckpt).awaitTermination()
+    for s in seasons:  # one arrival per season, in season order; the stream resumes from its checkpoint
+        m.where(F.col("season_year") == s).repartition(4).write.mode("append").parquet(src)
+        J.stream_elo(spark, src, sink, ckpt).awaitTermination()
     return spark.read.parquet(sink)

@@ -263,8 +263,12 @@ def _():
 
 @sql("global_last_50", "matches")
 def _():
-    return APPS + LEAGUE_ORD + RECENT + f"""
-SELECT {MK}, is_home, g, gb, CAST(COALESCE(len(l), 0) AS BIGINT) AS recent_count FROM recent
+    return APPS + LEAGUE_ORD + f"""
+SELECT a.league, a.match_date, a.home_team, a.away_team, a.is_home, MIN(c.g) AS g, MIN(c.gb) AS gb, COUNT(q.g) AS recent_count
+FROM apps a
+JOIN lo c ON c.league = a.league AND c.match_date = a.match_date AND c.home_team = a.home_team AND c.away_team = a.away_team
+LEFT JOIN lo q ON q.league = a.league AND (q.home_team = a.team OR q.away_team = a.team) AND q.g <= c.gb AND q.g > c.gb - 50
+GROUP BY ALL
 """
 
 

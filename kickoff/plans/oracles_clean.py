@@ -250,7 +250,8 @@ def _():
     return f"""
 SELECT {MK}, g, g <= FLOOR(n * 0.8) AS is_train
 FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY league ORDER BY match_date, home_team, away_team) AS g,
-             COUNT(*) OVER (PARTITION BY league) AS n FROM matches)
+             COUNT(*) OVER (PARTITION BY league) AS n FROM matches
+      WHERE home_goals IS NOT NULL AND away_goals IS NOT NULL AND result IS NOT NULL)
 """
 
 

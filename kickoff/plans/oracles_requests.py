@@ -44,6 +44,7 @@ reqs AS (
   FROM matches WHERE result IS NULL),
 new_reqs AS (SELECT CAST(r.league AS BIGINT) AS league, CAST(r.match_date AS DATE) AS match_date, r.home_team, r.away_team
              FROM reqs r ANTI JOIN matches m USING (league, home_team, away_team, match_date)),
+asked AS (SELECT CAST(league AS BIGINT) AS league, CAST(match_date AS DATE) AS match_date, home_team, away_team FROM reqs),
 matches_all AS (
   SELECT league, match_date, home_team, away_team, home_goals, away_goals, result FROM matches
   UNION ALL SELECT league, match_date, home_team, away_team, NULL, NULL, NULL FROM new_reqs)
@@ -65,7 +66,7 @@ prev AS (
          max_by({{'points': p.points, 'gf': p.gf, 'ga': p.ga}}, {{'d': p.match_date, 'h': p.home_team, 'a': p.away_team}}, 10)
            FILTER (WHERE p.team IS NOT NULL) AS l
   FROM apps a LEFT JOIN apps p ON p.league = a.league AND p.team = a.team AND p.match_date < a.match_date
-  WHERE (a.league, a.match_date, a.home_team, a.away_team) IN (SELECT (league, match_date, home_team, away_team) FROM new_reqs)
+  WHERE (a.league, a.match_date, a.home_team, a.away_team) IN (SELECT (league, match_date, home_team, away_team) FROM asked)
   GROUP BY ALL)
 """
     sel = ", ".join(f"MAX(CASE WHEN is_home THEN {c} END) AS home_{c}, MAX(CASE WHEN NOT is_home THEN {c} END) AS away_{c}"

@@ -6,8 +6,11 @@ DataFrames; only this module decides session-wide settings.
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import SparkSession
@@ -18,8 +21,6 @@ from pyspark.sql import SparkSession
 REQUIRED_SQL_CONF = {
     # dates and timestamps are compared with DuckDB, which is zone-less
     "spark.sql.session.timeZone": "UTC",
-    # replace one season's snapshot without touching the others
-    "spark.sql.sources.partitionOverwriteMode": "dynamic",
 }
 
 
@@ -59,13 +60,15 @@ def configure(spark: SparkSession) -> None:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    A cluster names it; we only create one (locally) when the setting is
-    unset, which is the case in tests and the local bench.
+    A cluster names it; we only create one when the setting is unset and the master is
+    local, which is the case in tests and the local bench.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         path = spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = tempfile.mkdtemp(prefix="kickoff-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -73,9 +76,47 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+_scope = threading.local()
+_written: dict[str, SparkSession] = {}
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh, unique path inside the shared checkpoint folder."""
-    return f"{checkpoint_dir(spark)}/scratch/{name}-{uuid.uuid4().hex[:12]}"
+    """A fresh, unique path inside the shared checkpoint folder, removed with its
+    ``scratch_scope``, else when the process ends."""
+    path = f"{checkpoint_dir(spark)}/scratch/{name}-{uuid.uuid4().hex[:12]}"
+    if getattr(_scope, "paths", None) is not None:
+        _scope.paths.append(path)
+    if not _written:
+        atexit.register(_remove_written)
+    _written[path] = spark
+    return path
+
+
+def _remove(path: str) -> None:
+    spark = _written.pop(path, None)
+    if spark is None or spark.sparkContext._jsc is None:
+        return
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def _remove_written() -> None:
+    with contextlib.suppress(Exception):  # the session may be gone already
+        for path in list(_written):
+            _remove(path)
+
+
+@contextlib.contextmanager
+def scratch_scope():
+    """Paths made inside (by this thread) are removed at its end: for work whose result is
+    written elsewhere by then, such as one micro-batch."""
+    outer, _scope.paths = getattr(_scope, "paths", None), []
+    try:
+        yield
+    finally:
+        for path in _scope.paths:
+            _remove(path)
+        _scope.paths = outer
 
 
 def materialize(df, name: str):
@@ -83,7 +124,8 @@ def materialize(df, name: str):
 
     Cuts the lineage (a lost executor recomputes from the files, not from the
     whole upstream plan) at the cost of one columnar write; used where a long
-    plan would otherwise be re-planned into a slower shape.
+    plan would otherwise be re-planned into a slower shape, and where physical row
+    numbers must be the same for two readers.
     """
     path = scratch_path(df.sparkSession, name)
     df.write.mode("overwrite").parquet(path)

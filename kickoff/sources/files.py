@@ -8,8 +8,6 @@ several map documents (one per hash bucket) whose union is the whole map.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import MapType, StringType, StructField, StructType
@@ -40,9 +38,10 @@ def sink_csv(df: DataFrame, path: str) -> None:
     _writer(df).csv(path)
 
 
-def _read_csv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+def _read_csv(spark: SparkSession, path: str, schema: StructType, multi_line: bool = False) -> DataFrame:
+    """Files are split among tasks; only ``multi_line`` (line breaks inside quotes) reads a file as a whole."""
     return (spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE")
-            .option("multiLine", True).csv(path))
+            .option("multiLine", multi_line).csv(path))
 
 
 def _na_to_null(df: DataFrame) -> DataFrame:
@@ -50,9 +49,9 @@ def _na_to_null(df: DataFrame) -> DataFrame:
                        for c in df.columns])
 
 
-def scan_matches_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+def scan_matches_csv(spark: SparkSession, path: str, columns: list[str], multi_line: bool = False) -> DataFrame:
     """Raw match CSV, every column as text; pandas' missing markers -> null."""
-    return _na_to_null(_read_csv(spark, path, string_schema(columns)))
+    return _na_to_null(_read_csv(spark, path, string_schema(columns), multi_line))
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
@@ -62,17 +61,17 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(p))
 
 
-def scan_predictions_csv(spark: SparkSession, path: str) -> DataFrame:
+def scan_predictions_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """Predictions as text with missing -> ''; a missing file -> no rows."""
     schema = string_schema(PREDICTION_COLUMNS)
     if not path_exists(spark, path):
         return spark.createDataFrame([], schema)
-    return _na_to_null(_read_csv(spark, path, schema)).na.fill("")
+    return _na_to_null(_read_csv(spark, path, schema, multi_line)).na.fill("")
 
 
-def scan_fixtures_csv(spark: SparkSession, path: str) -> DataFrame:
+def scan_fixtures_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """Fixtures to score: home_team, away_team, date, optional venue."""
-    return _na_to_null(_read_csv(spark, path, string_schema(FIXTURE_COLUMNS)))
+    return _na_to_null(_read_csv(spark, path, string_schema(FIXTURE_COLUMNS), multi_line))
 
 
 def union_season_extracts(spark: SparkSession, matches: DataFrame) -> DataFrame:
@@ -92,18 +91,16 @@ def union_season_extracts(spark: SparkSession, matches: DataFrame) -> DataFrame:
 
 SLUG_MAP_SCHEMA = StructType([StructField("teams", MapType(StringType(), StringType())),
                               StructField("stadiums", MapType(StringType(), StringType()))])
-SLUG_MAP_SHARD_ROWS = 50_000
+#: Map documents that every slug map is written as.
+SLUG_MAP_SHARDS = 64
 
 
-def sink_slug_map(sources: DataFrame, path: str) -> None:
+def sink_slug_map(sources: DataFrame, path: str, shards: int = SLUG_MAP_SHARDS) -> None:
     """Write {teams: {name: slug}, stadiums: {name: slug}} documents.
 
-    ``sources`` = (kind, name, slug). Entries are hashed into shards of at most
-    about SLUG_MAP_SHARD_ROWS names; every shard is one map document, so no
-    task builds the whole map.
+    ``sources`` = (kind, name, slug). Entries are hashed into ``shards`` map documents
+    at any size, so no task builds the whole map and readers meet one shape.
     """
-    n = sources.count()
-    shards = max(1, math.ceil(n / SLUG_MAP_SHARD_ROWS))
     keyed = sources.withColumn("_shard", F.pmod(F.hash("name"), F.lit(shards)))
     entry = F.struct("name", "slug")
     docs = keyed.groupBy("_shard").agg(

@@ -22,6 +22,8 @@ digits; fallbacks: team = cell 1, played = cell 2, points = last cell.
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,16 +35,29 @@ ROW_RE = r"(?is)<tr\b[^>]*>.*?</tr>"
 CELL_RE = r"(?is)<t[hd]\b[^>]*>.*?</t[hd]>"
 COMMENT_RE = r"(?s)<!--(.*?)-->"
 
-# --- fixed values: HTML entities decoded in cell text ---
-ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")]
+# Entities: numeric ones by their code, named ones by the standard table.
+ENTITY_RE = r"&(?:#[xX][0-9a-fA-F]{1,6}|#[0-9]{1,7}|[a-zA-Z][a-zA-Z0-9]{1,31});"
 
 
 def text_of(html: Column) -> Column:
     """Cell text: tags removed, entities decoded, surrounding whitespace stripped."""
     t = F.regexp_replace(html, r"(?s)<[^>]*>", "")
-    for ent, ch in ENTITIES:
-        t = F.replace(t, F.lit(ent), F.lit(ch))
-    return S.strip_ws(t)
+    return S.strip_ws(F.when(t.contains("&"), unescape(t)).otherwise(t))
+
+
+def _entity(e: Column) -> Column:
+    """The character of one entity (with & and ;), itself if it names none."""
+    names = F.create_map(*[F.lit(x) for n, c in sorted(name2codepoint.items()) for x in (f"&{n};", chr(c))])
+    number = F.when(F.lower(e).startswith("&#x"), F.conv(F.regexp_extract(e, "([0-9a-fA-F]+);", 1), 16, 10)).otherwise(F.regexp_extract(e, "#([0-9]+);", 1)).try_cast("bigint")
+    bad = (number <= 0) | (number > 0x10FFFF) | ((number >= 0xD800) & (number <= 0xDFFF))
+    char = F.when(bad, F.lit("\ufffd")).otherwise(F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32"))
+    return F.when(e.startswith("&#"), char).otherwise(F.coalesce(names[e], e))
+
+
+def unescape(t: Column) -> Column:
+    """Text with its entities decoded, each once."""
+    pieces = F.regexp_extract_all(t, F.lit(rf"(?s){ENTITY_RE}|[^&]+|&"), 0)
+    return F.array_join(F.transform(pieces, lambda p: F.when(p.startswith("&") & (F.length(p) > 1), _entity(p)).otherwise(p)), "")
 
 
 def _cells(row: Column) -> Column:
@@ -58,7 +73,9 @@ def _open_tag(table: Column) -> Column:
 
 
 def _attr(tag: Column, name: str) -> Column:
-    return F.regexp_extract(tag, rf"""(?is)\b{name}\s*=\s*["']([^"']*)["']""", 1)
+    """Value of the attribute of exactly this name: quoted either way, or bare."""
+    found = F.regexp_extract(tag, rf"""(?is)\s{name}\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", 1)
+    return F.regexp_replace(found, r"""^["']|["']$""", "")
 
 
 # ------------------------------------------------------------ fixtures
@@ -99,7 +116,7 @@ def _last_index(headers: Column, pred) -> Column:
 def extract_fixtures(pages: DataFrame) -> DataFrame:
     """Pages ``(league, season_year, html)`` -> raw match rows as in the scraper's output."""
     p = pages.select("league", "season_year", _pick_fixture_table(F.col("html")).alias("_t"))
-    p = p.where(F.col("_t").isNotNull()).withColumn("_rows", _rows(F.col("_t")))
+    p = p.withColumn("_rows", _rows(F.col("_t")))  # no table, no rows: a filter would evaluate the pick twice
     p = p.withColumn("_h", F.transform(_cells(F.coalesce(F.try_element_at("_rows", F.lit(1)), F.lit(""))),
                                        lambda c: F.lower(text_of(c))))
     cols = {}
@@ -199,7 +216,7 @@ def extract_standings(pages: DataFrame) -> DataFrame:
     """Pages ``(league, season, html)`` -> standings rows of the first qualifying table."""
     p = pages.select("league", "season", F.try_element_at(F.filter(_all_tables(F.col("html")), _standings_ok),
                                                           F.lit(1)).alias("_t"))
-    r = p.where(F.col("_t").isNotNull()).select(
+    r = p.select(
         "league", "season", F.posexplode(_rows(_section(F.col("_t"), "tbody"))).alias("ordinal", "_row"))
     r = r.withColumn("_c", _cells(F.col("_row"))).where(F.size("_c") > 0)
     cols = F.transform(F.col("_c"), lambda c: text_of(c))
@@ -238,7 +255,7 @@ def fixtures_pages(matches: DataFrame) -> DataFrame:
     td = lambda x: F.concat(F.lit("<td>"), x, F.lit("</td>"))
     link = lambda x: F.concat(F.lit('<td><a href="/squads/'), S.slugify(x), F.lit('">'), _esc(x), F.lit("</a></td>"))
     score = F.when(F.col("result").isNull(), F.lit("")).otherwise(
-        F.concat(F.col("home_goals").cast("int").cast("string"), F.lit("–"), F.col("away_goals").cast("int").cast("string")))
+        F.concat(F.col("home_goals").cast("int").cast("string"), F.element_at(F.array(*map(F.lit, ("–", "&#8211;", "&#x2013;", "&ndash;"))), (F.dayofmonth("match_date") % 4 + 1).cast("int")), F.col("away_goals").cast("int").cast("string")))
     time = F.when(F.weekday("match_date").isin(5, 6), F.lit("17:00")).otherwise(F.lit("20:00"))
     row = F.concat(F.lit("<tr>"), td(F.date_format("match_date", "dd/MM/yyyy")), td(time), link(F.col("home_team")),
                    td(score), link(F.col("away_team")), td(F.lit("")), td(_esc(F.col("venue"))), F.lit("</tr>"))
@@ -250,7 +267,7 @@ def fixtures_pages(matches: DataFrame) -> DataFrame:
     body = F.transform("rs", lambda x: x.r)
     body = F.array_insert(body, F.least(F.size(body) + 1, F.lit(11)), F.lit(header))
     body = F.concat(body, F.array(F.lit("<tr><td>01/01/2000</td><td>20:00</td></tr>")))
-    html = F.concat(F.lit('<html><body><div class="note">Fixtures</div><table id="sched_all" class="stats_table">'
+    html = F.concat(F.lit('<html><body><table data-id="sched_old"><tr><td>none</td></tr></table><div class="note">Fixtures</div><table id="sched_all" class="stats_table">'
                           "<thead>" + header + "</thead><tbody>"), F.array_join(body, "\n"),
                     F.lit("</tbody></table></body></html>"))
     return pages.select("league", "season_year",

@@ -47,9 +47,7 @@ def sink_standings(snapshot: DataFrame, path: str, partition_cols=("season",)) -
     Dynamic partition overwrite on the season directory (optionally nested
     under league).
     """
-    spark = snapshot.sparkSession
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    snapshot.write.mode("overwrite").partitionBy(*partition_cols).json(path)
+    snapshot.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_cols).json(path)
 
 
 def scan_standings_json(spark: SparkSession, path: str, season: str | None = None) -> DataFrame:

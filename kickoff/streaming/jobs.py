@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..functions import constants as C
-from ..operators.features import elo_fold
+from ..operators.features import EloBook
 from ..operators.stats import leaderboard_entries, leaderboard_rank
+from ..session import scratch_scope
 from ..sources.html import extract_standings
 from ..sources.standings import sink_standings
 
@@ -50,7 +51,8 @@ def stream_leaderboard(spark: SparkSession, events_path: str, sink_path: str, ch
     scores = user_scores(events).withColumn("username", F.concat(F.lit("user_"), F.col("user_id").cast("string")))
 
     def publish(batch: DataFrame, epoch_id: int) -> None:
-        leaderboard_rank(leaderboard_entries(batch)).write.mode("overwrite").parquet(sink_path)
+        with scratch_scope():  # the ranking's tables go with the batch
+            leaderboard_rank(leaderboard_entries(batch)).write.mode("overwrite").parquet(sink_path)
 
     w = scores.writeStream.outputMode("complete").foreachBatch(publish).option("checkpointLocation", checkpoint)
     return _trigger(w, available_now, interval).start()
@@ -83,19 +85,23 @@ ELO_STATE = "ratings string"
 
 def _elo_update(k: float, start: float):
     def fn(key, batches, state):
-        ratings = json.loads(state.get[0]) if state.exists else {}
-        out = elo_fold(pd.concat(list(batches), ignore_index=True), ratings, k, start)
-        state.update((json.dumps(ratings),))
-        yield out
+        book = EloBook(k, start, json.loads(state.get[0]) if state.exists else {})
+        arrived = pd.concat(list(batches), ignore_index=True).sort_values(["match_date", "home_team", "away_team"])
+        before = book.play(arrived["home_team"].tolist(), arrived["away_team"].tolist(), arrived["result"].tolist())
+        state.update((json.dumps(book.ratings),))
+        yield arrived.drop(columns="result").assign(home_elo=before[:, 0], away_elo=before[:, 1])
     return fn
 
 
 def stream_elo(spark: SparkSession, matches_path: str, sink_path: str, checkpoint: str,
                available_now: bool = True, interval: str = "1 minute",
                k_factor: float = C.ELO_K, initial_rating: float = C.ELO_START):
-    """Match files (oldest season first) -> pre-match ratings, state = one rating map
-    per league. A result arriving late is applied when it arrives (no re-rating)."""
-    m = (spark.readStream.schema(MATCHES_SCHEMA).option("maxFilesPerTrigger", 1).parquet(matches_path)
+    """Match files -> pre-match ratings, state = one rating map per league.
+
+    One micro-batch is one arrival: whatever files have come since the last one, in any
+    number of parts, are rated together in match order. A result arriving in a later
+    batch is applied when it arrives (no re-rating)."""
+    m = (spark.readStream.schema(MATCHES_SCHEMA).parquet(matches_path)
          .select("league", "match_date", "home_team", "away_team", F.col("result").cast("double")))
     out = m.groupBy("league").applyInPandasWithState(
         _elo_update(float(k_factor), float(initial_rating)), ELO_OUT, ELO_STATE, "append",

@@ -127,3 +127,23 @@ def test_robust_scale_constant_and_all_null(spark):
     assert params["c"] == (1.0, 1.0)
     med = MD.impute_median(df, ["c", "n"])
     assert med == {"c": 1.0, "n": None}
+
+
+def _text(spark, html):
+    from kickoff.sources.html import text_of
+    return spark.createDataFrame([(html,)], "h string").select(text_of(F.col("h")).alias("t")).first().t
+
+
+def test_entities_are_decoded_once(spark):
+    assert _text(spark, "2&#8211;1") == "2–1" and _text(spark, "<b>2&#x2013;1</b>") == "2–1"
+    assert _text(spark, "Alav&eacute;s &#233;") == "Alavés é"
+    assert _text(spark, "a &amp;lt; b &nope; & &lt;") == "a &lt; b &nope; & <"
+
+
+def test_attribute_names_are_whole(spark):
+    from kickoff.sources.html import extract_fixtures
+    head = "<tr>" + "".join(f"<th>{h}</th>" for h in ("Date", "Time", "Home", "Score", "Away")) + "</tr>"
+    row = "<tr><td>2020-01-05</td><td>20:00</td><td>Alav&eacute;s</td><td>2&#8211;1</td><td>Beta</td></tr>"
+    page = f'<table data-id="sched"><tr><td>x</td></tr></table><table class=big id=sched_1>{head}{row}</table>'
+    got = extract_fixtures(spark.createDataFrame([(1, 2019, page), (2, 2019, "<p>none</p>")], "league bigint, season_year int, html string")).collect()
+    assert [(r.home_team, r.home_goals, r.away_goals) for r in got] == [("Alavés", 2, 1)]

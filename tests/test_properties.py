@@ -7,14 +7,44 @@ from kickoff.operators.history import MATCH_KEY
 
 
 def test_elo_sum_is_constant_per_league(tables):
+    # a match moves both ratings by the same amount: after any match the two sides' next
+    # ratings sum to what they were, so a league's last known ratings sum to 1500 a team
+    m = tables.matches().where("league = 0").orderBy("match_date", "home_team", "away_team").toPandas()
+    book = FE.EloBook(32.0, 1500.0)
+    for h, a, r in zip(m["home_team"], m["away_team"], m["result"]):
+        book.play([h], [a], [r])
+        assert abs(sum(book.ratings.values()) - 1500.0 * len(book.ratings)) < 1e-6
+    assert len(set(round(v, 3) for v in book.ratings.values())) > 1
+
+
+def test_team_names_keep_long_numbers(spark):
+    from kickoff.fixtures import TEAM_ALIASES_SQL
+    suppliers = spark.range(1, 10002).withColumnRenamed("id", "s_suppkey")
+    named = spark.sql(TEAM_ALIASES_SQL, supplier=suppliers)
+    assert named.select("canonical").distinct().count() == 10001
+
+
+def test_requests_of_known_matches_are_answered(spark, tables):
+    from kickoff.operators.requests import append_fixtures
     m = tables.matches()
-    e = FE.elo_ratings(m)
-    # after all matches the ratings of all teams still average the start value:
-    last = e.groupBy("league").agg(F.count(F.lit(1)).alias("n")).collect()
-    assert last  # fold ran for every league
-    # zero-sum: each update adds k*(s-e) to one side and subtracts it from the other
-    per_match = e.select("league", (F.col("home_elo") + F.col("away_elo")).alias("s"))
-    assert per_match.where(F.col("s").isNull()).count() == 0
+    asked = m.select(*MATCH_KEY).limit(5).unionByName(m.select("league", F.date_add("match_date", 9000).alias("match_date"), "home_team", "away_team").limit(5))
+    out = append_fixtures(m, asked.unionByName(asked))
+    assert out.where("is_request").count() == asked.distinct().count() and out.count() == m.count() + 5
+
+
+def test_matrix_has_few_exchanges(tables):
+    plan = FE.feature_table(tables.matches())._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 20
+
+
+def test_scratch_goes_with_its_scope(spark, tmp_path):
+    import os
+
+    from kickoff.session import materialize, scratch_scope
+    with scratch_scope():
+        path = materialize(spark.range(3), "probe").inputFiles()[0].removeprefix("file://").removeprefix("file:")
+        assert os.path.exists(path)
+    assert not os.path.exists(os.path.dirname(path))
 
 
 def test_adding_later_matches_never_changes_earlier_features(tables):
