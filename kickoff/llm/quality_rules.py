@@ -93,8 +93,7 @@ def certified_cutoffs(labelled: DataFrame, risk: float, delta: float, rules: dic
     good = labelled.where("good")
     strata = good.select("stratum").distinct().count()  # at most MAX_STRATA + 1
     per_rule, per_test = risk / len(rules), delta / (len(rules) * max(strata, 1))
-    exceeded = [F.struct(F.lit(r).alias("rule"), F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c, r=r: F.col(r) > c)).alias("_m"))
-                for r, cuts in rules.items()]
+    exceeded = [F.struct(F.lit(r).alias("rule"), sum((F.col(r) > c).cast("int") for c in cuts).alias("_m")) for r, cuts in rules.items()]
     counts = good.select("stratum", F.explode(F.array(*exceeded)).alias("x")).groupBy("stratum", "x.rule", "x._m").agg(F.count(F.lit(1)).alias("n"))
     # cutoffs are exceeded from the strict end: a row over m cutoffs is over the last m
     grid = F.create_map(*[x for r, cuts in rules.items() for x in (F.lit(r), F.array(*map(F.lit, cuts)))])
