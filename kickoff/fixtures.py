@@ -139,11 +139,18 @@ class Tables:
             self._cache[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
         return self._cache[name]
 
+    def version(self) -> tuple:
+        """The session, the input folder and its tables' times."""
+        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.sf_dir)
+        fs = where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        times = tuple(sorted((f.getPath().getName(), f.getModificationTime()) for f in fs.listStatus(where)))
+        return self.spark.sparkContext.applicationId, self.sf_dir, times
+
     def _stored(self, name: str, build) -> DataFrame:
         """Derived input written once per session and input folder to the shared
         checkpoint folder, then read back (a stored table, lineage cut)."""
         from .session import scratch_path
-        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        key = (*self.version(), name)
         path = _FEATURE_CACHE.get(key)
         if path is None:
             path = scratch_path(self.spark, name)

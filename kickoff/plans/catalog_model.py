@@ -55,18 +55,22 @@ def q_time_series_folds(t):
 
 # ------------------------------------------------------------ model pipeline (rows-only checks)
 
-def _prepared(t):
-    """Imputed + scaled feature table with label index, train/test flag and folds."""
+def _fitted_preprocessing(t):
+    """(unfilled features, feature columns, medians, scales), the latter two of past rows."""
     f = t.features()
     cols = [c for c in FE.FEATURE_COLUMNS if c in f.columns]
     past = f.where(F.col("result").isNotNull())
     med = MD.impute_median(past, cols)
-    f = MD.apply_impute(f, med)
-    params = MD.robust_scale_fit(f.where(F.col("result").isNotNull()), cols)
-    f = MD.label_index(MD.apply_scale(f, params))
+    params = MD.robust_scale_fit(MD.apply_impute(past, med), cols)
+    return f, cols, med, params
+
+
+def _prepared(t):
+    """Imputed + scaled feature table with label index and train/test flag (null for unplayed)."""
+    f, cols, med, params = _fitted_preprocessing(t)
+    f = MD.label_index(MD.apply_scale(MD.apply_impute(f, med), params))
     split = CL.time_split(f.select(*MATCH_KEY, "home_goals", "away_goals", "result")).select(*MATCH_KEY, "is_train")
-    f = f.join(split, MATCH_KEY, "left")
-    return MD.assemble(f, cols), cols
+    return MD.assemble(f.join(split, MATCH_KEY, "left"), cols), cols
 
 
 def _train(t, folds=3):
@@ -76,6 +80,28 @@ def _train(t, folds=3):
     return train, f, cols
 
 
+_CHOSEN: dict = {}
+
+
+def _chosen(t):
+    """((model type, parameters) for goals, the same for results): the searches' winners.
+
+    Kept for the session by input folder and its files' times, as every query that
+    trains uses the same two.
+    """
+    key = t.version()
+    if key not in _CHOSEN:
+        train, _, _ = _train(t)
+        _CHOSEN[key] = MD.chosen(MD.grid_search_goals(train)), MD.chosen(MD.grid_search_result(train))
+    return _CHOSEN[key]
+
+
+def _models(t):
+    """(chosen models refitted on the training rows, all rows, feature columns)."""
+    train, f, cols = _train(t)
+    return MD.fit_models(train, *_chosen(t)), f, cols
+
+
 @query("grid_search_goals")
 def q_grid_goals(t):
     """Forest vs boosted regressors over a reduced grid, 3 contiguous folds, -MAE."""
@@ -92,9 +118,8 @@ def q_grid_result(t):
 
 @query("multi_output")
 def q_multi_output(t):
-    """One regressor per goal target, predictions joined by match key on the test rows."""
-    train, f, _ = _train(t)
-    home, away, result = MD.fit_models(train)
+    """The chosen goal regressors, one per target, on the test rows."""
+    (home, away, result), f, _ = _models(t)
     test = f.where(F.col("result").isNotNull() & ~F.col("is_train"))
     return MD.score(test, home, away, result).select(*MATCH_KEY, "home_goals", "away_goals",
                                                      "pred_home_goals", "pred_away_goals")
@@ -104,42 +129,27 @@ def q_multi_output(t):
 def q_cv_scores(t):
     """5-fold mean and population std of the chosen models' scores."""
     train, _, _ = _train(t, folds=5)
-    spark = train.sparkSession
-    rows = []
-    for lab, metric, make in (
-            ("home_goals", "mae", lambda: MD.RandomForestRegressor(labelCol="home_goals", seed=MD.SEED, numTrees=20,
-                                                                   maxDepth=8)),
-            ("away_goals", "mae", lambda: MD.RandomForestRegressor(labelCol="away_goals", seed=MD.SEED, numTrees=20,
-                                                                   maxDepth=8)),
-            ("label", "accuracy", lambda: MD.RandomForestClassifier(labelCol="label", seed=MD.SEED, numTrees=20,
-                                                                    maxDepth=8))):
-        mean, scores = MD.cv_score(train, make, lab, "mae" if metric == "mae" else "acc", 5)
-        std = (sum((s - mean) ** 2 for s in scores) / len(scores)) ** 0.5
-        rows.append((lab, metric, mean, std))
-    return spark.createDataFrame(rows, "target string, metric string, mean double, std double")
+    return t.spark.createDataFrame(MD.cv_chosen(train, *_chosen(t), folds=5), "target string, metric string, mean double, std double")
 
 
 @query("feature_importance")
 def q_feature_importance(t):
-    """Feature importances averaged over the two goal models, ranked."""
-    train, _, cols = _train(t)
-    home, away, _ = MD.fit_models(train)
+    """Feature importances averaged over the two chosen goal models, ranked."""
+    (home, away, _), _, cols = _models(t)
     return MD.feature_importance(home, away, cols)
 
 
 @query("top_features")
 def q_top_features(t):
     """Top 10 features by importance."""
-    train, _, cols = _train(t)
-    home, away, _ = MD.fit_models(train)
+    (home, away, _), _, cols = _models(t)
     return MD.feature_importance(home, away, cols).orderBy(F.desc("importance"), "feature").limit(10)
 
 
 @query("score_future")
 def q_score_future(t):
-    """Unplayed fixtures scored: rounded goals, class and per-class probabilities."""
-    train, f, _ = _train(t)
-    home, away, result = MD.fit_models(train)
+    """Unplayed fixtures scored by the chosen models: rounded goals, class and per-class probabilities."""
+    (home, away, result), f, _ = _models(t)
     future = f.where(F.col("result").isNull())
     return MD.score(future, home, away, result).select(
         *MATCH_KEY, "pred_home_goals", "pred_away_goals", "pred_result", "prob_-1", "prob_0", "prob_1")
@@ -147,14 +157,20 @@ def q_score_future(t):
 
 @query("save_load_model")
 def q_save_load(t):
-    """Pipeline model saved to the shared folder, loaded back, applied to the test rows."""
-    train, f, cols = _train(t)
+    """Chosen models, medians, scales and parameters saved to the shared folder, loaded
+    back, and applied to the raw features of the test rows."""
+    models, f, cols = _models(t)
+    _, _, med, params = _fitted_preprocessing(t)
     path = scratch_path(t.spark, "model")
-    plain = train.drop("features")
-    MD.save_pipeline(plain, path, cols)
-    loaded = MD.load_pipeline(path)
-    test = f.where(F.col("result").isNotNull() & ~F.col("is_train")).drop("features")
-    return loaded.transform(test).select(*MATCH_KEY, "label", F.col("prediction").alias("predicted_label"))
+    goals, result = _chosen(t)
+    MD.save_models(t.spark, path, models, {"features": cols, "medians": med, "scales": params, "goals": goals, "result": result})
+    (home, away, outcome), meta = MD.load_models(t.spark, path)
+    test = f.where(F.col("result").isNotNull() & ~F.col("is_train")).select(*MATCH_KEY, "label")
+    raw = t.features().join(test, MATCH_KEY)
+    ready = MD.assemble(MD.apply_scale(MD.apply_impute(raw, meta["medians"]), meta["scales"]), meta["features"])
+    return outcome.transform(away.transform(home.transform(ready))).select(
+        *MATCH_KEY, "label", F.col("prediction").alias("predicted_label"),
+        F.col("pred_home").alias("home_prediction"), F.col("pred_away").alias("away_prediction"))
 
 
 @query("sink_eval_report")
