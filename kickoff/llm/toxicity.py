@@ -13,6 +13,7 @@ words of all documents are scored, in overlapping windows.
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections.abc import Iterator
@@ -43,10 +44,34 @@ def word_bucket(word: str) -> int:
     return zlib.crc32(word.encode()) % BUCKETS
 
 
-def gram_buckets(word: str) -> list[int]:
-    """Buckets of the word's character n-grams of 3 to 5, borders marked; long words by all of them."""
-    w = f"<{word}>"
-    return [zlib.crc32(w[i:i + n].encode()) % BUCKETS for n in (3, 4, 5) for i in range(max(len(w) - n, 0) + 1)]
+_FACTORS = np.asarray([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], dtype=np.uint64)
+
+
+class Grams:
+    """Buckets of the character n-grams of 3 to 5 of some words, borders marked.
+
+    ``buckets`` and ``valid`` have a row per length and a column per place of a word where a
+    3-gram starts; ``first`` is each word's first column, ``word`` each column's word.
+    """
+
+    def __init__(self, words: list[str]):
+        letters = np.frombuffer("".join([f"<{w}>" for w in words]).encode("utf-32-le"), dtype="<u4").astype(np.uint64)
+        sizes = np.asarray([len(w) + 2 for w in words], dtype=np.int64)
+        ends = np.cumsum(sizes)
+        self.first = np.concatenate(([0], np.cumsum(sizes - 2)[:-1]))
+        self.word = np.repeat(np.arange(len(words)), sizes - 2)
+        at = np.arange(len(self.word)) + np.repeat(ends - sizes - self.first, sizes - 2)
+        letters = np.concatenate((letters, np.zeros(2, np.uint64)))
+        h = letters[at] * _FACTORS[0] + letters[at + 1] * _FACTORS[1] + letters[at + 2] * _FACTORS[2]
+        rows = [h]
+        for n in (3, 4):
+            h = h + letters[at + n] * _FACTORS[n] + np.uint64(n)
+            rows.append(h)
+        h = np.stack(rows)
+        self.buckets = (((h ^ (h >> np.uint64(29))) * _FACTORS[0]) >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int64)
+        left = ends[self.word] - at
+        self.valid = np.stack([left >= 3, left >= 4, left >= 5])
+        self.count = np.add.reduceat(self.valid.sum(axis=0), self.first)
 
 
 def window_starts(n: int) -> list[int]:
@@ -66,6 +91,9 @@ class Network:
     def __init__(self, seed: int = 0):
         rng = np.random.default_rng(seed)
         small = lambda *s: (rng.standard_normal(s) * 0.3 / np.sqrt(s[0])).astype(np.float32)
+        #: Added to logits: from the share of label 1 in training to its share among the labels.
+        self.shift = 0.0
+        self.share: float | None = None
         self.word_odds = np.zeros(BUCKETS, np.float32)
         self.gram_odds = np.zeros(BUCKETS, np.float32)
         self.p = {"words": (rng.standard_normal((BUCKETS, EMBED)) * 0.05).astype(np.float32), "grams": (rng.standard_normal((BUCKETS, EMBED)) * 0.05).astype(np.float32),
@@ -75,19 +103,17 @@ class Network:
 
     def features(self, words: list[str]) -> np.ndarray:
         """Input vectors of (distinct) words."""
-        grams = [gram_buckets(w) for w in words]
-        sizes = np.asarray([len(g) for g in grams])
-        flat = np.asarray([b for g in grams for b in g], dtype=np.int64)
-        first = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-        odds = self.gram_odds[flat]
+        grams = Grams(words)
+        odds = np.where(grams.valid, self.gram_odds[grams.buckets], np.float32(-9))
         at = np.asarray([word_bucket(w) for w in words], dtype=np.int64)
         x = np.empty((len(words), INPUTS), np.float32)
         x[:, 0] = self.word_odds[at]
-        x[:, 1] = np.maximum.reduceat(odds, first)
-        x[:, 2] = np.add.reduceat(odds, first) / sizes
-        x[:, 3] = np.minimum(sizes, 60) / 60
+        x[:, 1] = np.maximum.reduceat(odds.max(axis=0), grams.first)
+        x[:, 2] = np.add.reduceat(np.where(grams.valid, odds, 0).sum(axis=0), grams.first) / grams.count
+        x[:, 3] = np.minimum(grams.count, 60) / 60
         x[:, 4:4 + EMBED] = self.p["words"][at]
-        x[:, 4 + EMBED:] = np.add.reduceat(self.p["grams"][flat], first) / sizes[:, None]
+        learned = (self.p["grams"][grams.buckets] * grams.valid[:, :, None]).sum(axis=0)
+        x[:, 4 + EMBED:] = np.add.reduceat(learned, grams.first) / grams.count[:, None]
         return x
 
     def gates(self, x: np.ndarray) -> np.ndarray:
@@ -96,7 +122,11 @@ class Network:
 
     def forward(self, gates: np.ndarray, mask: np.ndarray | None, keep: bool = False):
         """Logits of windows from their input gates (windows, words, 6 x HIDDEN); mask: 0 behind a window's end."""
-        n, t, _ = gates.shape
+        at = {"f": 0, "b": 3 * HIDDEN}
+        return self.run(lambda d, s: gates[:, s, at[d]:at[d] + 3 * HIDDEN], *gates.shape[:2], mask, keep)
+
+    def run(self, gates, n: int, t: int, mask: np.ndarray | None, keep: bool = False):
+        """Logits of n windows of t words; ``gates(direction, step)`` gives the input gates (n, 3 x HIDDEN) of a step."""
         states = np.empty((t, n, 2 * HIDDEN), np.float32)
         trace: dict = {"f": [None] * t, "b": [None] * t}
         for d, steps in (("f", range(t)), ("b", range(t - 1, -1, -1))):
@@ -104,26 +134,36 @@ class Network:
             u, c = self.p[f"u_{d}"], self.p[f"c_{d}"]
             at = 0 if d == "f" else HIDDEN
             for s in steps:
-                g = gates[:, s, 3 * at:3 * at + 3 * HIDDEN]
-                zr = sigmoid(g[:, :2 * HIDDEN] + h @ u)
+                g = gates(d, s)
+                zr = h @ u
+                zr += g[:, :2 * HIDDEN]
+                zr *= 0.5
+                np.tanh(zr, out=zr)  # sigmoid(x) = tanh(x / 2) / 2 + 1 / 2
+                zr *= 0.5
+                zr += 0.5
                 z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
-                new = np.tanh(g[:, 2 * HIDDEN:] + (r * h) @ c)
-                out = h + z * (new - h)
+                new = (r * h) @ c
+                new += g[:, 2 * HIDDEN:]
+                np.tanh(new, out=new)
+                out = new - h
+                out *= z
+                out += h
                 if mask is not None:
                     out *= mask[:, s, None]
                 if keep:
                     trace[d][s] = (h, z, r, new)
                 h = out
                 states[s, :, at:at + HIDDEN] = h
-        a = np.tanh(states @ self.p["att"])
-        e = a @ self.p["att_v"]
+        a = states.reshape(t * n, 2 * HIDDEN) @ self.p["att"]
+        np.tanh(a, out=a)
+        e = (a @ self.p["att_v"]).reshape(t, n)
         if mask is not None:
             e = np.where(mask.T > 0, e, -30)
         w = np.exp(e - e.max(axis=0))
         w /= w.sum(axis=0)
         pooled = np.einsum("tn,tnh->nh", w, states)
         logits = pooled @ self.p["out"] + self.p["out_b"][0]
-        return (logits, (states, trace, a, w, pooled)) if keep else logits
+        return (logits, (states, trace, a.reshape(t, n, -1), w, pooled)) if keep else logits
 
     def backward(self, gates: np.ndarray, mask: np.ndarray | None, kept, d_logits: np.ndarray) -> tuple[dict, np.ndarray]:
         """(gradients of the recurrent part, gradient of the input gates)."""
@@ -182,8 +222,9 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int =
         net.p["out"][:] = 0
         net.p["out_b"][:] = 0 if not labels else (4 if y[0] else -4)
         return net
+    net.share = float(y.mean())
     net.word_odds = log_odds([{word_bucket(w) for w in set(d)} for d in docs], y)
-    net.gram_odds = log_odds([{b for w in set(d) for b in gram_buckets(w)} for d in docs], y)
+    net.gram_odds = log_odds([set((g := Grams(list(set(d)))).buckets[g.valid].tolist()) if d else set() for d in docs], y)
     rng = np.random.default_rng(seed)
     first = {k: np.zeros_like(v) for k, v in net.p.items()}
     second = {k: np.zeros_like(v) for k, v in net.p.items()}
@@ -222,10 +263,12 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int =
                 grad[f"x_{d}"] = x.T @ own
                 d_x += own @ net.p[f"x_{d}"].T
             grad["words"], grad["grams"] = np.zeros_like(net.p["words"]), np.zeros_like(net.p["grams"])
-            for w, dx in zip(words, d_x):
-                grad["words"][word_bucket(w)] += dx[4:4 + EMBED]
-                g = gram_buckets(w)
-                np.add.at(grad["grams"], g, dx[4 + EMBED:] / len(g))
+            np.add.at(grad["words"], [word_bucket(w) for w in words], d_x[:, 4:4 + EMBED])
+            grams = Grams(words)
+            share = (d_x[:, 4 + EMBED:] / grams.count[:, None])[grams.word]
+            for row, valid in zip(grams.buckets, grams.valid):
+                for k in range(EMBED):
+                    grad["grams"][:, k] += np.bincount(row[valid], weights=share[valid, k], minlength=BUCKETS)
             step += 1
             for k, g in grad.items():  # Adam
                 first[k] += 0.1 * (g - first[k])
@@ -240,20 +283,24 @@ class Scorer:
     def __init__(self, net: Network):
         self.net = net
         self.memo: dict[str, int] = {}
-        self.table = np.zeros((MEMO, 6 * HIDDEN), np.float32)
+        self.room(MEMO)
+
+    def room(self, n: int) -> None:
+        self.table = {d: np.zeros((n, 3 * HIDDEN), np.float32) for d in ("f", "b")}
 
     def numbers(self, docs: list[list[str]]) -> list[np.ndarray]:
         memo = self.memo
-        new = list(dict.fromkeys(w for d in docs for w in d if w not in memo))
-        if len(memo) + len(new) > len(self.table):
+        new = list(dict.fromkeys([w for d in docs for w in d if w not in memo]))
+        if len(memo) + len(new) > len(self.table["f"]):
             memo.clear()
-            new = list(dict.fromkeys(w for d in docs for w in d))
-            if len(new) > len(self.table):
-                self.table = np.zeros((len(new), 6 * HIDDEN), np.float32)
+            new = list(dict.fromkeys([w for d in docs for w in d]))
+            if len(new) > len(self.table["f"]):
+                self.room(len(new))
         for at in range(0, len(new), 8192):
             part = new[at:at + 8192]
             first = len(memo)
-            self.table[first:first + len(part)] = self.net.gates(self.net.features(part))
+            gates = self.net.gates(self.net.features(part))
+            self.table["f"][first:first + len(part)], self.table["b"][first:first + len(part)] = gates[:, :3 * HIDDEN], gates[:, 3 * HIDDEN:]
             memo.update(zip(part, range(first, first + len(part))))
         return [np.fromiter(map(memo.__getitem__, d), dtype=np.int64, count=len(d)) for d in docs]
 
@@ -279,8 +326,10 @@ class Scorer:
                     mask = (np.arange(longest) < sizes[part][:, None]).astype(np.float32)
                     for j, k in enumerate(part):
                         ids[j, :sizes[k]] = windows[k]
-                np.maximum.at(out, owner[part], self.net.forward(self.table[ids], mask))
-        return np.where(np.isfinite(out), sigmoid(out), 0.0)
+                by_step = np.ascontiguousarray(ids.T)
+                logits = self.net.run(lambda d, s: self.table[d][by_step[s]], *ids.shape, mask)  # noqa: B023
+                np.maximum.at(out, owner[part], logits)
+        return np.where(np.isfinite(out), sigmoid(out + self.net.shift), 0.0)
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample: int = SAMPLE, label: str = "toxic", epochs: int = EPOCHS) -> DataFrame:
@@ -292,6 +341,10 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3,
     repeated rows score alike; no rows give no rows; other columns are never read.
     """
     net = fitted(labelled_sample(docs, labels, label, sample), lambda texts, marks: train(texts, marks, epochs))
+    usable = labels.where(F.col(label).isin(0, 1) & ~held_out(F.col("doc_id")))
+    base = usable.agg(F.avg(label).alias("b")).first()["b"]
+    if base is not None and 0 < base < 1 and net.share is not None:
+        net.shift = math.log(base / (1 - base)) - math.log(net.share / (1 - net.share))
     sent = docs.sparkSession.sparkContext.broadcast(net)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
