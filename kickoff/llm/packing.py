@@ -18,7 +18,10 @@
 from __future__ import annotations
 
 import json
+import re
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,15 +37,48 @@ from .token_counts import SETTLED
 STEP = 8
 #: Sub-groups in which the rests of a class are numbered.
 RANK_BUCKETS = 256
-#: Words whose ids a task keeps; beyond it they are forgotten and looked up anew.
+#: Parts of texts whose ids a task keeps; beyond it they are forgotten and looked up anew.
 MEMO = 300_000
 
 
+def byte_letters() -> list[str]:
+    """The character that stands for each byte in a byte-level vocabulary: itself if visible, else the next free one from 256."""
+    visible = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    spare = iter(range(256, 512))
+    return [chr(b) if b in visible else chr(next(spare)) for b in range(256)]
+
+
+class PartIds(dict):
+    """Ids of blank-separated, lower-case parts as little-endian 32-bit bytes, found when first asked for."""
+
+    def __init__(self, model, pattern: str):
+        super().__init__()
+        self.model, self.find, self.letters = model, regex.compile(pattern).findall, byte_letters()
+
+    def __missing__(self, part: str) -> bytes:
+        words = (part,) if part.isalpha() else self.find(part)  # letters alone are one word
+        if len(words) == 1:
+            letters = part if part.isascii() else "".join([self.letters[b] for b in part.encode()])
+            found = array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
+        else:
+            found = b"".join([self[w] for w in words])
+        if len(self) >= MEMO:
+            self.clear()
+        self[part] = found
+        return found
+
+
 class WordIds:
-    """Ids of texts as little-endian 32-bit bytes, word by word where the tokenizer allows it."""
+    """Ids of texts as little-endian 32-bit bytes, by blank-separated parts where the tokenizer allows it.
+
+    A tokenizer that drops white space and never joins what it separates gives a text the
+    ids of its parts, one after the other; each distinct part is then looked up once.
+    """
 
-    #: Fixed: the split pattern of the files this fast path is for.
+    #: Fixed: the split pattern of the files this holds for.
     PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+    #: Characters on which Python's split() or lower() and the tokenizer's may differ.
+    ODD = re.compile("[\x1c-\x1f\x85İ]")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -53,31 +89,20 @@ class WordIds:
             kind = json.load(f)
         steps = [n["type"] for n in (kind["normalizer"] or {}).get("normalizers", [])]
         cutters = (kind["pre_tokenizer"] or {}).get("pretokenizers", [])
-        self.by_word = (steps == ["NFC", "Replace", "Lowercase"] and [c["type"] for c in cutters] == ["Split", "ByteLevel"]
-                        and cutters[0]["pattern"].get("Regex") == self.PATTERN and cutters[0]["invert"] and not cutters[1]["use_regex"])
+        self.by_part = (sys.byteorder == "little" and array("I").itemsize == 4 and steps == ["NFC", "Replace", "Lowercase"]
+                        and [c["type"] for c in cutters] == ["Split", "ByteLevel"] and cutters[0]["pattern"].get("Regex") == self.PATTERN
+                        and cutters[0]["invert"] and not cutters[1]["use_regex"] and not cutters[1]["add_prefix_space"])
         self.special = [t["content"] for t in kind["added_tokens"]]
-        self.pattern = regex.compile(self.PATTERN)
         self.settled = regex.compile(SETTLED.replace("ͯ", "˿"))  # no combining marks: such texts are in NFC already
-        self.memo: dict[str, bytes] = {}
+        self.parts = PartIds(self.tokenizer.model, self.PATTERN)
 
     def whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def ids(self, text: str) -> bytes:
-        if not self.by_word or any(s in text for s in self.special) or not self.settled.fullmatch(text) or "İ" in text:
+        if not self.by_part or not (text.isascii() or self.settled.fullmatch(text)) or self.ODD.search(text) or any(s in text for s in self.special):
             return self.whole(text)
-        memo = self.memo
-        words = self.pattern.findall(text.lower())
-        try:
-            return b"".join([memo[w] for w in words])
-        except KeyError:
-            new = list({w for w in words if w not in memo})
-            if len(memo) + len(new) > MEMO:
-                memo.clear()
-                new = list(set(words))
-            for e, w in zip(self.tokenizer.encode_batch_fast(new, add_special_tokens=False), new):
-                memo[w] = np.asarray(e.ids, dtype="<u4").tobytes()
-            return b"".join([memo[w] for w in words])
+        return b"".join(map(self.parts.__getitem__, text.lower().split()))
 
 
 def document_pieces(docs: DataFrame, tokenizer_path: str, length: int, end_id: int) -> DataFrame:
