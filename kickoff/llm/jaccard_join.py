@@ -13,7 +13,8 @@ these prefixes seldom meet by chance.
 * Candidates pass the length filter, the positional filter (shared so far plus what is
   left behind both places) and the suffix filter (sets cut into parts by hash range:
   the overlap is at most the sum of the smaller part sizes), and are verified once per
-  pair on the texts.
+  pair on both sets, 32 bits a shingle: a pair just below the threshold passes wrongly
+  with a chance of about 1e-6 (two different shingles of equal hash), none is lost.
 * A large group of near copies would give the square of its size in pairs. So links come
   in rounds: in each group of a shingle, members are held against one pivot of another
   component, a document against its best pivot only; components grow; then every pair
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BLANKS, byte_values, mix, rolling, shared_folder, slices, text_buffer, words_of
+from .common import BLANKS, byte_values, mix, rolling, shards_for, shared_folder, slices, text_buffer, words_of
 
 #: Most frequent shingles that are ordered by their count (16 bytes each).
 FREQUENT = 1 << 20
@@ -104,50 +105,124 @@ def frequent_shingles(rows: DataFrame, k: int) -> np.ndarray:
     return got["h"].to_numpy(dtype=np.int64)[order].view(np.uint64)
 
 
-DOCS = "doc_id bigint, n_shingles bigint, cls bigint, sig binary, prefix array<bigint>"
+def class_key(shingles: np.ndarray) -> int | None:
+    """64 bits that stand for a set; None for the empty one."""
+    return int.from_bytes(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), "little", signed=True) if len(shingles) else None
 
 
-def _sets(rows: DataFrame, k: int, percent: int, frequent: np.ndarray) -> DataFrame:
-    """Per document: size, class key, part sizes and the prefix (of the class's first document in a task)."""
-    ranked = np.argsort(frequent)
-    sent = rows.sparkSession.sparkContext.broadcast((frequent[ranked], ranked.astype(np.uint64) + np.uint64(1)))
+def _sets(rows: DataFrame, k: int) -> DataFrame:
+    """Per document: size and class key; part sizes for the class's first document in a task."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for part in slices(batches):
+            sets = shingle_sets(part.column("text"), k)
+            keys = [class_key(s) for s in sets]
+            sigs = [None if key is None or key in seen else (seen.add(key), signature(s))[1] for key, s in zip(keys, sets)]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.int64()), pa.array(sigs, pa.binary())],
+                                             names=["doc_id", "n_shingles", "cls", "sig"])
+
+    return rows.mapInArrow(read, "doc_id bigint, n_shingles bigint, cls bigint, sig binary")
+
+
+def prefix(shingles: np.ndarray, order: np.ndarray, percent: int) -> np.ndarray:
+    """The set's first n - ceil(t n) + 1 shingles: the unlisted by hash, then the frequent by their rank."""
+    length = len(shingles) - -(-percent * len(shingles) // 100) + 1
+    rare = np.flatnonzero(order == 0)
+    if len(rare) < length:
+        late = np.flatnonzero(order)
+        rare = np.concatenate((rare, late[np.argsort(order[late], kind="stable")]))
+    return shingles[rare[:length]]
+
+
+#: Prefix entries that a task packs together.
+PACKED = 1 << 20
+
+
+def shared_entries(rows: DataFrame, k: int, percent: int, frequent: np.ndarray) -> DataFrame:
+    """(h, cls, pos): the prefix entries whose shingle more than one class has in its prefix.
+
+    Entries travel packed by hash range, a row per task and range (10 to 16 bytes an entry
+    instead of 40), and are unpacked where a range meets; shingles are compared by 48 bits
+    and the range there, which can only add candidates.
+    """
+    ranked = np.argsort(frequent)
+    sent = rows.sparkSession.sparkContext.broadcast((frequent[ranked], ranked.astype(np.uint64) + np.uint64(1)))
+    ranges = 2 * shards_for(rows)
+
+    def packed(hs: list, classes: list) -> pa.RecordBatch:
+        h = np.concatenate(hs)
+        lengths = np.asarray([len(x) for x in hs])
+        pos = np.concatenate([np.arange(n) for n in lengths])
+        pos = pos.astype("<u2" if lengths.max() <= 65536 else "<u4")
+        cls = np.repeat(np.asarray(classes, dtype="<i8"), lengths)
+        part = ((h >> np.uint64(48)) * np.uint64(ranges)) >> np.uint64(16)
+        order = np.argsort(part, kind="stable")  # within a range by document: classes come in runs
+        names, first = np.unique(part[order], return_index=True)
+        low = h[order].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+        cuts = [*first.tolist(), len(h)]
+        blobs = [[column[a:b].tobytes() for a, b in zip(cuts, cuts[1:])] for column in (low, cls[order], pos[order])]
+        return pa.RecordBatch.from_arrays([pa.array(names.astype(np.int32)), *(pa.array(x, pa.binary()) for x in blobs)], names=["part", "h", "cls", "pos"])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, rank = sent.value
         seen: set[int] = set()
+        hs, classes, held = [], [], 0
         for part in slices(batches):
             sets = shingle_sets(part.column("text"), k)
-            flat = np.concatenate(sets) if sets else np.empty(0, np.uint64)
+            flat = np.concatenate(sets)
+            order = np.zeros(len(flat), np.uint64)
             if len(known):
                 at = np.minimum(np.searchsorted(known, flat), len(known) - 1)
-                order = np.where(known[at] == flat, rank[at], np.uint64(0))
-            else:
-                order = np.zeros(len(flat), np.uint64)
-            sizes, classes, sigs, prefixes, first = [], [], [], [], 0
+                order = np.where(known[at] == flat, rank[at], order)
+            first = 0
             for s in sets:
-                n = len(s)
-                key = int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True) if n else None
-                sizes.append(n)
-                classes.append(key)
-                own = order[first:first + n]
-                first += n
-                if n and key not in seen:
+                own = order[first:first + len(s)]
+                first += len(s)
+                key = class_key(s)
+                if key is not None and key not in seen:
                     seen.add(key)
-                    length = n - -(-percent * n // 100) + 1
-                    rare = np.flatnonzero(own == 0)  # in the order of their hashes
-                    if len(rare) < length:
-                        late = np.flatnonzero(own)
-                        rare = np.concatenate((rare, late[np.argsort(own[late], kind="stable")]))
-                    prefixes.append(s[rare[:length]].view(np.int64))
-                    sigs.append(signature(s))
-                else:
-                    prefixes.append(None)
-                    sigs.append(None)
-            yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.array(sigs, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))],
-                names=["doc_id", "n_shingles", "cls", "sig", "prefix"])
-
-    return rows.mapInArrow(read, DOCS)
+                    hs.append(prefix(s, own, percent))
+                    classes.append(key)
+                    held += len(hs[-1])
+            if held >= PACKED:
+                yield packed(hs, classes)
+                hs, classes, held = [], [], 0
+        if hs:
+            yield packed(hs, classes)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, blobs = None, []
+
+        def met() -> pa.RecordBatch:
+            low = np.frombuffer(b"".join(b[0] for b in blobs), np.uint8).reshape(-1, 6)
+            h = np.zeros((len(low), 8), np.uint8)
+            h[:, :6] = low
+            h = h.view("<u8").ravel()
+            cls = np.frombuffer(b"".join(b[1] for b in blobs), "<i8")
+            pos = np.concatenate([np.frombuffer(b[2], "<u2" if 4 * len(b[2]) == len(b[1]) else "<u4").astype(np.int64) for b in blobs])
+            order = np.lexsort((cls, h))
+            h, cls, pos = h[order], cls[order], pos[order]
+            first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+            last = np.append(first[1:], len(h)) - 1
+            some = np.repeat(cls[first] != cls[last], last - first + 1)
+            fresh = np.concatenate(([True], (h[1:] != h[:-1]) | (cls[1:] != cls[:-1])))  # a class met in several tasks counts once
+            some &= fresh
+            full = h[some].astype(np.int64) | (np.int64(part) << np.int64(48))
+            return pa.RecordBatch.from_arrays([pa.array(full), pa.array(cls[some]), pa.array(pos[some])], names=["h", "cls", "pos"])
+
+        for batch in batches:
+            for p, *row in zip(*(batch.column(c).to_pylist() for c in ("part", "h", "cls", "pos"))):
+                if p != part and blobs:
+                    yield met()
+                    blobs = []
+                part = p
+                blobs.append(row)
+        if blobs:
+            yield met()
+
+    dealt = rows.select("text").mapInArrow(pack, "part int, h binary, cls binary, pos binary").repartition(shards_for(rows), "part")
+    return dealt.sortWithinPartitions("part").mapInArrow(meet, "h bigint, cls bigint, pos bigint")
 
 
 def components(nodes: DataFrame, links: DataFrame, rounds: int = 60) -> DataFrame:
@@ -172,36 +247,62 @@ def components(nodes: DataFrame, links: DataFrame, rounds: int = 60) -> DataFram
     return labels
 
 
-def verified(pairs: DataFrame, texts: DataFrame, sigs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes whose sets are similar: suffix filter first, then the sets of both texts."""
-    side = lambda c: sigs.select(F.col("cls").alias(c), F.col("sig").alias(f"sig_{c}"), F.col("n_shingles").alias(f"n_{c}"))
+def short_sets(rows: DataFrame, k: int) -> DataFrame:
+    """(cls, short): the set of each class's first document in a task, sorted, 32 bits a shingle."""
 
-    def may(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for part in slices(batches):
+            keys, shorts = [], []
+            for s in shingle_sets(part.column("text"), k):
+                key = class_key(s)
+                if key is not None and key not in seen:
+                    seen.add(key)
+                    keys.append(key)
+                    shorts.append((s >> np.uint64(32)).astype("<u4").tobytes())  # sorted as the whole hashes are
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(shorts, pa.binary())], names=["cls", "short"])
+
+    return rows.select("text").mapInArrow(read, "cls bigint, short binary")
+
+
+def verified(pairs: DataFrame, shorts: DataFrame, sigs: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes whose sets are similar: the suffix filter by the sizes of 64
+    parts, then the intersection of both sets (as multisets of 32-bit hashes)."""
+    side = lambda df, c, column: df.select(F.col("cls").alias(c), F.col(column).alias(f"_{c}"))
+
+    def by_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            parts = lambda c: np.frombuffer(b"".join(batch.column(f"sig_{c}").to_pylist()), dtype="<u2").reshape(-1, PARTS).astype(np.int64)  # noqa: E731, B023
-            x, y = parts("a"), parts("b")
-            n, m = (batch.column(c).to_numpy() for c in ("n_a", "n_b"))
-            most = np.where((x == 65535) & (y == 65535), n.clip(max=m)[:, None], np.minimum(x, y)).sum(axis=1)
-            ok = pa.array(most >= needed(n, m, percent))
+            parts = lambda c: np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype="<u2").reshape(-1, PARTS).astype(np.int64)  # noqa: E731, B023
+            x, y = parts("_a"), parts("_b")
+            n, m = x.sum(axis=1), y.sum(axis=1)
+            full = (x == 65535).any(axis=1) | (y == 65535).any(axis=1)  # part sizes unknown
+            ok = pa.array(full | (np.minimum(x, y).sum(axis=1) >= needed(n, m, percent)))
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(ok), batch.column("b").filter(ok)], names=["a", "b"])
 
-    left = pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(may, "a bigint, b bigint")
-    with_texts = left.join(texts.select(F.col("cls").alias("a"), F.col("text").alias("text_a")), "a").join(
-        texts.select(F.col("cls").alias("b"), F.col("text").alias("text_b")), "b")
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text_a"):
-            x, y = shingle_sets(part.column("text_a"), k), shingle_sets(part.column("text_b"), k)
+    def by_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             ok = []
-            for s, t in zip(x, y):
-                both = len(s) + len(t) - len(np.union1d(s, t))
-                ok.append(100 * both >= percent * (len(s) + len(t) - both))
+            for x, y in zip(batch.column("_a"), batch.column("_b")):
+                s, t = np.frombuffer(x.as_buffer(), "<u4"), np.frombuffer(y.as_buffer(), "<u4")
+                ok.append(shared_count(s, t) >= needed(len(s), len(t), percent))
             ok = pa.array(ok, pa.bool_())
-            yield pa.RecordBatch.from_arrays([part.column("a").filter(ok), part.column("b").filter(ok)], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(ok), batch.column("b").filter(ok)], names=["a", "b"])
+
+    left = pairs.select("a", "b")
+    for table, column, test in ((sigs, "sig", by_parts), (shorts, "short", by_sets)):
+        left = left.join(side(table, "a", column), "a").join(side(table, "b", column), "b").mapInArrow(test, "a bigint, b bigint")
+    return left
 
-    return with_texts.mapInArrow(verify, "a bigint, b bigint")
+
+def shared_count(s: np.ndarray, t: np.ndarray) -> int:
+    """Size of the intersection of two sorted multisets."""
+    values, counts = np.unique(s, return_counts=True)
+    others, more = np.unique(t, return_counts=True)
+    at = np.searchsorted(others, values)
+    hit = (at < len(others)) & (others[np.minimum(at, len(others) - 1)] == values) if len(others) else np.zeros(len(values), bool)
+    return int(np.minimum(counts[hit], more[at[hit]]).sum())
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -211,25 +312,22 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     more), itself included. Null and word-less texts have empty sets and link with
     nothing. A null id is nobody's smallest id while another is there; repeated rows are
     copies of each other; no rows give no rows; other columns are ignored. Shingles are
-    compared by 64-bit hashes.
+    compared by hashes (64 bits to find, 32 bits to verify).
     """
     shared_folder(docs.sparkSession)
     rows = _texts(docs)
-    read = _sets(rows, k, percent, frequent_shingles(rows, k))
-    read = read.withColumn("np", F.shiftleft(F.col("n_shingles"), 32)).checkpoint()
-    members = read.select("doc_id", "n_shingles", "cls")
-    classes = read.where("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
-    sigs = read.where("sig IS NOT NULL").groupBy("cls").agg(F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles"))
+    members = _sets(rows, k).checkpoint()
+    classes = members.where("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
+    sigs = members.where("sig IS NOT NULL").groupBy("cls").agg(F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles")).checkpoint()
+    members = members.drop("sig")
 
+    shared = shared_entries(rows, k, percent, frequent_shingles(rows, k)).checkpoint()
     # np: size and place in one number
-    entries = read.where("prefix IS NOT NULL").select("cls", F.posexplode("prefix").alias("_pos", "h"), "np").select(
-        "h", "cls", (F.col("np") + F.col("_pos")).alias("np"))
+    shared = shared.join(sigs.select("cls", "n_shingles"), "cls").select("h", "cls", (F.shiftleft("n_shingles", 32) + F.col("pos")).alias("np")).checkpoint()
     group = Window.partitionBy("h")
-    shared = entries.withColumns({"_lo": F.min("cls").over(group), "_hi": F.max("cls").over(group)}).where("_lo < _hi").select("h", "cls", "np")
-    shared = shared.checkpoint()
     active = shared.select("cls").distinct()
-    reps = active.join(classes, "cls").select("cls", F.col("doc_id").alias("_rep"))
-    texts = _of_class(rows, reps, k).checkpoint()
+    # met and kept by class: the joins below find the sets in place
+    shorts = short_sets(rows, k).join(active, "cls", "left_semi").dropDuplicates(["cls"]).checkpoint()
 
     size = lambda c: F.shiftright(c, 32)
     place = lambda c: F.col(c).bitwiseAND(0xFFFFFFFF)
@@ -254,7 +352,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         if pairs.isEmpty():
             break
         tried = pairs if tried is None else tried.unionByName(pairs)
-        links = verified(pairs, texts, sigs, k, percent).checkpoint()
+        links = verified(pairs, shorts, sigs, k, percent).checkpoint()
         if links.isEmpty():
             break
         labels = _merge(labels, links)
@@ -265,7 +363,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
                   .where((F.col("a") < F.col("b")) & (F.col("comp") != F.col("comp_b")) & fits("np", "np_b")).select("a", "b").distinct())
     if tried is not None:
         rest = rest.join(tried, ["a", "b"], "left_anti")
-    labels = _merge(labels, verified(rest, texts, sigs, k, percent).checkpoint())
+    labels = _merge(labels, verified(rest, shorts, sigs, k, percent).checkpoint())
 
     smallest = classes.join(labels, "cls", "left").select("cls", "doc_id", F.coalesce("comp", "cls").alias("comp"))
     least = smallest.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
@@ -274,19 +372,6 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     return with_class.unionByName(members.where("cls IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
-def _of_class(rows: DataFrame, reps: DataFrame, k: int) -> DataFrame:
-    """(cls, text), one text for each class, from its smallest document (repeated ids may bring other texts along)."""
-
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
-            keys = [int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True) for s in shingle_sets(part.column("text"), k)]
-            ok = pa.array([a == b for a, b in zip(keys, part.column("cls").to_pylist())], pa.bool_())
-            yield pa.RecordBatch.from_arrays([part.column("cls").filter(ok), part.column("text").filter(ok)], names=["cls", "text"])
-
-    found = rows.where("text IS NOT NULL").join(reps, F.col("doc_id").eqNullSafe(F.col("_rep"))).select("cls", "text")
-    return found.mapInArrow(keyed, "cls bigint, text string").dropDuplicates(["cls"])
-
-
 def _merge(labels: DataFrame, links: DataFrame) -> DataFrame:
     """Labels after joining the components that ``links`` (a, b) connect."""
     if links.isEmpty():
