@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BLANKS, byte_values, mix, rolling, shards_for, shared_folder, slices, text_buffer, words_of
+from .common import BLANKS, byte_values, mix, release, rolling, shards_for, shared_folder, slices, text_buffer, words_of
 
 #: Most frequent shingles that are ordered by their count (16 bytes each).
 FREQUENT = 1 << 20
@@ -327,7 +327,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     group = Window.partitionBy("h")
     active = shared.select("cls").distinct()
     # met and kept by class: the joins below find the sets in place
+    release(docs.sparkSession)
     shorts = short_sets(rows, k).join(active, "cls", "left_semi").dropDuplicates(["cls"]).checkpoint()
+    release(docs.sparkSession)
 
     size = lambda c: F.shiftright(c, 32)
     place = lambda c: F.col(c).bitwiseAND(0xFFFFFFFF)
@@ -356,6 +358,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         if links.isEmpty():
             break
         labels = _merge(labels, links)
+        release(docs.sparkSession)
     # what is left: every unverified pair between two components
     marked = shared.join(labels, "cls")
     other = marked.select("h", F.col("cls").alias("b"), F.col("np").alias("np_b"), F.col("comp").alias("comp_b"))
