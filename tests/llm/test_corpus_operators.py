@@ -108,6 +108,29 @@ def test_sharding(spark):
     assert sharding.shard(frame(spark, []), 40).count() == 0
 
 
+def test_sharding_cuts_only_what_quotas_force(spark):
+    hot = [(i, "the same" if i < 200 else f"t{i // 2}") for i in range(600)]
+    assert check_shards(frame(spark, hot), 8) <= 4
+    # copies only, so no room: two shards of 10 hold 3 + 3 + 2 + 2 and 2 * 5 whole
+    pairs = [(i, f"three {i // 3}" if i < 6 else f"two {i // 2}") for i in range(20)]
+    assert check_shards(frame(spark, pairs), 2) == 0
+    fours = [(i, f"four {i // 4}" if i < 320 else f"two {i // 2}") for i in range(480)]
+    assert check_shards(frame(spark, fours), 40) == 0
+
+
+def test_sharding_places():
+    for sizes, shards in (({3: 50, 2: 7}, 5), ({90: 3, 7: 4, 2: 1}, 8), ({5: 13, 3: 1, 2: 40}, 40)):
+        quota = sharding.quotas(sum(s * c for s, c in sizes.items()), shards)
+        plan, used = sharding.packed(sizes, quota), collections.Counter()
+        assert {s: sum(n for n, _ in places) for s, places in plan.items()} == sizes
+        for size, places in plan.items():
+            for n, parts in places:
+                assert sum(x for _, x in parts) == size
+                used.update({j: n * x for j, x in parts})
+        assert [used[j] for j in range(shards)] == quota
+        assert sum(n * (len(parts) - math.ceil(s / max(quota))) for s, places in plan.items() for n, parts in places) < shards
+
+
 def brute_base(text):
     t = text or ""
     w = [x for x in re.split("[\x20\x09-\x0D]+", t) if x]
