@@ -19,7 +19,8 @@ these prefixes seldom meet by chance.
   in rounds: in each group of a shingle, members are held against one pivot of another
   component, a document against its best pivot only; components grow; then every pair
   that is still between two components and wasn't verified yet is. Pairs within a
-  component can't change the result and are skipped, no others are.
+  component can't change the result and are skipped, no others are. That holds for the
+  components (``near_duplicates``); ``jaccard_links`` verifies and gives all pairs.
 """
 
 from __future__ import annotations
@@ -42,6 +43,8 @@ LOCAL_COUNT = 16
 PARTS = 64
 #: Rounds against pivots before all remaining pairs are compared.
 PIVOT_ROUNDS = 3
+#: Classes of a shingle that a task holds against all others of the shingle.
+SALTED = 1024
 
 
 def shingle_sets(column: pa.Array, k: int) -> list[np.ndarray]:
@@ -305,48 +308,73 @@ def shared_count(s: np.ndarray, t: np.ndarray) -> int:
     return int(np.minimum(counts[hit], more[at[hit]]).sum())
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, one row per input row.
-
-    ``component_id`` is the smallest doc_id reachable over links (percent of similarity or
-    more), itself included. Null and word-less texts have empty sets and link with
-    nothing. A null id is nobody's smallest id while another is there; repeated rows are
-    copies of each other; no rows give no rows; other columns are ignored. Shingles are
-    compared by hashes (64 bits to find, 32 bits to verify).
-    """
+def _compared(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(members by document, part sizes by class, prefix entries that classes share, sets of the classes that have such)."""
     shared_folder(docs.sparkSession)
     rows = _texts(docs)
     members = _sets(rows, k).checkpoint()
-    classes = members.where("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
     sigs = members.where("sig IS NOT NULL").groupBy("cls").agg(F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles")).checkpoint()
     members = members.drop("sig")
 
     shared = shared_entries(rows, k, percent, frequent_shingles(rows, k)).checkpoint()
     # np: size and place in one number
     shared = shared.join(sigs.select("cls", "n_shingles"), "cls").select("h", "cls", (F.shiftleft("n_shingles", 32) + F.col("pos")).alias("np")).checkpoint()
-    group = Window.partitionBy("h")
     active = shared.select("cls").distinct()
     # met and kept by class: the joins below find the sets in place
     release(docs.sparkSession)
     shorts = short_sets(rows, k).join(active, "cls", "left_semi").dropDuplicates(["cls"]).checkpoint()
     release(docs.sparkSession)
+    return members, sigs, shared, shorts
 
+
+def fits(x: str, y: str, percent: int):
+    """Length and positional filter of two entries of one shingle."""
     size = lambda c: F.shiftright(c, 32)
     place = lambda c: F.col(c).bitwiseAND(0xFFFFFFFF)
+    n, m = size(x), size(y)
+    least = F.ceil(F.lit(percent) * (n + m) / (100 + percent))
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (
+        F.least(place(x), place(y)) + F.least(n - place(x), m - place(y)) >= least)
+
+
+def jaccard_links(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
+    """(links, members): every pair of classes that are similar, and each document's class.
+
+    Links are (a, b), a < b, one row per pair of different sets of ``percent`` similarity or
+    more; members are (doc_id, n_shingles, cls), one row per input row, documents of equal
+    sets share a class, null and word-less texts have none. Every candidate pair is verified
+    once, whatever links it to others, so a group of m near copies gives up to m * m / 2
+    rows. A shingle that many classes share is dealt over tasks: one side by class, the
+    other to each of them.
+    """
+    members, sigs, shared, shorts = _compared(docs, k, percent)
+    held = shared.groupBy("h").agg(F.ceil(F.count(F.lit(1)) / SALTED).cast("int").alias("_n"))
+    dealt = shared.join(held, "h")
+    left = dealt.select("h", F.pmod(F.xxhash64("cls"), "_n").cast("int").alias("_s"), F.col("cls").alias("a"), "np")
+    right = dealt.select("h", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_s"), F.col("cls").alias("b"), F.col("np").alias("np_b"))
+    pairs = left.join(right, ["h", "_s"]).where((F.col("a") < F.col("b")) & fits("np", "np_b", percent)).select("a", "b").distinct()
+    return verified(pairs, shorts, sigs, k, percent), members
 
-    def fits(x: str, y: str):
-        """Length and positional filter of two entries of one shingle."""
-        n, m = size(x), size(y)
-        least = F.ceil(F.lit(percent) * (n + m) / (100 + percent))
-        return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (
-            F.least(place(x), place(y)) + F.least(n - place(x), m - place(y)) >= least)
 
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id, one row per input row.
+
+    ``component_id`` is the smallest doc_id reachable over links (percent of similarity or
+    more), itself included. Null and word-less texts have empty sets and link with
+    nothing. A null id is nobody's smallest id while another is there; repeated rows are
+    copies of each other; no rows give no rows; other columns are ignored. Shingles are
+    compared by hashes (64 bits to find, 32 bits to verify).
+    """
+    members, sigs, shared, shorts = _compared(docs, k, percent)
+    classes = members.where("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
+    group = Window.partitionBy("h")
+    active = shared.select("cls").distinct()
     labels = active.select("cls", F.col("cls").alias("comp")).checkpoint()
     tried = None
     for _ in range(PIVOT_ROUNDS):
         pivot = F.min(F.struct("comp", F.col("cls").alias("pc"), F.col("np").alias("pnp"))).over(group)
         held = shared.join(labels, "cls").withColumn("_p", pivot).select("cls", "comp", "np", "_p.pc", "_p.pnp", F.col("_p.comp").alias("pcomp"))
-        near = held.where((F.col("comp") != F.col("pcomp")) & fits("np", "pnp")).groupBy("cls", "pc").agg(F.count(F.lit(1)).alias("_n"))
+        near = held.where((F.col("comp") != F.col("pcomp")) & fits("np", "pnp", percent)).groupBy("cls", "pc").agg(F.count(F.lit(1)).alias("_n"))
         pairs = near.select(F.least("cls", "pc").alias("a"), F.greatest("cls", "pc").alias("b"), "cls", "_n")
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
@@ -363,7 +391,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     marked = shared.join(labels, "cls")
     other = marked.select("h", F.col("cls").alias("b"), F.col("np").alias("np_b"), F.col("comp").alias("comp_b"))
     rest = (marked.select("h", F.col("cls").alias("a"), "np", "comp").join(other, "h")
-                  .where((F.col("a") < F.col("b")) & (F.col("comp") != F.col("comp_b")) & fits("np", "np_b")).select("a", "b").distinct())
+                  .where((F.col("a") < F.col("b")) & (F.col("comp") != F.col("comp_b")) & fits("np", "np_b", percent)).select("a", "b").distinct())
     if tried is not None:
         rest = rest.join(tried, ["a", "b"], "left_anti")
     labels = _merge(labels, verified(rest, shorts, sigs, k, percent).checkpoint())

@@ -39,6 +39,11 @@ def brute_components(rows, k=5, percent=80):
     return sorted(((d, len(sets[i]), None if least[find(i)] == math.inf else least[find(i)]) for i, (d, _) in enumerate(rows)), key=repr)
 
 
+def set_of(t, k=5):
+    w = (t or "").translate(LOWER).encode().split()
+    return frozenset(tuple(w[i:i + k]) for i in range(len(w) - k + 1)) if len(w) >= k else frozenset({tuple(w)} if w else ())
+
+
 def near_copies():
     rng = random.Random(4)
     base = words(150, 9, 3000)
@@ -79,6 +84,21 @@ def test_components_of_a_chain(spark):
     assert {r.comp for r in jaccard_join.components(nodes, links).collect()} == {0}
 
 
+@pytest.mark.parametrize("salted", [1024, 2])
+def test_jaccard_links_gives_every_pair(spark, monkeypatch, salted):
+    monkeypatch.setattr(jaccard_join, "SALTED", salted)
+    rows = [(i, t) for i, (_, t) in enumerate([*near_copies(), (0, "One Two"), (0, "one two"), (0, None), (0, "")])]
+    links, members = jaccard_join.jaccard_links(frame(spark, rows), 5, 80)
+    got = [(r.a, r.b) for r in links.collect()]
+    cls = {r.doc_id: r.cls for r in members.collect()}
+    assert len(cls) == len(rows) and len(set(got)) == len(got) and all(a < b for a, b in got)
+    sets = {c: set_of(rows[i][1]) for i, c in cls.items()}
+    distinct = [s for s in {set_of(t) for _, t in rows} if s]
+    want = {frozenset((x, y)) for i, x in enumerate(distinct) for y in distinct[:i] if 100 * len(x & y) >= 80 * len(x | y)}
+    assert {frozenset((sets[a], sets[b])) for a, b in got} == want
+    assert len(want) > 60  # more links than a spanning forest of the chain has
+
+
 def check_shards(df, shards):
     rows = df.select("doc_id", "text").collect()
     got = sharding.shard(df, shards).collect()
