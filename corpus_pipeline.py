@@ -14,12 +14,12 @@ from kickoff.llm import decontaminate, jaccard_join, packing, quality_knn, secre
 from kickoff.llm.common import documents, stored
 from kickoff.llm.queries import tokenizer_file
 
-#: Documents that score below are rejected: clearly nearer to bad than to good ones.
+#: Documents that score below are rejected: all that aren't clearly nearer to good than to bad ones.
 QUALITY = 0.7
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that the nearest-neighbour classifier rejects."""
+    """Drops documents that the nearest-neighbour classifier rejects; none without usable labels."""
     return quality_knn.keep_good(docs, documents(spark, sf_dir, "labels"), QUALITY)
 
 

@@ -187,8 +187,14 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, s
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, sample: int = SAMPLE, label: str = "quality") -> DataFrame:
-    """The documents (all columns) that score ``threshold`` or more; see ``quality_scores``."""
+    """The documents (all columns) that score ``threshold`` or more; see ``quality_scores``.
+
+    Without a labelled document that isn't held out nothing rejects, and all are kept. Else
+    null and empty texts stay if the labels' base rate is ``threshold`` or more.
+    """
     sent, base = _model(docs, labels, label, sample)
+    if not len(sent.value["labels"]):
+        return docs
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         folder = Folder(sent.value["fold"])
