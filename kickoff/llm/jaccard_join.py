@@ -13,8 +13,9 @@ these prefixes seldom meet by chance.
 * Candidates pass the length filter, the positional filter (shared so far plus what is
   left behind both places) and the suffix filter (sets cut into parts by hash range:
   the overlap is at most the sum of the smaller part sizes), and are verified once per
-  pair on both sets, 32 bits a shingle: a pair just below the threshold passes wrongly
-  with a chance of about 1e-6 (two different shingles of equal hash), none is lost.
+  pair on both sets, at 64 bits a shingle in sets of more than ``SHORT`` and 32 bits in
+  others: a pair a shingle below the threshold, n / 9 differing shingles a side, passes
+  wrongly with a chance of (n / 9)^2 / 2^32, at most about 3e-6; none is lost.
 * A large group of near copies would give the square of its size in pairs. So links come
   in rounds: in each group of a shingle, members are held against one pivot of another
   component, a document against its best pivot only; components grow; then every pair
@@ -43,6 +44,8 @@ LOCAL_COUNT = 16
 PARTS = 64
 #: Rounds against pivots before all remaining pairs are compared.
 PIVOT_ROUNDS = 3
+#: Shingles up to which a set is verified by 32 bits each.
+SHORT = 1024
 #: Classes of a shingle that a task holds against all others of the shingle.
 SALTED = 1024
 
@@ -250,8 +253,21 @@ def components(nodes: DataFrame, links: DataFrame, rounds: int = 60) -> DataFram
     return labels
 
 
+def stored_set(s: np.ndarray) -> bytes:
+    """A sorted set, 32 bits a shingle up to SHORT shingles (sorted as the whole hashes are), else 64."""
+    return (s >> np.uint64(32)).astype("<u4").tobytes() if len(s) <= SHORT else s.astype("<u8").tobytes()
+
+
+def loaded_sets(x: pa.Buffer, y: pa.Buffer) -> tuple[np.ndarray, np.ndarray]:
+    """Two stored sets, both at the bits of the shorter entries."""
+    s, t = (np.frombuffer(b, "<u8" if len(b) > 4 * SHORT else "<u4") for b in (x, y))
+    if s.dtype != t.dtype:
+        s, t = ((u >> np.uint64(32)).astype("<u4") if u.dtype == np.uint64 else u for u in (s, t))
+    return s, t
+
+
 def short_sets(rows: DataFrame, k: int) -> DataFrame:
-    """(cls, short): the set of each class's first document in a task, sorted, 32 bits a shingle."""
+    """(cls, short): the set of each class's first document in a task, as stored_set() has it."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -262,7 +278,7 @@ def short_sets(rows: DataFrame, k: int) -> DataFrame:
                 if key is not None and key not in seen:
                     seen.add(key)
                     keys.append(key)
-                    shorts.append((s >> np.uint64(32)).astype("<u4").tobytes())  # sorted as the whole hashes are
+                    shorts.append(stored_set(s))
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(shorts, pa.binary())], names=["cls", "short"])
 
     return rows.select("text").mapInArrow(read, "cls bigint, short binary")
@@ -270,7 +286,7 @@ def short_sets(rows: DataFrame, k: int) -> DataFrame:
 
 def verified(pairs: DataFrame, shorts: DataFrame, sigs: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) of classes whose sets are similar: the suffix filter by the sizes of 64
-    parts, then the intersection of both sets (as multisets of 32-bit hashes)."""
+    parts, then the intersection of both sets (as multisets of hashes)."""
     side = lambda df, c, column: df.select(F.col("cls").alias(c), F.col(column).alias(f"_{c}"))
 
     def by_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -288,7 +304,7 @@ def verified(pairs: DataFrame, shorts: DataFrame, sigs: DataFrame, k: int, perce
         for batch in batches:
             ok = []
             for x, y in zip(batch.column("_a"), batch.column("_b")):
-                s, t = np.frombuffer(x.as_buffer(), "<u4"), np.frombuffer(y.as_buffer(), "<u4")
+                s, t = loaded_sets(x.as_buffer(), y.as_buffer())
                 ok.append(shared_count(s, t) >= needed(len(s), len(t), percent))
             ok = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(ok), batch.column("b").filter(ok)], names=["a", "b"])
@@ -363,7 +379,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     more), itself included. Null and word-less texts have empty sets and link with
     nothing. A null id is nobody's smallest id while another is there; repeated rows are
     copies of each other; no rows give no rows; other columns are ignored. Shingles are
-    compared by hashes (64 bits to find, 32 bits to verify).
+    compared by hashes (64 bits to find, 32 bits to verify sets of up to SHORT, 64 larger ones).
     """
     members, sigs, shared, shorts = _compared(docs, k, percent)
     classes = members.where("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))

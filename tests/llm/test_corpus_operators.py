@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from llm_cases import frame, odd_rows, rows_of, small_documents, with_clashes, words
 from pyspark.sql import functions as F
@@ -99,6 +100,21 @@ def test_jaccard_links_gives_every_pair(spark, monkeypatch, salted):
     assert len(want) > 60  # more links than a spanning forest of the chain has
 
 
+def test_large_sets_are_verified_by_whole_hashes():
+    rng = np.random.default_rng(1)
+    for n, far in ((jaccard_join.SHORT + 1, 100), (300_000, 30_000)):
+        s = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+        t = s.copy()
+        t[:far] ^= np.uint64(1)  # other shingles with the same upper 32 bits
+        t = np.sort(t)
+        x, y = jaccard_join.loaded_sets(*(pa.py_buffer(jaccard_join.stored_set(u)) for u in (s, t)))
+        assert jaccard_join.shared_count(x, y) == len(np.intersect1d(s, t)) < n
+    few = s[:jaccard_join.SHORT]
+    for u in (few, s[:jaccard_join.SHORT + 1]):  # both widths, and one of each
+        x, y = jaccard_join.loaded_sets(*(pa.py_buffer(jaccard_join.stored_set(v)) for v in (few, u)))
+        assert x.dtype == y.dtype and jaccard_join.shared_count(x, y) == len(few)
+
+
 def check_shards(df, shards):
     rows = df.select("doc_id", "text").collect()
     got = sharding.shard(df, shards).collect()
