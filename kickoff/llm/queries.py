@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard_join, packing, quality_knn, quality_rules, secrets, sharding, substring_dedup, token_counts, toxicity
+from . import (
+    decontaminate, fingerprints, jaccard_join, packing, prefix_trie, quality_knn, quality_rules, secrets, sharding, source_divergence, substring_dedup,
+    token_counts, toxicity)
 from .common import documents
 
 
@@ -66,14 +68,31 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_report(documents(spark, sf_dir))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the prefix trie of all rebuilt conversations."""
+    return prefix_trie.prefix_trie(documents(spark, sf_dir, "conversations"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Divergence of every source from the other ones of its language, and the terms that set it apart."""
+    return source_divergence.divergence(documents(spark, sf_dir), 3, 200)
+
+
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and its edited text, and their likeness."""
+    return fingerprints.edited_fingerprints(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (op1_substring_dedup, op2_token_counts, op3_decontamination, op4_toxicity, op5_jaccard_join,
-             op6_sharding, op7_quality_classifier, op8_quality_rules, op9_packing, op10_secret_scan)
+             op6_sharding, op7_quality_classifier, op8_quality_rules, op9_packing, op10_secret_scan,
+             op11_prefix_trie, op12_source_divergence, op13_fingerprints)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": REPEATS_SQL, "op3_decontamination": CONTAMINATION_SQL, "op5_jaccard_join": NEAR_DUPLICATES_SQL}
+    return {"op1_substring_dedup": REPEATS_SQL, "op3_decontamination": CONTAMINATION_SQL, "op5_jaccard_join": NEAR_DUPLICATES_SQL,
+            "op11_prefix_trie": PREFIX_TRIE_SQL, "op12_source_divergence": DIVERGENCE_SQL}
 
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -115,3 +134,40 @@ nearest AS (SELECT a, MIN(b) AS b FROM reach GROUP BY a)
 SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, least(d.doc_id, coalesce(nearest.b, d.doc_id)) AS component_id
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN nearest ON nearest.a = d.doc_id
 '''
+
+PREFIX_TRIE_SQL = r'''
+WITH RECURSIVE tab AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, [0, 0, 0, 0, 0, 0, 0, 0]), lambda c, z: CASE WHEN c % 2 = 1 THEN xor(3988292384, c // 2) ELSE c // 2 END)) AS t),
+t AS (SELECT CAST(conv_id AS BIGINT) AS c, md5(strlen(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, '')) AS id, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words, turn
+      FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT c, list({'id': id, 'w': words} ORDER BY turn NULLS FIRST, id) AS s FROM t GROUP BY c),
+h AS (SELECT c, s, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda a, b: xor(tab.t[xor(a, b) % 256 + 1], a // 256))) % 4 AS h FROM o, tab),
+r AS (SELECT h.c, coalesce(b.s[1:h.h], []) || h.s[h.h + 1:] AS s FROM h LEFT JOIN o b ON b.c = h.c - h.c % 20),
+m AS (SELECT c, d, len(s) = d AS ends, list_transform(s[1:d], lambda x: x.id) AS k, CASE WHEN d > 0 THEN s[d].w ELSE 0 END AS w FROM (SELECT c, s, unnest(range(len(s) + 1)) AS d FROM r)),
+node AS (SELECT k, any_value(d) AS d, MIN(c) AS conv_id, COUNT(*) AS n, any_value(w) AS w, string_agg(CASE WHEN ends THEN CAST(c AS VARCHAR) END, ',' ORDER BY c) AS e FROM m GROUP BY k),
+kids AS (SELECT k[1:d - 1] AS k, COUNT(*) AS n_children FROM node WHERE d > 0 GROUP BY ALL),
+full_ AS (SELECT node.*, coalesce(n_children, 0) AS n_children FROM node LEFT JOIN kids USING (k)),
+up AS (SELECT k[1:i] AS k, SUM((n_children = 0)::BIGINT) AS n_leaves, SUM((n - 1) * w) AS saved FROM (SELECT *, unnest(range(d + 1)) AS i FROM full_) GROUP BY ALL)
+SELECT f.conv_id, CAST(f.d AS BIGINT) AS depth, p.conv_id AS parent_conv_id, CAST(f.n AS BIGINT) AS n_convs, CAST(f.n_children AS BIGINT) AS n_children, CAST(up.n_leaves AS BIGINT) AS n_leaves,
+       CAST(up.saved AS BIGINT) AS saved_tokens, sha256(coalesce(f.e, '')) AS ends_sha256
+FROM full_ f JOIN up USING (k) LEFT JOIN node p ON f.d > 0 AND p.k = f.k[1:f.d - 1]
+'''
+
+DIVERGENCE_SQL = rf'''
+WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                  regexp_extract_all({_LOWER}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+kept AS (SELECT lang, term FROM (SELECT lang, unnest(list_distinct(w)) AS term FROM d) GROUP BY ALL HAVING COUNT(*) >= 3),
+v AS (SELECT lang, COUNT(*) AS v FROM kept GROUP BY lang),
+c AS (SELECT lang, source, term, COUNT(*) AS n FROM (SELECT lang, source, unnest(w) AS term FROM d) JOIN kept USING (lang, term) GROUP BY ALL),
+g AS (SELECT lang, source, coalesce(t, 0) AS t, coalesce(v, 0) AS v FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN (SELECT lang, source, SUM(n) AS t FROM c GROUP BY ALL) USING (lang, source) LEFT JOIN v USING (lang)),
+p AS (SELECT g.lang, g.source, kept.term, coalesce(n, 0) AS n, 1 + CAST(1000000000 * (coalesce(n, 0) + 1)::HUGEINT // (t + v)::HUGEINT AS BIGINT) AS p
+      FROM g JOIN kept USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = kept.term),
+ln AS (SELECT lang, term, SUM(n) AS n FROM c GROUP BY ALL),
+q AS (SELECT lang, term, 1 + CAST(1000000000 * (n + 1)::HUGEINT // ((SELECT SUM(l.n) FROM ln l WHERE l.lang = ln.lang) + v)::HUGEINT AS BIGINT) AS q FROM ln JOIN v USING (lang)),
+pv AS (SELECT x.lang, x.source, y.source AS item, SUM((x.p - y.p) * (x.p - y.p) // y.p) AS value FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL),
+pairs AS (SELECT x.lang, x.source, y.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value FROM g x JOIN g y ON x.lang = y.lang AND x.source <> y.source
+          LEFT JOIN pv ON pv.lang = x.lang AND pv.source = x.source AND pv.item = y.source),
+terms AS (SELECT lang, source, term AS item, CAST((p - q) * (p - q) // q AS BIGINT) AS value FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q)
+SELECT lang, source, 'pair' AS part, item, value, CAST(row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS INTEGER) AS rank FROM pairs
+UNION ALL
+SELECT * FROM (SELECT lang, source, 'term' AS part, item, value, CAST(row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS INTEGER) AS rank FROM terms) WHERE rank <= 200
+'''
