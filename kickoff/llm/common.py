@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,14 +26,6 @@ def shared_folder(spark: SparkSession) -> str:
     return checkpoint_dir(spark)
 
 
-def release(spark: SparkSession) -> None:
-    """Have the driver drop what nothing refers to any more: Spark's cleaner then removes the
-    shuffle files and checkpoints behind it, which else stay until the driver's heap fills.
-    For work in rounds, between them."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as a compressed table in the shared folder, and read back: for rows with texts."""
     path = scratch_path(df.sparkSession, name)

@@ -13,9 +13,8 @@ these prefixes seldom meet by chance.
 * Candidates pass the length filter, the positional filter (shared so far plus what is
   left behind both places) and the suffix filter (sets cut into parts by hash range:
   the overlap is at most the sum of the smaller part sizes), and are verified once per
-  pair on both sets, at 64 bits a shingle in sets of more than ``SHORT`` and 32 bits in
-  others: a pair a shingle below the threshold, n / 9 differing shingles a side, passes
-  wrongly with a chance of (n / 9)^2 / 2^32, at most about 3e-6; none is lost.
+  pair on both sets, at 64 bits a shingle. Only classes of pairs that passed the filters
+  get a set, from one document each, found by a Bloom filter of those documents' ids.
 * A large group of near copies would give the square of its size in pairs. So links come
   in rounds: in each group of a shingle, members are held against one pivot of another
   component, a document against its best pivot only; components grow; then every pair
@@ -34,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BLANKS, byte_values, mix, release, rolling, shards_for, shared_folder, slices, text_buffer, words_of
+from .common import BLANKS, byte_values, mix, rolling, shards_for, shared_folder, slices, text_buffer, words_of
 
 #: Most frequent shingles that are ordered by their count (16 bytes each).
 FREQUENT = 1 << 20
@@ -44,8 +43,8 @@ LOCAL_COUNT = 16
 PARTS = 64
 #: Rounds against pivots before all remaining pairs are compared.
 PIVOT_ROUNDS = 3
-#: Shingles up to which a set is verified by 32 bits each.
-SHORT = 1024
+#: Words of 64 bits of the Bloom filter of documents whose sets are read, and bits an id sets.
+BLOOM_WORDS, BLOOM_PROBES = 1 << 20, 4
 #: Classes of a shingle that a task holds against all others of the shingle.
 SALTED = 1024
 
@@ -231,7 +230,7 @@ def shared_entries(rows: DataFrame, k: int, percent: int, frequent: np.ndarray)
     return dealt.sortWithinPartitions("part").mapInArrow(meet, "h bigint, cls bigint, pos bigint")
 
 
-def components(nodes: DataFrame, links: DataFrame, rounds: int = 60) -> DataFrame:
+def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """(cls, comp): the smallest class key that each of ``nodes`` (cls, comp) reaches over ``links`` (a, b) between them.
 
     Labels spread along links and then jump to their label's label; nothing but columns
@@ -241,7 +240,7 @@ def components(nodes: DataFrame, links: DataFrame, rounds: int = 60) -> DataFram
         return nodes
     both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).checkpoint()
     labels = nodes
-    for _ in range(rounds):
+    while True:
         seen = both.join(labels.select(F.col("cls").alias("b"), F.col("comp").alias("_c")), "b").groupBy("a").agg(F.min("_c").alias("_m"))
         spread = labels.join(seen.withColumnRenamed("a", "cls"), "cls", "left").select("cls", "comp", F.least("comp", F.coalesce("_m", "comp")).alias("_new"))
         # a label that fell takes its holders along: they ask the node that the old label names
@@ -249,45 +248,48 @@ def components(nodes: DataFrame, links: DataFrame, rounds: int = 60) -> DataFram
         moved = spread.join(fell, F.col("_new") == F.col("_old"), "left").select("cls", F.col("comp").alias("_was"), F.least("_new", F.coalesce("_to", "_new")).alias("comp")).checkpoint()
         labels = moved.select("cls", "comp")
         if moved.where("comp <> _was").isEmpty():
-            break
-    return labels
+            return labels
 
 
-def stored_set(s: np.ndarray) -> bytes:
-    """A sorted set, 32 bits a shingle up to SHORT shingles (sorted as the whole hashes are), else 64."""
-    return (s >> np.uint64(32)).astype("<u4").tobytes() if len(s) <= SHORT else s.astype("<u8").tobytes()
+def bloom(ids: DataFrame) -> np.ndarray:
+    """A Bloom filter of (at most BLOOM_WORDS words) over the column ``doc_id``; more ids only let more others pass."""
+    bits = 64 * BLOOM_WORDS
+    probes = [F.pmod(F.xxhash64(F.lit(i), F.coalesce("doc_id", F.lit(0))), F.lit(bits)) for i in range(BLOOM_PROBES)]
+    set_bits = ids.select(F.explode(F.array(*probes)).alias("bit")).groupBy(F.shiftright("bit", 6).cast("int").alias("word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 AS int))")).alias("bits"))
+    got = set_bits.toPandas()  # at most BLOOM_WORDS rows
+    words = np.zeros(BLOOM_WORDS, np.int64)
+    words[got["word"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64)
+    return words
 
 
-def loaded_sets(x: pa.Buffer, y: pa.Buffer) -> tuple[np.ndarray, np.ndarray]:
-    """Two stored sets, both at the bits of the shorter entries."""
-    s, t = (np.frombuffer(b, "<u8" if len(b) > 4 * SHORT else "<u4") for b in (x, y))
-    if s.dtype != t.dtype:
-        s, t = ((u >> np.uint64(32)).astype("<u4") if u.dtype == np.uint64 else u for u in (s, t))
-    return s, t
+def sets_of(rows: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """(cls, shingles): the sorted set of each class of ``wanted`` (cls, doc_id), read from the document named there."""
+    sent = rows.sparkSession.sparkContext.broadcast(bloom(wanted))
+    probes = [F.pmod(F.xxhash64(F.lit(i), F.coalesce("doc_id", F.lit(0))), F.lit(64 * BLOOM_WORDS)).alias(f"p{i}") for i in range(BLOOM_PROBES)]
 
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = sent.value
+        for batch in batches:
+            some = np.ones(batch.num_rows, bool)
+            for i in range(BLOOM_PROBES):
+                bit = batch.column(f"p{i}").to_numpy()
+                some &= (words[bit >> 6] >> (bit & 63)) & 1 == 1
+            for part in slices(iter([batch.select(["text"]).filter(pa.array(some))])):
+                found = [(key, s.astype("<u8").tobytes()) for s in shingle_sets(part.column("text"), k) if (key := class_key(s)) is not None]
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.binary())], names=["cls", "shingles"])
 
-def short_sets(rows: DataFrame, k: int) -> DataFrame:
-    """(cls, short): the set of each class's first document in a task, as stored_set() has it."""
+    return rows.select("text", *probes).mapInArrow(read, "cls bigint, shingles binary").join(wanted.select("cls"), "cls", "left_semi").dropDuplicates(["cls"])
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for part in slices(batches):
-            keys, shorts = [], []
-            for s in shingle_sets(part.column("text"), k):
-                key = class_key(s)
-                if key is not None and key not in seen:
-                    seen.add(key)
-                    keys.append(key)
-                    shorts.append(stored_set(s))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(shorts, pa.binary())], names=["cls", "short"])
 
-    return rows.select("text").mapInArrow(read, "cls bigint, short binary")
+def _with(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
+    """The pairs (a, b) with both classes' value of ``column`` as _a and _b."""
+    side = lambda c: table.select(F.col("cls").alias(c), F.col(column).alias(f"_{c}"))
+    return pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
 
 
-def verified(pairs: DataFrame, shorts: DataFrame, sigs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes whose sets are similar: the suffix filter by the sizes of 64
-    parts, then the intersection of both sets (as multisets of hashes)."""
-    side = lambda df, c, column: df.select(F.col("cls").alias(c), F.col(column).alias(f"_{c}"))
+def possible(pairs: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
+    """The suffix filter: the pairs whose parts' sizes allow the similarity."""
 
     def by_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -300,47 +302,56 @@ def verified(pairs: DataFrame, shorts: DataFrame, sigs: DataFrame, k: int, perce
             ok = pa.array(full | (np.minimum(x, y).sum(axis=1) >= needed(n, m, percent)))
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(ok), batch.column("b").filter(ok)], names=["a", "b"])
 
+    return _with(pairs, sigs, "sig").mapInArrow(by_parts, "a bigint, b bigint")
+
+
+def similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose sets are similar, by the intersection of both."""
+
     def by_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok = []
             for x, y in zip(batch.column("_a"), batch.column("_b")):
-                s, t = loaded_sets(x.as_buffer(), y.as_buffer())
-                ok.append(shared_count(s, t) >= needed(len(s), len(t), percent))
+                s, t = (np.frombuffer(z.as_buffer(), "<u8") for z in (x, y))
+                ok.append(len(np.intersect1d(s, t, assume_unique=True)) >= needed(len(s), len(t), percent))
             ok = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(ok), batch.column("b").filter(ok)], names=["a", "b"])
 
-    left = pairs.select("a", "b")
-    for table, column, test in ((sigs, "sig", by_parts), (shorts, "short", by_sets)):
-        left = left.join(side(table, "a", column), "a").join(side(table, "b", column), "b").mapInArrow(test, "a bigint, b bigint")
-    return left
+    return _with(pairs, sets, "shingles").mapInArrow(by_sets, "a bigint, b bigint")
 
 
-def shared_count(s: np.ndarray, t: np.ndarray) -> int:
-    """Size of the intersection of two sorted multisets."""
-    values, counts = np.unique(s, return_counts=True)
-    others, more = np.unique(t, return_counts=True)
-    at = np.searchsorted(others, values)
-    hit = (at < len(others)) & (others[np.minimum(at, len(others) - 1)] == values) if len(others) else np.zeros(len(values), bool)
-    return int(np.minimum(counts[hit], more[at[hit]]).sum())
+class Verifier:
+    """Tells the similar pairs among candidates; reads each class's set at most once."""
 
+    def __init__(self, rows: DataFrame, members: DataFrame, sigs: DataFrame, k: int, percent: int):
+        self.rows, self.sigs, self.k, self.percent = rows, sigs, k, percent
+        self.first = members.where("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
+        self.sets: DataFrame | None = None
 
-def _compared(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(members by document, part sizes by class, prefix entries that classes share, sets of the classes that have such)."""
+    def links(self, pairs: DataFrame) -> DataFrame:
+        """The similar ones of ``pairs`` (a, b), stored."""
+        pairs = possible(pairs, self.sigs, self.percent).checkpoint()
+        classes = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+        if self.sets is not None:
+            classes = classes.join(self.sets.select("cls"), "cls", "left_anti")
+        fresh = self.first.join(classes, "cls", "left_semi").checkpoint()
+        if not fresh.isEmpty():
+            found = sets_of(self.rows, fresh, self.k).checkpoint()
+            self.sets = found if self.sets is None else self.sets.unionByName(found)
+        return pairs.limit(0) if self.sets is None else similar(pairs, self.sets, self.percent).checkpoint()
+
+
+def _compared(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame, Verifier]:
+    """(members by document, prefix entries that classes share, what verifies pairs of classes)."""
     shared_folder(docs.sparkSession)
     rows = _texts(docs)
     members = _sets(rows, k).checkpoint()
     sigs = members.where("sig IS NOT NULL").groupBy("cls").agg(F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles")).checkpoint()
     members = members.drop("sig")
 
-    shared = shared_entries(rows, k, percent, frequent_shingles(rows, k)).checkpoint()
     # np: size and place in one number
-    shared = shared.join(sigs.select("cls", "n_shingles"), "cls").select("h", "cls", (F.shiftleft("n_shingles", 32) + F.col("pos")).alias("np")).checkpoint()
-    active = shared.select("cls").distinct()
-    # met and kept by class: the joins below find the sets in place
-    release(docs.sparkSession)
-    shorts = short_sets(rows, k).join(active, "cls", "left_semi").dropDuplicates(["cls"]).checkpoint()
-    release(docs.sparkSession)
-    return members, sigs, shared, shorts
+    shared = shared_entries(rows, k, percent, frequent_shingles(rows, k)).join(sigs.select("cls", "n_shingles"), "cls").select("h", "cls", (F.shiftleft("n_shingles", 32) + F.col("pos")).alias("np")).checkpoint()
+    return members, shared, Verifier(rows, members, sigs, k, percent)
 
 
 def fits(x: str, y: str, percent: int):
@@ -363,13 +374,13 @@ def jaccard_links(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataF
     rows. A shingle that many classes share is dealt over tasks: one side by class, the
     other to each of them.
     """
-    members, sigs, shared, shorts = _compared(docs, k, percent)
+    members, shared, verifier = _compared(docs, k, percent)
     held = shared.groupBy("h").agg(F.ceil(F.count(F.lit(1)) / SALTED).cast("int").alias("_n"))
     dealt = shared.join(held, "h")
     left = dealt.select("h", F.pmod(F.xxhash64("cls"), "_n").cast("int").alias("_s"), F.col("cls").alias("a"), "np")
     right = dealt.select("h", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_s"), F.col("cls").alias("b"), F.col("np").alias("np_b"))
     pairs = left.join(right, ["h", "_s"]).where((F.col("a") < F.col("b")) & fits("np", "np_b", percent)).select("a", "b").distinct()
-    return verified(pairs, shorts, sigs, k, percent), members
+    return verifier.links(pairs), members
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -379,9 +390,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     more), itself included. Null and word-less texts have empty sets and link with
     nothing. A null id is nobody's smallest id while another is there; repeated rows are
     copies of each other; no rows give no rows; other columns are ignored. Shingles are
-    compared by hashes (64 bits to find, 32 bits to verify sets of up to SHORT, 64 larger ones).
+    compared by hashes of 64 bits.
     """
-    members, sigs, shared, shorts = _compared(docs, k, percent)
+    members, shared, verifier = _compared(docs, k, percent)
     classes = members.where("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
     group = Window.partitionBy("h")
     active = shared.select("cls").distinct()
@@ -398,11 +409,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         if pairs.isEmpty():
             break
         tried = pairs if tried is None else tried.unionByName(pairs)
-        links = verified(pairs, shorts, sigs, k, percent).checkpoint()
+        links = verifier.links(pairs)
         if links.isEmpty():
             break
         labels = _merge(labels, links)
-        release(docs.sparkSession)
     # what is left: every unverified pair between two components
     marked = shared.join(labels, "cls")
     other = marked.select("h", F.col("cls").alias("b"), F.col("np").alias("np_b"), F.col("comp").alias("comp_b"))
@@ -410,7 +420,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
                   .where((F.col("a") < F.col("b")) & (F.col("comp") != F.col("comp_b")) & fits("np", "np_b", percent)).select("a", "b").distinct())
     if tried is not None:
         rest = rest.join(tried, ["a", "b"], "left_anti")
-    labels = _merge(labels, verified(rest, shorts, sigs, k, percent).checkpoint())
+    labels = _merge(labels, verifier.links(rest))
 
     smallest = classes.join(labels, "cls", "left").select("cls", "doc_id", F.coalesce("comp", "cls").alias("comp"))
     least = smallest.groupBy("comp").agg(F.min("doc_id").alias("component_id"))

@@ -100,19 +100,32 @@ def test_jaccard_links_gives_every_pair(spark, monkeypatch, salted):
     assert len(want) > 60  # more links than a spanning forest of the chain has
 
 
-def test_large_sets_are_verified_by_whole_hashes():
+def test_sets_of_all_sizes_are_verified_by_whole_hashes(spark):
     rng = np.random.default_rng(1)
-    for n, far in ((jaccard_join.SHORT + 1, 100), (300_000, 30_000)):
+    sets, pairs, want = [], [], set()
+    for n in (9, 900, 1035, 300_006):
         s = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
-        t = s.copy()
-        t[:far] ^= np.uint64(1)  # other shingles with the same upper 32 bits
-        t = np.sort(t)
-        x, y = jaccard_join.loaded_sets(*(pa.py_buffer(jaccard_join.stored_set(u)) for u in (s, t)))
-        assert jaccard_join.shared_count(x, y) == len(np.intersect1d(s, t)) < n
-    few = s[:jaccard_join.SHORT]
-    for u in (few, s[:jaccard_join.SHORT + 1]):  # both widths, and one of each
-        x, y = jaccard_join.loaded_sets(*(pa.py_buffer(jaccard_join.stored_set(v)) for v in (few, u)))
-        assert x.dtype == y.dtype and jaccard_join.shared_count(x, y) == len(few)
+        for far in (n // 9, n // 9 + 1):  # 80 % alike, and a shingle less; the far ones have the same upper 32 bits
+            t = s.copy()
+            t[:far] ^= np.uint64(1)
+            a = len(sets)
+            sets += [(a, s.tobytes()), (a + 1, np.sort(t).tobytes())]
+            pairs.append((a, a + 1))
+            i = len(np.intersect1d(s, t))
+            if 100 * i >= 80 * (2 * len(s) - i):
+                want.add((a, a + 1))
+    assert len(want) == len(pairs) // 2
+    got = jaccard_join.similar(spark.createDataFrame(pairs, "a bigint, b bigint"), spark.createDataFrame(sets, "cls bigint, shingles binary"), 80)
+    assert {tuple(r) for r in got.collect()} == want
+
+
+@pytest.mark.parametrize("probes", [0, 1])
+def test_sets_are_read_whatever_the_filter_lets_pass(spark, monkeypatch, probes):
+    monkeypatch.setattr(jaccard_join, "BLOOM_WORDS", 1)
+    monkeypatch.setattr(jaccard_join, "BLOOM_PROBES", probes)
+    rows = near_copies()
+    rows += [(None, t) for _, t in rows[:20]] + [(rows[0][0], rows[1][1])]
+    assert rows_of(jaccard_join.near_duplicates(frame(spark, rows)), "doc_id", "n_shingles", "component_id") == brute_components(rows)
 
 
 def check_shards(df, shards):
