@@ -33,14 +33,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.joins import join_small
 from .common import BLANKS, byte_values, mix, rolling, shards_for, shared_folder, slices, text_buffer, words_of
 
 #: Most frequent shingles that are ordered by their count (16 bytes each).
 FREQUENT = 1 << 20
 #: A task reports a shingle that this many of its documents have.
 LOCAL_COUNT = 16
-#: Parts of a set in the suffix filter.
-PARTS = 64
+#: Shingles of a part of a set in the suffix filter, about; small sets have 64 parts.
+PART = 4
 #: Rounds against pivots before all remaining pairs are compared.
 PIVOT_ROUNDS = 3
 #: Words of 64 bits of the Bloom filter of documents whose sets are read, and bits an id sets.
@@ -72,8 +73,16 @@ def needed(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
 
 
 def signature(shingles: np.ndarray) -> bytes:
-    """Sizes of the set's parts by hash range (at most 65535 each are told apart)."""
-    return np.minimum(np.bincount((shingles >> np.uint64(58)).astype(np.int64), minlength=PARTS), 65535).astype("<u2").tobytes()
+    """Sizes of the set's parts by hash range, a byte each (255 stands for any size from there)."""
+    bits = max(6, (len(shingles) // PART - 1).bit_length())
+    return np.minimum(np.bincount((shingles >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes()
+
+
+def most_shared(x: bytes, y: bytes) -> int:
+    """What two sets can have in common by the sizes of their parts; the longer signature is folded to the shorter."""
+    s, t = (np.frombuffer(z, np.uint8).astype(np.int64) for z in sorted((x, y), key=len))
+    s[s == 255], t[t == 255] = 1 << 40, 1 << 40
+    return int(np.minimum(s, t.reshape(len(s), -1).sum(axis=1)).sum())
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -279,66 +288,67 @@ def sets_of(rows: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
                 found = [(key, s.astype("<u8").tobytes()) for s in shingle_sets(part.column("text"), k) if (key := class_key(s)) is not None]
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.binary())], names=["cls", "shingles"])
 
-    return rows.select("text", *probes).mapInArrow(read, "cls bigint, shingles binary").join(wanted.select("cls"), "cls", "left_semi").dropDuplicates(["cls"])
+    return rows.select("text", *probes).mapInArrow(read, "cls bigint, shingles binary")
 
 
-def _with(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
-    """The pairs (a, b) with both classes' value of ``column`` as _a and _b."""
-    side = lambda c: table.select(F.col("cls").alias(c), F.col(column).alias(f"_{c}"))
-    return pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
+PAIRS = "center bigint, member bigint"
 
 
 def possible(pairs: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
-    """The suffix filter: the pairs whose parts' sizes allow the similarity."""
+    """The suffix filter: the pairs (center, member) whose parts' sizes allow the similarity."""
 
     def by_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            parts = lambda c: np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype="<u2").reshape(-1, PARTS).astype(np.int64)  # noqa: E731, B023
-            x, y = parts("_a"), parts("_b")
-            n, m = x.sum(axis=1), y.sum(axis=1)
-            full = (x == 65535).any(axis=1) | (y == 65535).any(axis=1)  # part sizes unknown
-            ok = pa.array(full | (np.minimum(x, y).sum(axis=1) >= needed(n, m, percent)))
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(ok), batch.column("b").filter(ok)], names=["a", "b"])
+            n, m = (batch.column(f"n_{c}").to_numpy() for c in ("center", "member"))
+            most = np.asarray([most_shared(x, y) for x, y in zip(batch.column("s_center").to_pylist(), batch.column("s_member").to_pylist())], np.int64)
+            yield batch.select(["center", "member"]).filter(pa.array(most >= needed(n, m, percent)))
 
-    return _with(pairs, sigs, "sig").mapInArrow(by_parts, "a bigint, b bigint")
+    side = lambda c: sigs.select(F.col("cls").alias(c), F.col("sig").alias(f"s_{c}"), F.col("n_shingles").alias(f"n_{c}"))
+    return pairs.select("center", "member").join(side("center"), "center").join(side("member"), "member").mapInArrow(by_parts, PAIRS)
 
 
 def similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose sets are similar, by the intersection of both."""
+    """The pairs (center, member) whose sets are similar, given ``sets`` (cls, shingles; a class may come twice).
 
-    def by_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Members' sets meet their center's, which is held while they pass by; a center of
+    many members is dealt over tasks.
+    """
+    held = pairs.groupBy("center").agg(F.ceil(F.count(F.lit(1)) / SALTED).cast("int").alias("n")).join(pairs, "center")
+    at = lambda cls, salt, late: held.select(F.col(cls).alias("cls"), "center", salt.alias("salt"), F.lit(late).alias("late"))
+    meet = at("member", F.pmod(F.xxhash64("member"), "n").cast("int"), True).unionByName(at("center", F.explode(F.sequence(F.lit(0), F.col("n") - 1)), False).distinct())
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, last = np.empty(0, np.uint64), None
         for batch in batches:
-            ok = []
-            for x, y in zip(batch.column("_a"), batch.column("_b")):
-                s, t = (np.frombuffer(z.as_buffer(), "<u8") for z in (x, y))
-                ok.append(len(np.intersect1d(s, t, assume_unique=True)) >= needed(len(s), len(t), percent))
-            ok = pa.array(ok, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(ok), batch.column("b").filter(ok)], names=["a", "b"])
+            found = []
+            for center, cls, late, shingles in zip(*(batch.column(c).to_pylist() for c in ("center", "cls", "late")), batch.column("shingles")):
+                if not late:
+                    own, last = np.frombuffer(shingles.as_py(), "<u8"), None
+                elif cls != last:
+                    other, last = np.frombuffer(shingles.as_buffer(), "<u8"), cls
+                    place = np.minimum(np.searchsorted(own, other), len(own) - 1)
+                    if (own[place] == other).sum() >= needed(len(own), len(other), percent):
+                        found.append((center, cls))
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], names=["center", "member"])
 
-    return _with(pairs, sets, "shingles").mapInArrow(by_sets, "a bigint, b bigint")
+    met = join_small(sets, meet, "cls", "inner").repartition("center", "salt").sortWithinPartitions("center", "salt", "late", "cls")
+    return met.select("center", "cls", "late", "shingles").mapInArrow(compare, PAIRS)
 
 
 class Verifier:
-    """Tells the similar pairs among candidates; reads each class's set at most once."""
+    """Tells the similar pairs among candidates (center, member)."""
 
     def __init__(self, rows: DataFrame, members: DataFrame, sigs: DataFrame, k: int, percent: int):
         self.rows, self.sigs, self.k, self.percent = rows, sigs, k, percent
         self.first = members.where("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
-        self.sets: DataFrame | None = None
 
     def links(self, pairs: DataFrame) -> DataFrame:
-        """The similar ones of ``pairs`` (a, b), stored."""
+        """The similar ones as (a, b), a < b, stored."""
         pairs = possible(pairs, self.sigs, self.percent).checkpoint()
-        classes = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-        if self.sets is not None:
-            classes = classes.join(self.sets.select("cls"), "cls", "left_anti")
-        fresh = self.first.join(classes, "cls", "left_semi").checkpoint()
-        if not fresh.isEmpty():
-            found = sets_of(self.rows, fresh, self.k).checkpoint()
-            self.sets = found if self.sets is None else self.sets.unionByName(found)
-        return pairs.limit(0) if self.sets is None else similar(pairs, self.sets, self.percent).checkpoint()
+        if not pairs.isEmpty():
+            wanted = self.first.join(pairs.select(F.explode(F.array("center", "member")).alias("cls")).distinct(), "cls", "left_semi")
+            pairs = similar(pairs, sets_of(self.rows, wanted, self.k), self.percent).checkpoint()
+        return pairs.select(F.least("center", "member").alias("a"), F.greatest("center", "member").alias("b"))
 
 
 def _compared(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame, Verifier]:
@@ -364,6 +374,22 @@ def fits(x: str, y: str, percent: int):
         F.least(place(x), place(y)) + F.least(n - place(x), m - place(y)) >= least)
 
 
+def sharing(entries: DataFrame, percent: int, between: str | None = None) -> DataFrame:
+    """(center, member): the pairs of classes with a common entry that the filters leave, each once.
+
+    ``between`` names a column in which the two must differ. A shingle that many classes
+    share is dealt over tasks: one side by class, the other to each of them.
+    """
+    own = ["h", "cls", "np", *([between] if between else [])]
+    held = entries.groupBy("h").agg(F.ceil(F.count(F.lit(1)) / SALTED).cast("int").alias("_n"))
+    dealt = entries.select(*own).join(held, "h")
+    left = dealt.withColumn("_s", F.pmod(F.xxhash64("cls"), "_n").cast("int")).select("_s", "h", *[F.col(c).alias(f"{c}_a") for c in own[1:]])
+    right = dealt.withColumn("_s", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).select("_s", "h", *[F.col(c).alias(f"{c}_b") for c in own[1:]])
+    apart = F.col(f"{between}_a") != F.col(f"{between}_b") if between else F.lit(True)
+    met = left.join(right, ["h", "_s"]).where((F.col("cls_a") < F.col("cls_b")) & apart & fits("np_a", "np_b", percent))
+    return met.select(F.col("cls_a").alias("center"), F.col("cls_b").alias("member")).distinct()
+
+
 def jaccard_links(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
     """(links, members): every pair of classes that are similar, and each document's class.
 
@@ -375,12 +401,7 @@ def jaccard_links(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataF
     other to each of them.
     """
     members, shared, verifier = _compared(docs, k, percent)
-    held = shared.groupBy("h").agg(F.ceil(F.count(F.lit(1)) / SALTED).cast("int").alias("_n"))
-    dealt = shared.join(held, "h")
-    left = dealt.select("h", F.pmod(F.xxhash64("cls"), "_n").cast("int").alias("_s"), F.col("cls").alias("a"), "np")
-    right = dealt.select("h", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_s"), F.col("cls").alias("b"), F.col("np").alias("np_b"))
-    pairs = left.join(right, ["h", "_s"]).where((F.col("a") < F.col("b")) & fits("np", "np_b", percent)).select("a", "b").distinct()
-    return verifier.links(pairs), members
+    return verifier.links(sharing(shared, percent)), members
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -395,17 +416,21 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     members, shared, verifier = _compared(docs, k, percent)
     classes = members.where("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
     group = Window.partitionBy("h")
-    active = shared.select("cls").distinct()
-    labels = active.select("cls", F.col("cls").alias("comp")).checkpoint()
+    labels = shared.select("cls").distinct().select("cls", F.col("cls").alias("comp")).checkpoint()
     tried = None
-    for _ in range(PIVOT_ROUNDS):
+    for turn in range(PIVOT_ROUNDS):
         pivot = F.min(F.struct("comp", F.col("cls").alias("pc"), F.col("np").alias("pnp"))).over(group)
-        held = shared.join(labels, "cls").withColumn("_p", pivot).select("cls", "comp", "np", "_p.pc", "_p.pnp", F.col("_p.comp").alias("pcomp"))
+        marked = shared.join(labels, "cls") if turn else shared.withColumn("comp", F.col("cls"))
+        held = marked.withColumn("_p", pivot).withColumn("_top", F.max("comp").over(group)).where("_p.comp < _top").select(
+            "h", "cls", "np", "comp", "_p.pc", "_p.pnp", F.col("_p.comp").alias("pcomp"))
+        if turn:  # shingles within one component have no more to tell
+            held = held.checkpoint()
+            shared = held.select("h", "cls", "np")
         near = held.where((F.col("comp") != F.col("pcomp")) & fits("np", "pnp", percent)).groupBy("cls", "pc").agg(F.count(F.lit(1)).alias("_n"))
-        pairs = near.select(F.least("cls", "pc").alias("a"), F.greatest("cls", "pc").alias("b"), "cls", "_n")
+        pairs = near.select(F.col("pc").alias("center"), F.col("cls").alias("member"), "_n")
         if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = pairs.groupBy("cls").agg(F.max_by(F.struct("a", "b"), F.struct("_n", "a", "b")).alias("_x")).select("_x.*").distinct().checkpoint()
+            pairs = untried(pairs, tried)
+        pairs = pairs.groupBy("member").agg(F.max_by("center", F.struct("_n", "center")).alias("center")).checkpoint()
         if pairs.isEmpty():
             break
         tried = pairs if tried is None else tried.unionByName(pairs)
@@ -414,13 +439,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
             break
         labels = _merge(labels, links)
     # what is left: every unverified pair between two components
-    marked = shared.join(labels, "cls")
-    other = marked.select("h", F.col("cls").alias("b"), F.col("np").alias("np_b"), F.col("comp").alias("comp_b"))
-    rest = (marked.select("h", F.col("cls").alias("a"), "np", "comp").join(other, "h")
-                  .where((F.col("a") < F.col("b")) & (F.col("comp") != F.col("comp_b")) & fits("np", "np_b", percent)).select("a", "b").distinct())
-    if tried is not None:
-        rest = rest.join(tried, ["a", "b"], "left_anti")
-    labels = _merge(labels, verifier.links(rest))
+    rest = sharing(shared.join(labels, "cls"), percent, "comp")
+    labels = _merge(labels, verifier.links(rest if tried is None else untried(rest, tried)))
 
     smallest = classes.join(labels, "cls", "left").select("cls", "doc_id", F.coalesce("comp", "cls").alias("comp"))
     least = smallest.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
@@ -429,6 +449,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     return with_class.unionByName(members.where("cls IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
+def untried(pairs: DataFrame, tried: DataFrame) -> DataFrame:
+    """``pairs`` without those tried, whichever of the two was the center."""
+    known = tried.select("center", "member").unionByName(tried.select(F.col("member").alias("center"), F.col("center").alias("member")))
+    return pairs.join(known, ["center", "member"], "left_anti")
+
+
 def _merge(labels: DataFrame, links: DataFrame) -> DataFrame:
     """Labels after joining the components that ``links`` (a, b) connect."""
     if links.isEmpty():

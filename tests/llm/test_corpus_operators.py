@@ -115,7 +115,7 @@ def test_sets_of_all_sizes_are_verified_by_whole_hashes(spark):
             if 100 * i >= 80 * (2 * len(s) - i):
                 want.add((a, a + 1))
     assert len(want) == len(pairs) // 2
-    got = jaccard_join.similar(spark.createDataFrame(pairs, "a bigint, b bigint"), spark.createDataFrame(sets, "cls bigint, shingles binary"), 80)
+    got = jaccard_join.similar(spark.createDataFrame(pairs, jaccard_join.PAIRS), spark.createDataFrame(sets, "cls bigint, shingles binary"), 80)
     assert {tuple(r) for r in got.collect()} == want
 
 
