@@ -43,7 +43,7 @@ LOCAL_COUNT = 16
 #: Shingles of a part of a set in the suffix filter, about; small sets have 64 parts.
 PART = 4
 #: Rounds against pivots before all remaining pairs are compared.
-PIVOT_ROUNDS = 3
+PIVOT_ROUNDS = 8
 #: Words of 64 bits of the Bloom filter of documents whose sets are read, and bits an id sets.
 BLOOM_WORDS, BLOOM_PROBES = 1 << 20, 4
 #: Classes of a shingle that a task holds against all others of the shingle.
@@ -419,9 +419,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     labels = shared.select("cls").distinct().select("cls", F.col("cls").alias("comp")).checkpoint()
     tried = None
     for turn in range(PIVOT_ROUNDS):
-        pivot = F.min(F.struct("comp", F.col("cls").alias("pc"), F.col("np").alias("pnp"))).over(group)
+        # another pivot of each group in every round, so that no part of a group keeps missing its like
+        pivot = F.min(F.struct(F.xxhash64(F.lit(turn), "comp"), "comp", F.xxhash64(F.lit(turn), "cls"), F.col("cls").alias("pc"), F.col("np").alias("pnp"))).over(group)
         marked = shared.join(labels, "cls") if turn else shared.withColumn("comp", F.col("cls"))
-        held = marked.withColumn("_p", pivot).withColumn("_top", F.max("comp").over(group)).where("_p.comp < _top").select(
+        held = marked.withColumn("_p", pivot).withColumn("_low", F.min("comp").over(group)).withColumn("_top", F.max("comp").over(group)).where("_low < _top").select(
             "h", "cls", "np", "comp", "_p.pc", "_p.pnp", F.col("_p.comp").alias("pcomp"))
         if turn:  # shingles within one component have no more to tell
             held = held.checkpoint()
