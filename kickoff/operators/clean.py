@@ -7,7 +7,7 @@ broadcast only after its size is checked.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
@@ -108,6 +108,16 @@ def drop_invalid_matches(df: DataFrame, date_col: str = "match_date") -> DataFra
         (F.col("home_team") != F.col("away_team")) & F.col(date_col).isNotNull())
 
 
+def drop_invalid_counted(df: DataFrame, path: str, date_col: str = "match_date") -> dict[str, int]:
+    """Writes the rows that ``drop_invalid_matches`` keeps to ``path`` and returns how many rows
+    were read, kept and removed: counted as they pass, in the write's one scan."""
+    read, kept = Observation(), Observation()
+    count = F.count(F.lit(1)).alias("n")
+    drop_invalid_matches(df.observe(read, count), date_col).observe(kept, count).write.mode("overwrite").parquet(path)
+    n, m = read.get["n"], kept.get["n"]
+    return {"rows_read": n, "rows_kept": m, "rows_removed": n - m}
+
+
 def drop_columns(df: DataFrame, cols=C.DROPPED_COLUMNS) -> DataFrame:
     """Tolerant drop: names that are not present are ignored."""
     return df.drop(*cols)
@@ -128,6 +138,11 @@ def filter_scraped_rows(df: DataFrame) -> DataFrame:
 def preprocess(raw: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
     """The full cleaning pipeline in the reference's order (lazy, one narrow stage
     plus the optional alias join)."""
+    return match_flags(derived_goals(drop_invalid_matches(before_drop(raw, aliases))))
+
+
+def before_drop(raw: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+    """The cleaning steps up to the removal of invalid rows."""
     df = canon_team_names(raw, aliases)
     df = trim_team_names(df)
     df = parse_match_date(df)
@@ -136,10 +151,7 @@ def preprocess(raw: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
     df = clean_scores(df)
     df = encode_result(df)
     df = clean_venue(df)
-    df = clean_attendance(df)
-    df = drop_invalid_matches(df)
-    df = derived_goals(df)
-    return match_flags(df)
+    return clean_attendance(df)
 
 
 def split_past_future(df: DataFrame) -> tuple[DataFrame, DataFrame]:

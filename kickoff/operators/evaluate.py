@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
+from ..session import materialize
 
 CLASSES = [(-1, "Away Win", "prob_away"), (0, "Draw", "prob_draw"), (1, "Home Win", "prob_home")]
 EPS = float(np.finfo(float).eps)  # probability clip used by log loss
@@ -108,7 +109,11 @@ def _confusion(df: DataFrame) -> DataFrame:
 def classification_metrics(df: DataFrame) -> DataFrame:
     """Per class (of actual or predicted labels): precision, recall, F1, support;
     with accuracy and macro means on every row. Undefined ratios -> 0."""
-    cm = _confusion(df)
+    return _per_class(_confusion(df))
+
+
+def _per_class(cm: DataFrame) -> DataFrame:
+    """``classification_metrics`` of confusion counts (actual, predicted, n)."""
     per_actual = cm.groupBy(F.col("actual").alias("label")).agg(
         F.sum("n").alias("support"), F.sum(F.when(F.col("actual") == F.col("predicted"), F.col("n"))).alias("tp"))
     per_pred = cm.groupBy(F.col("predicted").alias("label")).agg(F.sum("n").alias("predicted_n"))
@@ -127,14 +132,18 @@ def classification_metrics(df: DataFrame) -> DataFrame:
         F.avg("f1").over(w).alias("macro_f1"))
 
 
+def _clipped_p():
+    """Probability of the actual class, clipped to [eps, 1 - eps]."""
+    p_true = F.when(F.col("result") == 1, F.col("prob_home")).when(F.col("result") == 0, F.col("prob_draw")) \
+        .when(F.col("result") == -1, F.col("prob_away"))
+    return F.least(F.greatest(p_true, F.lit(EPS)), F.lit(1 - EPS))
+
+
 def log_loss(df: DataFrame) -> DataFrame:
     """Mean -ln p(actual class), p clipped to [eps, 1 - eps]; no row when a class is
     absent from the actual results (the metric is undefined there)."""
-    p_true = F.when(F.col("result") == 1, F.col("prob_home")).when(F.col("result") == 0, F.col("prob_draw")) \
-        .when(F.col("result") == -1, F.col("prob_away"))
-    clipped = F.least(F.greatest(p_true, F.lit(EPS)), F.lit(1 - EPS))
     agg = df.where(F.col("result").isNotNull()).agg(
-        F.avg(-F.ln(clipped)).alias("log_loss"), F.count_distinct("result").alias("_classes"))
+        F.avg(-F.ln(_clipped_p())).alias("log_loss"), F.count_distinct("result").alias("_classes"))
     return agg.where(F.col("_classes") == len(CLASSES)).select("log_loss")
 
 
@@ -262,30 +271,49 @@ def actual_vs_pred(df: DataFrame) -> DataFrame:
             .groupBy("series", "x", "y").agg(F.count(F.lit(1)).alias("points")))
 
 
-def eval_report(df: DataFrame) -> DataFrame:
-    """Every metric as one long table (section, metric, value) from one input."""
-    g = goal_error_metrics(df)
-    goal = g.select(F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).alias("value"))
-                                        for c in g.columns])).alias("kv")).select(
-        F.lit("goal_prediction").alias("section"), "kv.metric", "kv.value")
-    tol = tolerance_accuracy(df).select(F.lit("goal_prediction").alias("section"),
-                                        F.concat(F.lit("accuracy_within_"), F.col("tolerance").cast("string")).alias("metric"),
-                                        F.col("accuracy").alias("value"))
-    cls = classification_metrics(df)
-    per = cls.select(F.lit("result_prediction").alias("section"), F.explode(F.array(
-        F.struct(F.concat(F.lower("class_name"), F.lit("_precision")).alias("metric"), F.col("precision").alias("value")),
-        F.struct(F.concat(F.lower("class_name"), F.lit("_recall")).alias("metric"), F.col("recall").alias("value")),
-        F.struct(F.concat(F.lower("class_name"), F.lit("_f1")).alias("metric"), F.col("f1").alias("value")))).alias("kv")
-    ).select("section", "kv.metric", "kv.value")
-    summary = cls.limit(1).select(F.lit("result_prediction").alias("section"), F.explode(F.array(*[
-        F.struct(F.lit(c).alias("metric"), F.col(c).alias("value"))
-        for c in ("accuracy", "macro_precision", "macro_recall", "macro_f1")])).alias("kv")).select(
-        "section", "kv.metric", "kv.value")
-    ll = log_loss(df).select(F.lit("result_prediction").alias("section"), F.lit("log_loss").alias("metric"),
-                             F.col("log_loss").alias("value"))
-    seasons = perf_by_season(df).select(F.lit("season_performance").alias("section"),
-                                        F.col("season_year").cast("string").alias("metric"),
-                                        F.col("goal_mae").alias("value"))
-    size = df.agg(F.count(F.lit(1)).cast("double").alias("value")).select(
-        F.lit("dataset").alias("section"), F.lit("dataset_size").alias("metric"), "value")
-    return goal.union(tol).union(per).union(summary).union(ll).union(seasons).union(size)
+def report_cells(df: DataFrame, tolerances=C.TOLERANCES) -> DataFrame:
+    """Counts and sums by (season_year, actual, predicted): all that the report's metrics need."""
+    e = _err(df)
+    log_p = -F.ln(_clipped_p())
+    sides = (("h", "_eh", "home_goals"), ("a", "_ea", "away_goals"))
+    sums = [F.count(F.lit(1)).alias("n"), F.sum(log_p).alias("log_p"), F.count(log_p).alias("log_n")]
+    for k, err, goals in sides:
+        sums += [F.count(err).alias(f"n_{k}"), F.sum(F.abs(err)).alias(f"abs_{k}"), F.sum(F.col(err) ** 2).alias(f"sq_{k}"),
+                 F.sum(goals).alias(f"y_{k}"), F.sum(F.col(goals) ** 2).alias(f"yy_{k}")]
+        sums += [F.count_if(F.abs(err) <= t).alias(f"in{i}_{k}") for i, t in enumerate(tolerances)]
+    return e.groupBy("season_year", F.col("result").alias("actual"), F.col("pred_result").alias("predicted")).agg(*sums)
+
+
+def eval_report(df: DataFrame, cross_validation: DataFrame | None = None, tolerances=C.TOLERANCES) -> DataFrame:
+    """Every metric as one long table (section, metric, value).
+
+    The matches are read once, into counts and sums by season, actual and predicted class; all
+    metrics come from those few stored rows. ``cross_validation`` (target, metric, mean, std)
+    adds the chosen models' fold scores.
+    """
+    cells = materialize(report_cells(df, tolerances), "report-cells")  # at most 16 rows a season
+    names = [c for c in cells.columns if c not in ("season_year", "actual", "predicted")]
+    total = cells.agg(*[F.sum(c).alias(c) for c in names], F.count_distinct("actual").alias("classes"))
+    each = lambda df, section, values: df.select(F.lit(section).alias("section"), F.explode(F.array(*[
+        F.struct(F.lit(name).alias("metric") if isinstance(name, str) else name.alias("metric"), v.cast("double").alias("value")) for name, v in values])).alias("kv")).select("section", "kv.*")
+    c = F.col
+    mean = lambda x, k: F.try_divide(c(f"{x}_{k}"), c(f"n_{k}"))
+    spread = lambda k: c(f"yy_{k}") - c(f"y_{k}") * c(f"y_{k}") / c("n")
+    r2 = lambda k: F.when(spread(k) > 1e-9, 1 - c(f"sq_{k}") / spread(k))
+    both = lambda x: (mean(x, "h") + mean(x, "a")) / 2
+    goal = each(total, "goal_prediction", [
+        ("mae_home", mean("abs", "h")), ("mae_away", mean("abs", "a")), ("mae_overall", both("abs")),
+        ("rmse_home", F.sqrt(mean("sq", "h"))), ("rmse_away", F.sqrt(mean("sq", "a"))), ("r2_home", r2("h")), ("r2_away", r2("a")),
+        *[(f"accuracy_within_{float(t)}", both(f"in{i}")) for i, t in enumerate(tolerances)]])
+    cls = _per_class(cells.groupBy("actual", "predicted").agg(F.sum("n").alias("n")))
+    per = each(cls, "result_prediction", [(F.concat(F.lower("class_name"), F.lit(f"_{m}")), c(m)) for m in ("precision", "recall", "f1")])
+    summary = each(cls.limit(1), "result_prediction", [(m, c(m)) for m in ("accuracy", "macro_precision", "macro_recall", "macro_f1")])
+    loss = each(total.where(c("classes") == len(CLASSES)), "result_prediction", [("log_loss", F.try_divide("log_p", "log_n"))])
+    right = F.sum(F.when(c("actual") == c("predicted"), c("n")).otherwise(0)) / F.sum(F.when(c("actual").isNotNull() & c("predicted").isNotNull(), c("n")))
+    season = cells.groupBy("season_year").agg(*[F.sum(x).alias(x) for x in ("abs_h", "abs_a", "n_h", "n_a")], right.alias("accuracy"))
+    label = c("season_year").cast("string")
+    out = goal.union(per).union(summary).union(loss).union(each(season, "season_performance", [(label, both("abs"))]))
+    out = out.union(each(season, "season_accuracy", [(label, c("accuracy"))])).union(each(total, "dataset", [("dataset_size", F.coalesce("n", F.lit(0)))]))
+    if cross_validation is None:
+        return out
+    return out.union(each(cross_validation, "cross_validation", [(F.concat_ws("_", "target", "metric", F.lit(m)), c(m)) for m in ("mean", "std")]))

@@ -89,7 +89,9 @@ def scrape_summary(df: DataFrame, season_col: str = "season") -> DataFrame:
 
 
 def quality_report(df: DataFrame) -> DataFrame:
-    """All quality checks as one long table (section, item, value)."""
+    """All quality checks as one long table (section, item, value): duplicates, matches per
+    season, seasons with too few (value 1), teams, results and missing values, both as
+    counts and as percentages (of known results, of all rows)."""
     dup = (df.groupBy("match_date", "home_team", "away_team").agg(F.count(F.lit(1)).alias("c"))
              .agg(F.coalesce(F.sum(F.col("c") - 1), F.lit(0)).cast("double").alias("value"))
              .select(F.lit("duplicates").alias("section"), F.lit("duplicate_matches").alias("item"), "value"))
@@ -105,11 +107,14 @@ def quality_report(df: DataFrame) -> DataFrame:
             .union(a.join(h, "team", "left_anti").select(F.lit("away_only").alias("item"), "team")))
     only = only.select(F.lit("teams").alias("section"), F.concat_ws(":", "item", "team").alias("item"),
                        F.lit(1.0).alias("value"))
-    res = result_distribution(df).select(F.lit("results").alias("section"), F.col("result_class").alias("item"),
-                                         F.col("matches").cast("double").alias("value"))
-    miss = missing_profile(df).select(F.lit("missing").alias("section"), F.col("column_name").alias("item"),
-                                      F.col("missing").cast("double").alias("value"))
-    return dup.union(seasons).union(teams).union(only).union(res).union(miss)
+    low = season_counts(df).where("low_count").select(F.lit("low_season_counts").alias("section"),
+                                                      F.concat_ws(":", F.col("league").cast("string"), S.season_label("season_year")).alias("item"), F.lit(1.0).alias("value"))
+    both = lambda section, item, count, pct: F.explode(F.array(
+        F.struct(F.lit(section).alias("section"), F.col(item).alias("item"), F.col(count).cast("double").alias("value")),
+        F.struct(F.lit(f"{section}_pct").alias("section"), F.col(item).alias("item"), F.col(pct).cast("double").alias("value")))).alias("x")
+    res = result_distribution(df).select(both("results", "result_class", "matches", "pct_of_known")).select("x.*").where("value IS NOT NULL")
+    miss = missing_profile(df).select(both("missing", "column_name", "missing", "pct")).select("x.*")
+    return dup.union(seasons).union(low).union(teams).union(only).union(res).union(miss)
 
 
 # ------------------------------------------------------------ top-k

@@ -140,6 +140,14 @@ def q_drop_invalid(t):
     return _clean(t).select(*MATCH_KEY, "home_goals", "away_goals", "result", "venue", "attendance")
 
 
+@query("drop_invalid_report")
+def q_drop_invalid_report(t):
+    """Rows read, kept and removed by the removal of invalid matches, counted while it writes."""
+    from ..session import scratch_path
+    counts = CL.drop_invalid_counted(CL.before_drop(t.raw_matches(), t.team_aliases()), scratch_path(t.spark, "valid-matches"))
+    return t.spark.createDataFrame([tuple(counts.values())], ", ".join(f"{c} bigint" for c in counts))
+
+
 @query("filter_scraped_rows")
 def q_filter_scraped(t):
     """Raw rows kept after dropping short team names and repeated header rows."""

@@ -182,6 +182,13 @@ def q_sink_eval_report(t):
     return t.spark.read.schema("section string, metric string, value double").json(path)
 
 
+@query("eval_report_cv")
+def q_eval_report_cv(t):
+    """The evaluation report with the chosen models' cross-validation scores in it."""
+    from ..operators.evaluate import eval_report
+    return eval_report(t.predictions(), q_cv_scores(t))
+
+
 @query("feature_matrix")
 def q_feature_matrix(t):
     """All 44 features per match, nulls filled with exact column medians, plus targets."""

@@ -299,9 +299,25 @@ SELECT league, season_year, as_of, team, CAST(points AS BIGINT) AS points, CAST(
 """
 
 
+# The same table from running sums: a team's last state before each date of the season.
+ASOF_RUNNING = ASOF_TABLE.replace(ASOF_TABLE[ASOF_TABLE.index("tbl AS ("):ASOF_TABLE.index("ranked AS (")], """days AS (
+  SELECT league, season_year, team, match_date,
+         SUM(CASE WHEN result IS NOT NULL THEN points ELSE 0 END) AS points, SUM(CASE WHEN result IS NOT NULL THEN 1 ELSE 0 END) AS played,
+         SUM(CASE WHEN result IS NOT NULL AND gf IS NOT NULL AND ga IS NOT NULL THEN gf - ga ELSE 0 END) AS gd
+  FROM sa GROUP BY ALL),
+states AS (
+  SELECT league, season_year, team, match_date, SUM(points) OVER w AS points, SUM(played) OVER w AS played, SUM(gd) OVER w AS gd
+  FROM days WINDOW w AS (PARTITION BY league, season_year, team ORDER BY match_date)),
+wanted AS (SELECT s.*, t.team FROM snap s JOIN (SELECT DISTINCT league, season_year, team FROM days) t USING (league, season_year)),
+tbl AS (
+  SELECT q.league, q.season_year, q.as_of, q.team, x.points, x.played, x.gd
+  FROM wanted q ASOF JOIN states x ON x.league = q.league AND x.season_year = q.season_year AND x.team = q.team AND q.as_of > x.match_date),
+""")
+
+
 @sql("league_position", "matches")
 def _():
-    return ASOF_TABLE + f"""
+    return ASOF_RUNNING + f"""
 SELECT m.league, m.match_date, m.home_team, m.away_team,
        CAST(COALESCE(h.position, 10) AS BIGINT) AS home_league_position,
        CAST(COALESCE(a.position, 10) AS BIGINT) AS away_league_position,

@@ -211,6 +211,12 @@ def _():
     return CLEAN + f"SELECT {MK}, home_goals, away_goals, result, venue, attendance FROM clean"
 
 
+@sql("drop_invalid_report", *RAW)
+def _():
+    counts = "(SELECT COUNT(*) FROM raw_matches) AS rows_read, (SELECT COUNT(*) FROM clean) AS rows_kept"
+    return CLEAN + f"SELECT rows_read, rows_kept, rows_read - rows_kept AS rows_removed FROM (SELECT {counts})"
+
+
 @sql("filter_scraped_rows", "raw_matches")
 def _():
     return """

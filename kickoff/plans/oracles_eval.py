@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..operators.evaluate import calibration_edges
-from .oracles import MK, sql
+from .oracles import MK, ORACLES, sql
 from .oracles_clean import RAW  # noqa: F401
 from .oracles import ASOF_TABLE
 
@@ -214,3 +214,23 @@ SELECT series, ROUND(x, 6) AS x, ROUND(y, 6) AS y, COUNT(*) AS points FROM (
   UNION ALL SELECT 'total_error', home_goals + away_goals, ABS(eh) + ABS(ea) FROM {ERR})
 GROUP BY ALL
 """
+
+
+@sql("eval_report", P)
+def _():
+    rows = []
+
+    def take(name: str, section: str, pairs: list[tuple[str, str]], tail: str = "") -> None:
+        rows.extend(f"SELECT '{section}' AS section, {metric} AS metric, CAST({value} AS DOUBLE) AS value FROM ({ORACLES[name]}){tail}" for metric, value in pairs)
+
+    take("goal_error_metrics", "goal_prediction", [(f"'{c}'", c) for c in ("mae_home", "mae_away", "mae_overall", "rmse_home", "rmse_away", "r2_home", "r2_away")])
+    take("tolerance_accuracy", "goal_prediction", [("'accuracy_within_' || CAST(tolerance AS VARCHAR)", "accuracy")])
+    take("classification_metrics", "result_prediction", [(f"LOWER(class_name) || '_{c}'", c) for c in ("precision", "recall", "f1")])
+    take("classification_metrics", "result_prediction", [(f"'{c}'", c) for c in ("accuracy", "macro_precision", "macro_recall", "macro_f1")], " WHERE class_name = 'Draw'")
+    take("log_loss", "result_prediction", [("'log_loss'", "log_loss")])
+    take("perf_by_season", "season_performance", [("CAST(season_year AS VARCHAR)", "goal_mae")])
+    take("perf_by_season", "season_accuracy", [("CAST(season_year AS VARCHAR)", "result_accuracy")])
+    return "SELECT 'dataset' AS section, 'dataset_size' AS metric, CAST(COUNT(*) AS DOUBLE) AS value FROM predictions UNION ALL " + " UNION ALL ".join(rows)
+
+
+ORACLES["sink_eval_report"] = ORACLES["eval_report"]

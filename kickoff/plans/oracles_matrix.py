@@ -78,3 +78,6 @@ FROM reqs JOIN j {USING}
 
 
 ORACLES["append_fixture"] = ORACLES["append_fixture"].replace("WITH raw_matches", "WITH RECURSIVE raw_matches", 1).replace(_PLAIN, _APPENDED)
+
+# the stream gets the seasons in order, so its ratings are those of one run over all matches
+ORACLES["stream_elo"] = ORACLES["elo_ratings"]

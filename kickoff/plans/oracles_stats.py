@@ -82,7 +82,13 @@ SELECT 'teams', 'away_only:' || team, 1.0 FROM (SELECT DISTINCT away_team AS tea
 UNION ALL
 SELECT 'results', result_class, CAST(matches AS DOUBLE) FROM ({RESULT_DIST})
 UNION ALL
+SELECT 'results_pct', result_class, CAST(pct_of_known AS DOUBLE) FROM ({RESULT_DIST}) WHERE pct_of_known IS NOT NULL
+UNION ALL
 SELECT 'missing', column_name, CAST(missing AS DOUBLE) FROM ({MISSING})
+UNION ALL
+SELECT 'missing_pct', column_name, CAST(pct AS DOUBLE) FROM ({MISSING})
+UNION ALL
+SELECT 'low_season_counts', CAST(league AS VARCHAR) || ':' || {SEASON}, 1.0 FROM matches GROUP BY league, season_year HAVING COUNT(*) < 300
 """
 
 
