@@ -73,11 +73,26 @@ def _prepared(t):
     return MD.assemble(f.join(split, MATCH_KEY, "left"), cols), cols
 
 
+ORDER = ["match_date", "league", "home_team", "away_team"]
+
+
+@query("stratified_folds")
+def q_stratified_folds(t):
+    """Three stratified folds of the played matches: contiguous in date order within each result."""
+    played = t.matches().where(F.col("result").isNotNull()).select(*MATCH_KEY, "result")
+    return MD.stratified_folds(played, 3, "result", ORDER)
+
+
 def _train(t, folds=3):
     f, cols = _prepared(t)
     train = f.where(F.col("result").isNotNull() & F.col("is_train"))
-    train = MD.contiguous_folds(train, folds, ["match_date", "league", "home_team", "away_team"])
-    return train, f, cols
+    train = MD.contiguous_folds(train, folds, ORDER)
+    return MD.stratified_folds(train, folds, "label", ORDER, "class_fold"), f, cols
+
+
+def _by_class(train):
+    """The training rows with the stratified folds as the fold column."""
+    return train.withColumn("fold", F.col("class_fold"))
 
 
 _CHOSEN: dict = {}
@@ -92,7 +107,7 @@ def _chosen(t):
     key = t.version()
     if key not in _CHOSEN:
         train, _, _ = _train(t)
-        _CHOSEN[key] = MD.chosen(MD.grid_search_goals(train)), MD.chosen(MD.grid_search_result(train))
+        _CHOSEN[key] = MD.chosen(MD.grid_search_goals(train)), MD.chosen(MD.grid_search_result(_by_class(train)))
     return _CHOSEN[key]
 
 
@@ -104,16 +119,16 @@ def _models(t):
 
 @query("grid_search_goals")
 def q_grid_goals(t):
-    """Forest vs boosted regressors over a reduced grid, 3 contiguous folds, -MAE."""
+    """Forest vs boosted regressors over the quick grids, 3 contiguous folds, -MAE."""
     train, _, _ = _train(t)
     return MD.grid_search_goals(train)
 
 
 @query("grid_search_result")
 def q_grid_result(t):
-    """Forest classifier over a reduced grid (incl. balanced weights), 3 folds, accuracy."""
+    """Forest vs boosted classifiers over the quick grids (incl. balanced weights), 3 stratified folds, accuracy."""
     train, _, _ = _train(t)
-    return MD.grid_search_result(train)
+    return MD.grid_search_result(_by_class(train))
 
 
 @query("multi_output")

@@ -38,3 +38,12 @@ SELECT league, split, CAST(n - (5 - split) * ts AS BIGINT) AS train_rows, CAST(n
 FROM (SELECT league, COUNT(*) AS n, FLOOR(COUNT(*) / 6) AS ts FROM matches GROUP BY league),
      (SELECT CAST(range AS INTEGER) AS split FROM range(5))
 """
+
+
+@sql("stratified_folds", "matches")
+def _():
+    return """
+SELECT league, match_date, home_team, away_team, result,
+       CAST(NTILE(3) OVER (PARTITION BY result ORDER BY match_date, league, home_team, away_team) - 1 AS INTEGER) AS fold
+FROM matches WHERE result IS NOT NULL
+"""
