@@ -8,7 +8,7 @@ from ..operators import clean as CL
 from ..operators import features as FE
 from ..operators import model as MD
 from ..operators.history import MATCH_KEY
-from ..session import scratch_path
+from ..session import materialize, scratch_path
 from .registry import query
 
 NUMERIC = ["home_goals", "away_goals", "attendance", "total_goals", "goal_difference"]
@@ -87,7 +87,8 @@ def _train(t, folds=3):
     f, cols = _prepared(t)
     train = f.where(F.col("result").isNotNull() & F.col("is_train"))
     train = MD.contiguous_folds(train, folds, ORDER)
-    return MD.stratified_folds(train, folds, "label", ORDER, "class_fold"), f, cols
+    # every fit reads the rows again: stored, not derived anew
+    return materialize(MD.stratified_folds(train, folds, "label", ORDER, "class_fold"), "training-rows"), f, cols
 
 
 def _by_class(train):
