@@ -43,7 +43,7 @@ LOCAL_COUNT = 16
 #: Shingles of a part of a set in the suffix filter, about; small sets have 64 parts.
 PART = 4
 #: Rounds against pivots before all remaining pairs are compared.
-PIVOT_ROUNDS = 8
+PIVOT_ROUNDS = 4
 #: Words of 64 bits of the Bloom filter of documents whose sets are read, and bits an id sets.
 BLOOM_WORDS, BLOOM_PROBES = 1 << 20, 4
 #: Classes of a shingle that a task holds against all others of the shingle.
@@ -360,7 +360,10 @@ def _compared(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFra
     members = members.drop("sig")
 
     # np: size and place in one number
-    shared = shared_entries(rows, k, percent, frequent_shingles(rows, k)).join(sigs.select("cls", "n_shingles"), "cls").select("h", "cls", (F.shiftleft("n_shingles", 32) + F.col("pos")).alias("np")).checkpoint()
+    shared = shared_entries(rows, k, percent, frequent_shingles(rows, k)).join(sigs.select("cls", "n_shingles"), "cls").select("h", "cls", (F.shiftleft("n_shingles", 32) + F.col("pos")).alias("np"), "n_shingles")
+    # w: the part of a class's prefix that others share; near 1 in the middle of a group of near copies
+    length = F.col("n_shingles") - F.ceil(F.lit(percent / 100) * F.col("n_shingles")) + 1
+    shared = shared.select("h", "cls", "np", (F.count(F.lit(1)).over(Window.partitionBy("cls")) / length).cast("float").alias("w")).checkpoint()
     return members, shared, Verifier(rows, members, sigs, k, percent)
 
 
@@ -419,14 +422,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     labels = shared.select("cls").distinct().select("cls", F.col("cls").alias("comp")).checkpoint()
     tried = None
     for turn in range(PIVOT_ROUNDS):
-        # another pivot of each group in every round, so that no part of a group keeps missing its like
-        pivot = F.min(F.struct(F.xxhash64(F.lit(turn), "comp"), "comp", F.xxhash64(F.lit(turn), "cls"), F.col("cls").alias("pc"), F.col("np").alias("pnp"))).over(group)
+        # the class that most of its prefix connects to others; other ones of these in later rounds
+        luck = 1 - F.pmod(F.xxhash64(F.lit(turn), "cls"), F.lit(1024)) / (2048 if turn else 1 << 20)
+        pivot = F.max(F.struct((F.col("w") * luck).alias("key"), F.col("cls").alias("pc"), F.col("np").alias("pnp"), "comp")).over(group)
         marked = shared.join(labels, "cls") if turn else shared.withColumn("comp", F.col("cls"))
         held = marked.withColumn("_p", pivot).withColumn("_low", F.min("comp").over(group)).withColumn("_top", F.max("comp").over(group)).where("_low < _top").select(
-            "h", "cls", "np", "comp", "_p.pc", "_p.pnp", F.col("_p.comp").alias("pcomp"))
+            "h", "cls", "np", "w", "comp", "_p.pc", "_p.pnp", F.col("_p.comp").alias("pcomp"))
         if turn:  # shingles within one component have no more to tell
             held = held.checkpoint()
-            shared = held.select("h", "cls", "np")
+            shared = held.select("h", "cls", "np", "w")
         near = held.where((F.col("comp") != F.col("pcomp")) & fits("np", "pnp", percent)).groupBy("cls", "pc").agg(F.count(F.lit(1)).alias("_n"))
         pairs = near.select(F.col("pc").alias("center"), F.col("cls").alias("member"), "_n")
         if tried is not None:
