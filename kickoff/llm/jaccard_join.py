@@ -114,9 +114,9 @@ def frequent_shingles(rows: DataFrame, k: int) -> np.ndarray:
         least = r["_b"]
     if least is None:
         return np.empty(0, np.uint64)
-    got = counts.where(F.col("_b") >= least).select("h", "n").toPandas()  # at most FREQUENT rows of 16 bytes
-    order = np.lexsort((got["h"].to_numpy(dtype=np.int64), got["n"].to_numpy(dtype=np.int64)))
-    return got["h"].to_numpy(dtype=np.int64)[order].view(np.uint64)
+    got = counts.where(F.col("_b") >= least).select("h", "n").toArrow()  # at most FREQUENT rows of 16 bytes
+    h, n = got["h"].to_numpy(), got["n"].to_numpy()
+    return h[np.lexsort((h, n))].view(np.uint64)
 
 
 def class_key(shingles: np.ndarray) -> int | None:
@@ -266,9 +266,9 @@ def bloom(ids: DataFrame) -> np.ndarray:
     probes = [F.pmod(F.xxhash64(F.lit(i), F.coalesce("doc_id", F.lit(0))), F.lit(bits)) for i in range(BLOOM_PROBES)]
     set_bits = ids.select(F.explode(F.array(*probes)).alias("bit")).groupBy(F.shiftright("bit", 6).cast("int").alias("word")).agg(
         F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 AS int))")).alias("bits"))
-    got = set_bits.toPandas()  # at most BLOOM_WORDS rows
+    got = set_bits.toArrow()  # at most BLOOM_WORDS rows of 12 bytes
     words = np.zeros(BLOOM_WORDS, np.int64)
-    words[got["word"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64)
+    words[got["word"].to_numpy()] = got["bits"].to_numpy()
     return words
 
 
