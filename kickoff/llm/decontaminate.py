@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_values, shared_folder, slices, text_buffer, words_of
+from .common import byte_values, shared_folder, slices, text_buffer, unused, words_of
 
 #: Words are runs of a-z (after lower-casing A-Z), 0-9 and everything beyond ASCII.
 SEPARATORS = {*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)}
@@ -195,6 +195,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, slop:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13) -> DataFrame:
-    """The documents (all columns) that aren't contaminated."""
-    bad = contamination(docs, benchmark, window).where("contaminated").select(F.col("doc_id").alias("_doc_id")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_doc_id")), "left_anti")
+    """The documents (all columns, whatever their names) that aren't contaminated.
+
+    Null and word-less texts have no words, so they stay; rows of one id, null among them,
+    go if any of them is contaminated. An empty table gives no rows, an empty benchmark
+    drops none.
+    """
+    bad_id, = unused(docs, "_doc_id")
+    bad = contamination(docs, benchmark, window).where("contaminated").select(F.col("doc_id").alias(bad_id)).distinct()
+    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col(bad_id)), "left_anti")

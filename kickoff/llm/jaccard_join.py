@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.joins import join_small
-from .common import BLANKS, byte_values, mix, rolling, shards_for, shared_folder, slices, text_buffer, words_of
+from .common import BLANKS, byte_values, mix, rolling, shards_for, shared_folder, slices, text_buffer, unused, words_of
 
 #: Most frequent shingles that are ordered by their count (16 bytes each).
 FREQUENT = 1 << 20
@@ -472,9 +472,11 @@ def _merge(labels: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def keep_smallest(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The documents (all columns) without those whose class has a smaller document.
+    """The documents (all columns, whatever their names) without those whose class has a smaller document.
 
-    Repeated rows of one id are one document and stay together; rows without an id stay.
+    Repeated rows of one id are one document and stay together; rows without an id stay,
+    and so do null and word-less texts. An empty table gives no rows.
     """
-    gone = near_duplicates(docs, k, percent).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    gone_id, = unused(docs, "_gone")
+    gone = near_duplicates(docs, k, percent).where("doc_id <> component_id").select(F.col("doc_id").alias(gone_id)).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col(gone_id), "left_anti")

@@ -6,11 +6,12 @@
 2. Histogram of rest lengths, in classes of STEP tokens (rounded up): a bounded table.
 3. Column generation in one task over that table. Master: cover the demand of every class with as few
    sequences as possible, a linear program over patterns (how many rests of each class
-   one sequence takes). Its duals price new patterns by an integer knapsack, solved by
-   dynamic programming, until no pattern improves it. The histogram has at most
-   length / STEP classes at any corpus size, so the program's size is bounded.
-4. Rounding: patterns are used floor(x) times; what is left over goes through
-   first-fit decreasing over the (few) left-over pieces of the classes.
+   one sequence takes), started from patterns of one class each. Its duals price new
+   patterns by an integer knapsack, solved by dynamic programming, until no pattern
+   improves it. The histogram has at most length / STEP classes at any corpus size, so
+   the program's size is bounded.
+4. Rounding: patterns are used floor(x) times; the (few) left-over pieces of the classes
+   are filled into sequences, the largest first.
 5. Ranked documents take their places: within a class the rests are numbered (in two
    levels, no window holds a class), and each pattern owns a range of these numbers.
 """
@@ -153,57 +154,34 @@ def best_pattern(values: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[
     return float(best[capacity]), counts
 
 
-def first_patterns(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """A feasible start: (patterns as columns, uses), one pattern for each size.
+def column_generation(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap: float = 1e-3) -> tuple[np.ndarray, np.ndarray, int]:
+    """(patterns as columns, uses, priced columns that entered) of the cutting-stock linear program, by a revised simplex.
 
-    Each takes the largest size that is left, fills up with the best of the sizes that are
-    left, and is used until one of its sizes is gone. So every pattern has a size that no
-    later one has: the matrix is triangular but for order, and a basis.
+    The start holds a pattern of each size alone. In each round the knapsack prices a
+    pattern against the duals; it enters the basis, or the program is done: by Farley's
+    bound its value is within ``gap`` of the optimum once the best pattern's is at most
+    1 + gap, and it is too once the uses are that near to the tokens over the capacity.
+    Demands are raised by tiny, different amounts, so every entering pattern lowers the
+    uses and no basis returns; the uses come from the true demands at the end. A run that
+    doesn't settle raises an error.
     """
     m = len(sizes)
-    left = demand.astype(float).copy()
-    columns, uses = np.zeros((m, m)), np.zeros(m)
-    open_sizes = list(range(m))
-    while open_sizes:
-        top = open_sizes[-1]
-        taken = np.zeros(m)
-        taken[top] = 1
-        if room := capacity - int(sizes[top]):
-            own = sizes[open_sizes]
-            taken[open_sizes] += best_pattern(own * (1 + own / (1000.0 * capacity)), own, room)[1]
-        some = np.flatnonzero(taken)
-        gone = some[np.argmin(left[some] / taken[some])]
-        columns[:, gone], uses[gone] = taken, left[gone] / taken[gone]
-        left = np.maximum(left - uses[gone] * taken, 0)
-        open_sizes.remove(int(gone))
-    return columns, uses
-
-
-def column_generation(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = 2000, gap: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
-    """(patterns as columns, uses) of the cutting-stock linear program, by a revised simplex.
-
-    In each round the knapsack prices a pattern against the duals. By Farley's bound the
-    program is within ``gap`` of its optimum once the best pattern's value is at most
-    1 + gap; it is too once its uses are that near to the tokens over the capacity.
-    """
-    basis, uses = first_patterns(sizes, demand, capacity)
-    inverse = np.linalg.inv(basis)
+    basis = np.diag((capacity // sizes).astype(float))
+    inverse = np.diag(1.0 / (capacity // sizes))
+    raised = demand * (1 + 1e-7 * np.arange(1, m + 1) / m)
+    uses = inverse @ raised
     least = float(sizes @ demand) / capacity
-    for step in range(rounds):
-        if step % 100 == 99:  # against rounding errors
-            inverse = np.linalg.inv(basis)
-            uses = inverse @ demand
-        if uses.sum() <= (1 + gap) * least:
-            break
+    priced = 0
+    while uses.sum() > (1 + gap) * least:
         duals = inverse.sum(axis=0)
         value, pattern = best_pattern(np.maximum(duals, 0), sizes, capacity)
         if value <= 1 + gap:
             break
         direction = inverse @ pattern
         able = direction > 1e-9
-        if not able.any():
-            break
-        ratio = np.full(len(sizes), np.inf)
+        if priced >= 1000 * (m + 1) or not able.any():
+            raise RuntimeError(f"column generation hasn't settled after {priced} patterns for {m} sizes")
+        ratio = np.full(m, np.inf)
         ratio[able] = np.maximum(uses[able], 0) / direction[able]
         out = int(np.argmin(ratio))
         move = ratio[out]
@@ -213,35 +191,52 @@ def column_generation(sizes: np.ndarray, demand: np.ndarray, capacity: int, roun
         row = inverse[out] / direction[out]
         inverse -= np.outer(direction, row)
         inverse[out] = row
-    return np.rint(basis).astype(np.int64), np.maximum(uses, 0)
+        priced += 1
+        if priced % 100 == 0:  # against rounding errors
+            inverse = np.linalg.inv(basis)
+            uses = inverse @ raised
+    return np.rint(basis).astype(np.int64), np.maximum(np.linalg.solve(basis, demand), 0), priced
+
+
+def fill(sizes: np.ndarray, left: np.ndarray, capacity: int) -> np.ndarray:
+    """Pieces of each size for one sequence: the largest that is left, then the fullest choice of the others that are left."""
+    taken = np.zeros(len(sizes), dtype=np.int64)
+    top = int(np.flatnonzero(left)[-1])
+    taken[top] = 1
+    room = capacity - int(sizes[top])
+    while (some := np.flatnonzero((left > taken) & (sizes <= room))).size:
+        own = sizes[some]
+        counts = np.minimum(best_pattern(own * (1 + own / (1000.0 * capacity)), own, room)[1], (left - taken)[some])
+        taken[some] += counts
+        room -= int(counts @ own)
+    return taken
 
 
 def plan_sequences(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]]:
-    """[(pattern as {size: count}, times)] that holds exactly ``demand`` pieces of each size."""
+    """[(pattern as {size: count}, times)] that holds exactly ``demand`` pieces of each size.
+
+    The program's patterns are used as often as whole numbers allow; the pieces that are
+    left, fewer than patterns times pieces in one, are filled into sequences one by one.
+    """
     if not len(sizes):
         return []
     unit = int(np.gcd.reduce(np.append(sizes, capacity)))  # the knapsack's grid
-    patterns, uses = column_generation(sizes // unit, demand.astype(float), capacity // unit)
+    patterns, uses, _ = column_generation(sizes // unit, demand.astype(float), capacity // unit)
     left = demand.astype(np.int64).copy()
     out: list[tuple[dict[int, int], int]] = []
+    take = lambda taken, times: out.append(({int(sizes[i]): int(taken[i]) for i in np.flatnonzero(taken)}, times))
     for j in np.argsort(-uses, kind="stable"):
         taken = patterns[:, j]
         some = taken > 0
         times = int(min(np.floor(uses[j] + 1e-9), (left[some] // taken[some]).min())) if some.any() else 0
         if times > 0:
             left -= times * taken
-            out.append(({int(sizes[i]): int(taken[i]) for i in np.flatnonzero(taken)}, times))
-    bins: list[tuple[int, dict[int, int]]] = []  # first fit decreasing over at most a few pieces a class
+            take(taken, times)
     while left.any():
-        room, pattern = capacity, {}
-        for i in range(len(sizes) - 1, -1, -1):
-            n = int(min(left[i], room // sizes[i]))
-            if n:
-                pattern[int(sizes[i])] = n
-                room -= n * int(sizes[i])
-                left[i] -= n
-        bins.append((room, pattern))
-    out += [(pattern, 1) for _, pattern in bins]
+        taken = fill(sizes // unit, left, capacity // unit)
+        times = int((left[taken > 0] // taken[taken > 0]).min())
+        left -= times * taken
+        take(taken, times)
     return out
 
 

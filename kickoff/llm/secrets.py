@@ -5,15 +5,17 @@ kinds, always reported). Others are weak: a 40-character mixed string may be a k
 or a file name, a host name alone is no leak. Weak candidates are reported only
 where complementary parts of a credential co-occur within a scope:
 
-* ``key``      a 40-character mixed-case base64 string (a secret part), if an access
-               identifier (``access``) lies within the scope;
-* ``endpoint`` a URL or host:port, if a secret part (``assign``, ``hex`` or a reported
-               ``key``) and no more than the scope lies between them.
+* ``key``      a 40-character mixed-case base64 string (a secret part), if no more than
+               the scope lies between it and an access identifier (``access``);
+* ``endpoint`` a URL or host:port, if no more than the scope lies between it and a
+               secret part (``assign``, ``hex`` or a reported ``key``).
 
 Texts are scanned for parts in one pass. The parts (few) are then interval-joined in
-Spark: a part lies in the bin ``start div scope`` of its document; a bin keeps only the
-first and last start of each role (pre-aggregated, so a text full of parts makes no
-pairs), and a weak candidate is joined with its own and the two adjacent bins.
+Spark: a text is cut into bins of the scope's width, a part lies in every bin it touches;
+a bin keeps only the first start and the last end within it (pre-aggregated, so a text
+full of parts makes no pairs), and a weak candidate is joined with the bins that it and
+the scope on either side of it touch. Parts of a kind don't overlap, so there are no more
+rows than bins and parts.
 """
 
 from __future__ import annotations
@@ -25,11 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_folder, slices, text_key
+from .common import shared_folder, slices, text_key, unused
 
 #: Order of kinds at equal starts.
 KINDS = ["assign", "access", "hex", "key", "endpoint"]
-#: Largest distance in code points between the starts of parts that belong together.
+#: Most code points that may lie between parts that belong together.
 SCOPE = 400
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -71,20 +73,20 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _link(weak: DataFrame, parts: DataFrame, scope: int) -> DataFrame:
-    """The weak candidates (_row, kind, start, end) with a part (_row, start) within the scope.
+    """The weak candidates (_row, kind, start, end) with a part (_row, start, end) no more than the scope away.
 
-    Interval join on (row, bin): of a bin only its first and last start are needed. In
-    the candidate's own bin any part is near enough; of the bin before, the last start
-    counts; of the bin after, the first.
+    Interval join on (row, bin). A part is near enough if it starts by the candidate's end
+    plus the scope and ends no earlier than its start minus the scope. Only the outermost
+    bins hold parts that may fail, and only one of the two conditions each, so a bin's
+    first start and last end tell whether any of its parts is near enough.
     """
-    bins = (parts.withColumn("_bin", F.floor(F.col("start") / scope))
-                 .groupBy("_row", "_bin").agg(F.min("start").alias("_first"), F.max("start").alias("_last")))
-    near = weak.withColumn("_at", F.floor(F.col("start") / scope)).withColumn(
-        "_bin", F.explode(F.array(F.col("_at") - 1, F.col("_at"), F.col("_at") + 1)))
-    hit = near.join(bins, ["_row", "_bin"]).where(
-        (F.col("_bin") == F.col("_at"))
-        | ((F.col("_bin") < F.col("_at")) & (F.col("start") - F.col("_last") <= scope))
-        | ((F.col("_bin") > F.col("_at")) & (F.col("_first") - F.col("start") <= scope)))
+    width = max(scope, 1)
+    bin_of = lambda at: F.floor(at / width)
+    touched = parts.withColumn("_bin", F.explode(F.sequence(bin_of(F.col("start")), bin_of(F.col("end") - 1))))
+    bins = touched.groupBy("_row", "_bin").agg(F.min(F.greatest(F.col("start"), F.col("_bin") * width)).alias("_first"),
+                                               F.max(F.least(F.col("end"), (F.col("_bin") + 1) * width)).alias("_last"))
+    near = weak.withColumn("_bin", F.explode(F.sequence(bin_of(F.col("start") - scope - 1), bin_of(F.col("end") + scope))))
+    hit = near.join(bins, ["_row", "_bin"]).where((F.col("_first") <= F.col("end") + scope) & (F.col("_last") >= F.col("start") - scope))
     return hit.select("_row", "kind", "start", "end").distinct()
 
 
@@ -133,20 +135,25 @@ def secret_report(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
 def redact(docs: DataFrame, scope: int = SCOPE, mark: str = "[REDACTED]") -> DataFrame:
     """The documents with every found span replaced by ``mark`` (overlapping spans by one); n_chars follows the text.
 
-    All columns stay; rows without spans are untouched.
+    All columns stay, whatever their names; rows without spans are untouched, null and
+    empty texts among them. Equal texts, repeated rows too, are redacted alike, null ids
+    are kept, and an empty table gives no rows.
     """
-    found = secret_spans(docs.select("doc_id", "text"), scope).where(F.size("spans") > 0)
+    key, found, merged = unused(docs, "_text_key", "_spans", "_merged")
     # equal texts have equal spans; the spans of a text are a few numbers
-    spans = found.select(F.col("_key").alias("_text_key"), F.col("spans").alias("_spans")).dropDuplicates(["_text_key"])
-    merged = F.aggregate("_spans", F.array().cast("array<struct<s:int,e:int>>"), lambda acc, p: F.when(
+    spans = secret_spans(docs.select("doc_id", "text"), scope).where(F.size("spans") > 0).select(
+        F.col("_key").alias(key), F.col("spans").alias(found)).dropDuplicates([key])
+    ranges = F.aggregate(F.col(found), F.array().cast("array<struct<s:int,e:int>>"), lambda acc, p: F.when(
         (F.size(acc) > 0) & (F.element_at(acc, -1).e >= p.start),
         F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1).s.alias("s"), F.greatest(F.element_at(acc, -1).e, p.end).alias("e"))))
     ).otherwise(F.concat(acc, F.array(F.struct(p.start.alias("s"), p.end.alias("e"))))))
-    kept = F.expr("""array_join(transform(sequence(0, size(_merged)),
-        i -> substring(text, IF(i = 0, 0, _merged[i - 1].e) + 1,
-                       IF(i = size(_merged), length(text), _merged[i].s) - IF(i = 0, 0, _merged[i - 1].e))), '%s')""" % mark)
-    out = docs.withColumn("_text_key", text_key(F.col("text"))).join(spans, "_text_key", "left").withColumn("_merged", merged)
-    out = out.withColumn("text", F.when(F.col("_spans").isNotNull(), kept).otherwise(F.col("text")))
+    # what lies between the ranges: from the end of one (or 0) to the start of the next (or the text's end)
+    ends = F.concat(F.array(F.lit(0)), F.transform(merged, lambda r: r.e))
+    starts = F.concat(F.transform(merged, lambda r: r.s), F.array(F.length("text")))
+    between = F.transform(F.arrays_zip(ends.alias("a"), starts.alias("b")), lambda g: F.substring(F.col("text"), g.a + 1, g.b - g.a))
+    out = docs.withColumn(key, text_key(F.col("text"))).join(spans, key, "left").withColumn(merged, ranges)
+    some = F.col(found).isNotNull()
+    out = out.withColumn("text", F.when(some, F.array_join(between, mark)).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_spans").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(some, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)

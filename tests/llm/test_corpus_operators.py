@@ -78,6 +78,13 @@ def test_one_document_of_a_class_stays(spark):
     assert {r.doc_id for r in left.collect()} == {c for _, _, c in brute_components(rows)} and left.columns == frame(spark, []).columns
 
 
+def test_one_document_stays_with_columns_of_any_name(spark):
+    text = " ".join(words(30, 9))
+    docs = frame(spark, [(1, text), (2, text), (None, text), (3, None), (4, "")]).withColumn("_gone", F.lit(1)).withColumn("_GONE_", F.lit(2))
+    out = jaccard_join.keep_smallest(docs)
+    assert out.columns == docs.columns and rows_of(out, "doc_id", "_gone", "_GONE_") == sorted([(1, 1, 2), (None, 1, 2), (3, 1, 2), (4, 1, 2)], key=repr)
+
+
 def test_components_of_a_chain(spark):
     n = 70
     links = spark.createDataFrame([(i, i + 1) for i in range(n)], "a bigint, b bigint")
