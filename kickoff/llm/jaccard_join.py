@@ -33,8 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.joins import join_small
-from .common import BLANKS, byte_values, mix, rolling, shards_for, shared_folder, slices, text_buffer, unused, words_of
+from ..operators.joins import BROADCAST_MAX_ROWS, is_small
+from .common import BLANKS, byte_values, mix, rolling, shards_for, shared_folder, slices, stored, text_buffer, unused, words_of
 
 #: Most frequent shingles that are ordered by their count (16 bytes each).
 FREQUENT = 1 << 20
@@ -243,18 +243,18 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """(cls, comp): the smallest class key that each of ``nodes`` (cls, comp) reaches over ``links`` (a, b) between them.
 
     Labels spread along links and then jump to their label's label; nothing but columns
-    of keys is shuffled, and a node with very many links is pre-aggregated.
+    of keys is shuffled, and a node with very many links is pre-aggregated. Labels are
+    written as tables: what the planner knows of a checkpoint's columns (its constraints)
+    piles up from step to step, and planning would take longer with each.
     """
-    if links.isEmpty():
-        return nodes
-    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).checkpoint()
+    both = stored(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), "links")
     labels = nodes
     while True:
         seen = both.join(labels.select(F.col("cls").alias("b"), F.col("comp").alias("_c")), "b").groupBy("a").agg(F.min("_c").alias("_m"))
         spread = labels.join(seen.withColumnRenamed("a", "cls"), "cls", "left").select("cls", "comp", F.least("comp", F.coalesce("_m", "comp")).alias("_new"))
         # a label that fell takes its holders along: they ask the node that the old label names
         fell = spread.where("_new < comp").groupBy(F.col("comp").alias("_old")).agg(F.min("_new").alias("_to"))
-        moved = spread.join(fell, F.col("_new") == F.col("_old"), "left").select("cls", F.col("comp").alias("_was"), F.least("_new", F.coalesce("_to", "_new")).alias("comp")).checkpoint()
+        moved = stored(spread.join(fell, F.col("_new") == F.col("_old"), "left").select("cls", F.col("comp").alias("_was"), F.least("_new", F.coalesce("_to", "_new")).alias("comp")), "labels")
         labels = moved.select("cls", "comp")
         if moved.where("comp <> _was").isEmpty():
             return labels
@@ -273,7 +273,7 @@ def bloom(ids: DataFrame) -> np.ndarray:
 
 
 def sets_of(rows: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """(cls, shingles): the sorted set of each class of ``wanted`` (cls, doc_id), read from the document named there."""
+    """(cls, shingles): the sorted set of the class of each document of ``wanted`` (doc_id), and some more."""
     sent = rows.sparkSession.sparkContext.broadcast(bloom(wanted))
     probes = [F.pmod(F.xxhash64(F.lit(i), F.coalesce("doc_id", F.lit(0))), F.lit(64 * BLOOM_WORDS)).alias(f"p{i}") for i in range(BLOOM_PROBES)]
 
@@ -292,19 +292,21 @@ def sets_of(rows: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
 
 
 PAIRS = "center bigint, member bigint"
+#: With a document of each side.
+READ_PAIRS = f"{PAIRS}, d_center bigint, d_member bigint"
 
 
 def possible(pairs: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
-    """The suffix filter: the pairs (center, member) whose parts' sizes allow the similarity."""
+    """The suffix filter: the pairs (center, member) whose parts' sizes allow the similarity, with a document of each."""
 
     def by_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, m = (batch.column(f"n_{c}").to_numpy() for c in ("center", "member"))
             most = np.asarray([most_shared(x, y) for x, y in zip(batch.column("s_center").to_pylist(), batch.column("s_member").to_pylist())], np.int64)
-            yield batch.select(["center", "member"]).filter(pa.array(most >= needed(n, m, percent)))
+            yield batch.select(["center", "member", "d_center", "d_member"]).filter(pa.array(most >= needed(n, m, percent)))
 
-    side = lambda c: sigs.select(F.col("cls").alias(c), F.col("sig").alias(f"s_{c}"), F.col("n_shingles").alias(f"n_{c}"))
-    return pairs.select("center", "member").join(side("center"), "center").join(side("member"), "member").mapInArrow(by_parts, PAIRS)
+    side = lambda c: sigs.select(F.col("cls").alias(c), F.col("sig").alias(f"s_{c}"), F.col("n_shingles").alias(f"n_{c}"), F.col("doc_id").alias(f"d_{c}"))
+    return pairs.select("center", "member").join(side("center"), "center").join(side("member"), "member").mapInArrow(by_parts, READ_PAIRS)
 
 
 def similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -313,9 +315,10 @@ def similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     Members' sets meet their center's, which is held while they pass by; a center of
     many members is dealt over tasks.
     """
-    held = pairs.groupBy("center").agg(F.ceil(F.count(F.lit(1)) / SALTED).cast("int").alias("n")).join(pairs, "center")
-    at = lambda cls, salt, late: held.select(F.col(cls).alias("cls"), "center", salt.alias("salt"), F.lit(late).alias("late"))
-    meet = at("member", F.pmod(F.xxhash64("member"), "n").cast("int"), True).unionByName(at("center", F.explode(F.sequence(F.lit(0), F.col("n") - 1)), False).distinct())
+    centers = pairs.groupBy("center").agg(F.ceil(F.count(F.lit(1)) / SALTED).cast("int").alias("n"))
+    at = lambda held, cls, salt, late: held.select(F.col(cls).alias("cls"), "center", salt.alias("salt"), F.lit(late).alias("late"))
+    meet = at(pairs.select("center", "member").join(centers, "center"), "member", F.pmod(F.xxhash64("member"), "n").cast("int"), True).unionByName(
+        at(centers, "center", F.explode(F.sequence(F.lit(0), F.col("n") - 1)), False))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, last = np.empty(0, np.uint64), None
@@ -331,22 +334,23 @@ def similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                         found.append((center, cls))
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], names=["center", "member"])
 
-    met = join_small(sets, meet, "cls", "inner").repartition("center", "salt").sortWithinPartitions("center", "salt", "late", "cls")
+    if is_small(pairs, BROADCAST_MAX_ROWS // 2):  # at most as many rows for the centers as for the members
+        meet = F.broadcast(meet)
+    met = sets.join(meet, "cls").repartition("center", "salt").sortWithinPartitions("center", "salt", "late", "cls")
     return met.select("center", "cls", "late", "shingles").mapInArrow(compare, PAIRS)
 
 
 class Verifier:
     """Tells the similar pairs among candidates (center, member)."""
 
-    def __init__(self, rows: DataFrame, members: DataFrame, sigs: DataFrame, k: int, percent: int):
+    def __init__(self, rows: DataFrame, sigs: DataFrame, k: int, percent: int):
         self.rows, self.sigs, self.k, self.percent = rows, sigs, k, percent
-        self.first = members.where("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
 
     def links(self, pairs: DataFrame) -> DataFrame:
         """The similar ones as (a, b), a < b, stored."""
         pairs = possible(pairs, self.sigs, self.percent).checkpoint()
         if not pairs.isEmpty():
-            wanted = self.first.join(pairs.select(F.explode(F.array("center", "member")).alias("cls")).distinct(), "cls", "left_semi")
+            wanted = pairs.select(F.explode(F.array("d_center", "d_member")).alias("doc_id"))
             pairs = similar(pairs, sets_of(self.rows, wanted, self.k), self.percent).checkpoint()
         return pairs.select(F.least("center", "member").alias("a"), F.greatest("center", "member").alias("b"))
 
@@ -356,7 +360,7 @@ def _compared(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFra
     shared_folder(docs.sparkSession)
     rows = _texts(docs)
     members = _sets(rows, k).checkpoint()
-    sigs = members.where("sig IS NOT NULL").groupBy("cls").agg(F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles")).checkpoint()
+    sigs = members.where("sig IS NOT NULL").groupBy("cls").agg(F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles"), F.min("doc_id").alias("doc_id")).checkpoint()
     members = members.drop("sig")
 
     # np: size and place in one number
@@ -364,7 +368,7 @@ def _compared(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFra
     # w: the part of a class's prefix that others share; near 1 in the middle of a group of near copies
     length = F.col("n_shingles") - F.ceil(F.lit(percent / 100) * F.col("n_shingles")) + 1
     shared = shared.select("h", "cls", "np", (F.count(F.lit(1)).over(Window.partitionBy("cls")) / length).cast("float").alias("w")).checkpoint()
-    return members, shared, Verifier(rows, members, sigs, k, percent)
+    return members, shared, Verifier(rows, sigs, k, percent)
 
 
 def fits(x: str, y: str, percent: int):
@@ -439,10 +443,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         if pairs.isEmpty():
             break
         tried = pairs if tried is None else tried.unionByName(pairs)
-        links = verifier.links(pairs)
-        if links.isEmpty():
+        before, labels = labels, _merge(labels, verifier.links(pairs))
+        if labels is before:
             break
-        labels = _merge(labels, links)
     # what is left: every unverified pair between two components
     rest = sharing(shared.join(labels, "cls"), percent, "comp")
     labels = _merge(labels, verifier.links(rest if tried is None else untried(rest, tried)))
@@ -461,14 +464,14 @@ def untried(pairs: DataFrame, tried: DataFrame) -> DataFrame:
 
 
 def _merge(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """Labels after joining the components that ``links`` (a, b) connect."""
+    """Labels after joining the components that ``links`` (a, b) connect; the same ones without links."""
     if links.isEmpty():
         return labels
     of = lambda c: labels.select(F.col("cls").alias(c), F.col("comp").alias(f"_{c}"))
     between = links.join(of("a"), "a").join(of("b"), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b")).where("a <> b").distinct()
     nodes = labels.select("comp").distinct().select(F.col("comp").alias("cls"), "comp")
     joined = components(nodes, between).select(F.col("cls").alias("_old"), F.col("comp").alias("_new"))
-    return labels.join(joined, F.col("comp") == F.col("_old")).select("cls", F.col("_new").alias("comp")).checkpoint()
+    return stored(labels.join(joined, F.col("comp") == F.col("_old")).select("cls", F.col("_new").alias("comp")), "labels")
 
 
 def keep_smallest(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
