@@ -12,6 +12,16 @@ from ..streaming import jobs as J
 from .registry import query
 
 
+# A crawl's pages come in so many files at most, however many seasons it has: with a file a
+# page the micro-batches, which cost seconds each, grew with the leagues.
+PAGE_FILES, LATE_FILES = 64, 8
+
+
+def arrive(pages, path, files):
+    """Pages (league, season, html) added to an arrival folder; a season's pages lie in one file."""
+    pages.select("league", "season", "html").repartition(files, "league", "season").write.mode("append").json(path)
+
+
 @query("stream_leaderboard")
 def q_stream_leaderboard(t):
     """Events arrive one day per file (a week per micro-batch); the running
@@ -26,19 +36,19 @@ def q_stream_leaderboard(t):
 
 @query("stream_standings")
 def q_stream_standings(t):
-    """Standings pages arrive one file each, then an unparsable page per league for
-    its latest season; stored snapshots are replaced per season, the bad pages
+    """Standings pages arrive in up to ``PAGE_FILES`` files, then an unparsable page per league
+    for its latest season; stored snapshots are replaced per season, the bad pages
     leave them untouched."""
     spark = t.spark
     src, store, ckpt = (scratch_path(spark, n) for n in ("pages-in", "standings-store", "standings-ckpt"))
     snap = standings_snapshot(t.matches())
     pages = standings_pages(snap).where(F.col("season") != "notice")
-    pages.repartition("league", "season").write.partitionBy("league", "season").json(src)
+    arrive(pages, src, PAGE_FILES)
     latest = snap.groupBy("league").agg(F.max("season").alias("season"))
     broken = latest.select("league", "season", F.lit("<html><body><p>maintenance</p></body></html>").alias("html"))
     J.stream_standings(spark, src, store, ckpt, files_per_trigger=10).awaitTermination()
     # the late, unparsable pages arrive after that; the restarted stream goes on from the same checkpoint
-    broken.write.mode("append").partitionBy("league", "season").json(src)
+    arrive(broken, src, LATE_FILES)
     J.stream_standings(spark, src, store, ckpt).awaitTermination()
     return spark.read.schema("team string, played bigint, wins bigint, draws bigint, losses bigint, "
                              "goals_for bigint, goals_against bigint, points bigint, ordinal bigint, "
