@@ -4,12 +4,9 @@ Linked documents (equal texts) should share a shard, while the shards' document
 stay at most one apart (law ``rows``). Documents of one group are interchangeable, so
 the state is a table of cells (group, shard, n), never a list of links.
 
-* Start: the driver packs the group sizes (a number per distinct size, at most the root of
-  twice the documents) whole into the quotas, largest first into the emptiest shard; groups
-  that don't fit get room by exchanges between two shards. What still doesn't fit is split,
-  and each cut fills a shard, so there are fewer needless cuts than shards.
-* Round, if a group is split that its size doesn't force: its neighbours vote (a join with
-  the group's fullest shard that has room); cells elsewhere want to move there. Between two
+* Start: documents take shards by the hash of their id, in proportion to the shards' room;
+  only groups that no shard holds fill whole shards at once, one after the other.
+* Round: a split group's documents vote (a join with the group's fullest shard that has room); cells elsewhere want to move there. Between two
   shards as many documents may move one way as the other way, and into a shard as many more
   as it has room. Moves are admitted up to these 40 x 40 quotas by running sums, a cell at
   the border in part.
@@ -17,6 +14,12 @@ the state is a table of cells (group, shard, n), never a list of links.
 * Rounds end when no vote is left, or ``PATIENCE`` of them in turn leave no fewer cells; the
   cells of the best round count. Documents without links have no vote; they fill the shards
   up to their quotas.
+* Repair, only where rounds leave a group split that its size doesn't force (tables of hardly
+  anything but copies, whose shards have no room): the driver packs the group sizes (a number
+  per distinct size, at most the root of twice the documents) whole into the quotas, largest
+  first into the emptiest shard; groups that don't fit get room by exchanges between two
+  shards. What still doesn't fit is split, and each cut fills a shard, so there are fewer
+  needless cuts than shards; rounds go on from there. The cells count if they are fewer.
 
 Numbers over many rows (a group, a shard, the whole table) are given in two levels,
 totals per hash bucket and then places within a bucket, so no window holds a hot group.
@@ -291,6 +294,46 @@ def propagate(cells: DataFrame, quota: list[int]) -> DataFrame:
     return kept
 
 
+def started(members: DataFrame, sizes: dict[int, int], quota: list[int]) -> DataFrame:
+    """Cells (_key, shard, n) to start from, of the linked documents (doc_id, _key, and _g, the size of their group)."""
+    large = max(quota, default=0)
+    over = sum(s * n for s, n in sizes.items() if s > large)
+    room, left = [], over
+    for q in quota:  # groups that no shard holds lie one after the other
+        room.append(q - min(q, left))
+        left -= min(q, left)
+    rest, total, upto = sum(s * n for s, n in sizes.items()) - over, sum(room), 0
+    dealt = []
+    for r in room:
+        dealt.append((upto + r) * rest // max(total, 1) - upto * rest // max(total, 1))
+        upto += r
+    docs = members.withColumn("_large", F.col("_g") > large)
+    whole = numbered(docs.where("_large"), ["_large"], ["_key"], "_i").withColumn("shard", by_bounds(F.col("_i"), quota).cast("int"))
+    others = numbered(docs.where("NOT _large"), ["_large"], ["doc_id"], "_i").withColumn("shard", by_bounds(F.col("_i"), dealt).cast("int"))
+    both = whole.select("_key", "shard").unionByName(others.select("_key", "shard"))
+    return both.groupBy("_key", "shard").agg(F.count(F.lit(1)).alias("n")).checkpoint()
+
+
+def repaired(cells: DataFrame, left: int, linked_keys: DataFrame, sizes: dict[int, int], quota: list[int], needed: int) -> DataFrame:
+    """The cells of a packing of all groups, propagated on, if they are fewer than the ``left`` of ``cells``."""
+    plan = packed(sizes, quota)
+    count = sum(n * len(parts) for ps in plan.values() for n, parts in ps)
+    if count >= left:
+        return cells
+    upto = []  # group number i of its size takes the first place whose bound is above i
+    for size, places in plan.items():
+        bound, ends = 0, []
+        for n, parts in places:
+            bound += n
+            ends.append((bound, parts))
+        upto.append((size, ends))
+    places = cells.sparkSession.createDataFrame(upto, "_size bigint, _ends array<struct<upto:bigint,parts:array<struct<shard:int,n:bigint>>>>")
+    place = F.filter("_ends", lambda e: e.upto > F.col("_at"))[0].parts
+    cells = (numbered(linked_keys, ["_g"], ["_key"], "_at").join(F.broadcast(places), F.col("_g") == F.col("_size"))
+             .select("_key", F.explode(place).alias("c")).select("_key", "c.*").checkpoint())
+    return propagate(cells, quota) if count > needed else cells
+
+
 def shard(docs: DataFrame, shards: int = 40) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard, one row per input row.
 
@@ -309,26 +352,15 @@ def shard(docs: DataFrame, shards: int = 40) -> DataFrame:
     total = rows.count()
     quota = quotas(total, shards)
     sizes = {r["_g"]: r["n"] for r in linked_keys.groupBy("_g").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a distinct size
-    plan = packed(sizes, quota)
-    upto = []  # group number i of its size takes the first place whose bound is above i
-    for size, places in plan.items():
-        bound, ends = 0, []
-        for n, parts in places:
-            bound += n
-            ends.append((bound, parts))
-        upto.append((size, ends))
-    places = docs.sparkSession.createDataFrame(upto, "_size bigint, _ends array<struct<upto:bigint,parts:array<struct<shard:int,n:bigint>>>>")
-    place = F.filter("_ends", lambda e: e.upto > F.col("_at"))[0].parts
-    cells = (numbered(linked_keys, ["_g"], ["_key"], "_at").join(F.broadcast(places), F.col("_g") == F.col("_size"))
-             .select("_key", F.explode(place).alias("c")).select("_key", "c.*").checkpoint())
+    members = rows.join(groups.where("_g > 1"), "_key")
+    cells = propagate(started(members, sizes, quota), quota)
     needed = sum(n * -(-size // max(quota)) for size, n in sizes.items())
-    if sum(n * len(parts) for ps in plan.values() for n, parts in ps) > needed:
-        cells = propagate(cells, quota)
+    if (left := cells.count()) > needed:
+        cells = repaired(cells, left, linked_keys, sizes, quota, needed)
     # a group's documents take its cells by their number in the group
     ranges = cells.withColumn("_from", F.coalesce(F.sum("n").over(Window.partitionBy("_key").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     ranges = ranges.select(F.col("_key").alias("_ckey"), "shard", "_from", (F.col("_from") + F.col("n")).alias("_to"))
-    members = rows.join(linked_keys.select("_key"), "_key", "left_semi")
-    linked = (numbered(members, ["_key"], ["doc_id"], "_i").join(
+    linked = (numbered(members.drop("_g"), ["_key"], ["doc_id"], "_i").join(
         ranges, (F.col("_key") == F.col("_ckey")) & (F.col("_i") >= F.col("_from")) & (F.col("_i") < F.col("_to"))).select(*rows.columns, "shard"))
     used = {r["shard"]: r["n"] for r in cells.groupBy("shard").agg(F.sum("n").alias("n")).collect()}
     free = [q - used.get(s, 0) for s, q in enumerate(quota)]

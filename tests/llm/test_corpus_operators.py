@@ -174,6 +174,15 @@ def test_sharding_cuts_only_what_quotas_force(spark):
     assert check_shards(frame(spark, fours), 40) == 0
 
 
+def test_sharding_comes_from_propagation(spark, monkeypatch):
+    # a third are copies: votes and moves bring the groups together, nothing is packed
+    rows = [(i, f"text {i % 60 if i % 3 == 0 else i}") for i in range(600)]
+    moved, admitted = [], sharding.admitted
+    monkeypatch.setattr(sharding, "admitted", lambda *a: (x := admitted(*a), moved.append(sum(x.values())))[0])
+    monkeypatch.setattr(sharding, "packed", lambda *a: pytest.fail("packed"))
+    assert check_shards(frame(spark, rows), 7) == 0 and sum(moved) > 0
+
+
 def test_sharding_places():
     for sizes, shards in (({3: 50, 2: 7}, 5), ({90: 3, 7: 4, 2: 1}, 8), ({5: 13, 3: 1, 2: 40}, 40)):
         quota = sharding.quotas(sum(s * c for s, c in sizes.items()), shards)
