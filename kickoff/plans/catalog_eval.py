@@ -77,8 +77,9 @@ def q_perf_season(t):
 @query("perf_by_strength")
 def q_perf_strength(t):
     """Goal MAE and accuracy by league-position gap band (positions as of kick-off)."""
-    p = t.predictions().join(league_position(t.matches()), MATCH_KEY)
-    return EV.perf_by_strength(p)
+    # scored where the positions are found, by (league, season): nothing is joined on the match key
+    placed = league_position(t.matches(), ("season_year", "home_goals", "away_goals", "result"))
+    return EV.perf_by_strength(t.predictions(placed.dropna(subset=MATCH_KEY)))
 
 
 @query("perf_by_weekend")

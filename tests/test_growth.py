@@ -80,3 +80,19 @@ def test_page_files_do_not_grow_with_the_leagues(spark, tmp_path):
     pages = spark.range(700).select(F.col("id").alias("league"), F.lit("2020-2021").alias("season"), F.lit("<p>").alias("html"))
     arrive(pages, str(tmp_path / "in"), PAGE_FILES)
     assert len(list((tmp_path / "in").glob("part-*"))) <= PAGE_FILES and spark.read.json(str(tmp_path / "in")).count() == 700
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_strength_scores_where_positions_are(spark, tables):
+    from kickoff.operators import evaluate as EV
+    from kickoff.operators.features import league_position
+    from kickoff.operators.history import MATCH_KEY
+    from kickoff.plans.catalog_eval import q_perf_strength
+    got = q_perf_strength(tables)
+    assert "Join" not in plan_of(got)
+    joined = EV.perf_by_strength(tables.predictions().join(league_position(tables.matches()), MATCH_KEY))
+    of = lambda df: sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in df.collect())
+    assert of(got) == of(joined)
