@@ -96,3 +96,15 @@ def test_strength_scores_where_positions_are(spark, tables):
     joined = EV.perf_by_strength(tables.predictions().join(league_position(tables.matches()), MATCH_KEY))
     of = lambda df: sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in df.collect())
     assert of(got) == of(joined)
+
+
+def test_lookup_meets_a_pair_once(spark):
+    from kickoff.operators.requests import PRED_FIELDS, lookup_prediction
+    preds = spark.createDataFrame([("s", d, h, "B", "1", "0", "1", i) for i, (d, h) in enumerate(
+        [("2020-01-02", "A"), ("", " a "), ("2020-01-01", "A"), ("2020-01-01", "C"), ("2020-01-01", "C")])], ", ".join(f"{c} string" for c in PRED_FIELDS) + ", ordinal int")
+    asked = [(1, "A", "2020-01-02", "2020-01-02"), (2, "A", "2020-01-01", ""), (3, "a", None, "2020-01-02"), (4, "C", "2020-01-01", "2020-01-01"),
+             (5, "C", "2020-01-09", None), (6, "c", " ", "2020-01-01"), (7, None, None, None), (8, "A", "2020-01-09", "")]
+    requests = spark.createDataFrame([(i, h, "b", d) for i, h, d, _ in asked], "id int, req_home string, req_away string, req_date string")
+    got = lookup_prediction(requests, preds)
+    assert {r["id"]: r["pred_date"] for r in got.collect()} == {i: found for i, _, _, found in asked}
+    assert plan_of(got).count("Join ") == 2  # three, and the requests read twice, before
