@@ -59,10 +59,11 @@ def q_stream_standings(t):
 def q_stream_elo(t):
     """Matches arrive season by season, oldest first, each in several files; ratings kept as stream state."""
     spark = t.spark
+    files = max(4, int(spark.conf.get("spark.sql.shuffle.partitions")))  # all cores write and read a season
     src, sink, ckpt = (scratch_path(spark, n) for n in ("matches-in", "elo", "elo-ckpt"))
     m = t.matches()
     seasons = [r[0] for r in m.select("season_year").distinct().orderBy("season_year").collect()]
     for s in seasons:  # one arrival per season, in season order; the stream resumes from its checkpoint
-        m.where(F.col("season_year") == s).repartition(4).write.mode("append").parquet(src)
+        m.where(F.col("season_year") == s).repartition(files).write.mode("append").parquet(src)
         J.stream_elo(spark, src, sink, ckpt).awaitTermination()
     return spark.read.parquet(sink)

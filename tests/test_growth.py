@@ -108,3 +108,15 @@ def test_lookup_meets_a_pair_once(spark):
     got = lookup_prediction(requests, preds)
     assert {r["id"]: r["pred_date"] for r in got.collect()} == {i: found for i, _, _, found in asked}
     assert plan_of(got).count("Join ") == 2  # three, and the requests read twice, before
+
+
+def test_elo_arrivals_are_written_by_all_tasks(spark, tables, monkeypatch):
+    import os
+    from kickoff.plans import catalog_stream as CS
+    paths = []
+    made = CS.scratch_path
+    monkeypatch.setattr(CS, "scratch_path", lambda s, name: (paths.append(made(s, name)), paths[-1])[1])
+    n = CS.q_stream_elo(tables).count()
+    files = sum(f.endswith(".parquet") for f in os.listdir(paths[0]))
+    seasons = tables.matches().select("season_year").distinct().count()
+    assert n == tables.matches().count() and files > 4 * seasons  # 4 a season before
