@@ -371,14 +371,18 @@ def _compared(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFra
     return members, shared, Verifier(rows, sigs, k, percent)
 
 
-def fits(x: str, y: str, percent: int):
-    """Length and positional filter of two entries of one shingle."""
+def fits(x: str, y: str, percent: int, first: bool = False):
+    """Length and positional filter of two entries of one shingle; of their sets' ``first`` common one, if asked.
+
+    Nothing is shared before the first common shingle, so only what is left behind both places
+    counts. Similar sets pass there, and it lies in both prefixes.
+    """
     size = lambda c: F.shiftright(c, 32)
     place = lambda c: F.col(c).bitwiseAND(0xFFFFFFFF)
     n, m = size(x), size(y)
     least = F.ceil(F.lit(percent) * (n + m) / (100 + percent))
-    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (
-        F.least(place(x), place(y)) + F.least(n - place(x), m - place(y)) >= least)
+    before = F.lit(0) if first else F.least(place(x), place(y))
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (before + F.least(n - place(x), m - place(y)) >= least)
 
 
 def sharing(entries: DataFrame, percent: int, between: str | None = None) -> DataFrame:
@@ -393,7 +397,7 @@ def sharing(entries: DataFrame, percent: int, between: str | None = None) -> Dat
     left = dealt.withColumn("_s", F.pmod(F.xxhash64("cls"), "_n").cast("int")).select("_s", "h", *[F.col(c).alias(f"{c}_a") for c in own[1:]])
     right = dealt.withColumn("_s", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).select("_s", "h", *[F.col(c).alias(f"{c}_b") for c in own[1:]])
     apart = F.col(f"{between}_a") != F.col(f"{between}_b") if between else F.lit(True)
-    met = left.join(right, ["h", "_s"]).where((F.col("cls_a") < F.col("cls_b")) & apart & fits("np_a", "np_b", percent))
+    met = left.join(right, ["h", "_s"]).where((F.col("cls_a") < F.col("cls_b")) & apart & fits("np_a", "np_b", percent, first=True))
     return met.select(F.col("cls_a").alias("center"), F.col("cls_b").alias("member")).distinct()
 
 

@@ -92,6 +92,23 @@ def test_components_of_a_chain(spark):
     assert {r.comp for r in jaccard_join.components(nodes, links).collect()} == {0}
 
 
+def test_candidates_of_a_group_of_near_copies(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "LOCAL_COUNT", 2)
+    rng = random.Random(6)
+    base, rows = words(150, 9, 3000), []
+    for i in range(80):  # too far from each other, yet with shared shingles in their prefixes
+        copy = list(base)
+        for at in rng.sample(range(4, 150, 5), 5):
+            copy[at] = f"new{rng.random()}"
+        rows.append((i, " ".join(copy)))
+    docs = frame(spark, rows).coalesce(1)
+    _, shared, _ = jaccard_join._compared(docs, 5, 80)
+    loose = shared.alias("x").join(shared.alias("y"), "h").where(F.col("x.cls") < F.col("y.cls")).select("x.cls", "y.cls").distinct().count()
+    near = sum(100 * len(set_of(s) & set_of(t)) >= 80 * len(set_of(s) | set_of(t)) for i, (_, s) in enumerate(rows) for _, t in rows[:i])
+    assert near <= jaccard_join.sharing(shared, 80).count() <= near + 80 and loose > 1000
+    assert rows_of(jaccard_join.near_duplicates(docs), "doc_id", "n_shingles", "component_id") == brute_components(rows)
+
+
 @pytest.mark.parametrize("salted", [1024, 2])
 def test_jaccard_links_gives_every_pair(spark, monkeypatch, salted):
     monkeypatch.setattr(jaccard_join, "SALTED", salted)
