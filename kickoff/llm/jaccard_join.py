@@ -11,7 +11,8 @@ these prefixes seldom meet by chance.
 * Prefix entries (shingle, class, size, place) meet on the shingle. Those met by one
   class only are dropped at once.
 * Candidates pass the length filter, the positional filter (shared so far plus what is
-  left behind both places) and the suffix filter (sets cut into parts by hash range:
+  left behind both places; only the latter in the last round and in ``jaccard_links``, at
+  a pair's first common shingle) and the suffix filter (sets cut into parts by hash range:
   the overlap is at most the sum of the smaller part sizes), and are verified once per
   pair on both sets, at 64 bits a shingle. Only classes of pairs that passed the filters
   get a set, from one document each, found by a Bloom filter of those documents' ids.
