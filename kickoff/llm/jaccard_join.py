@@ -31,11 +31,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.joins import BROADCAST_MAX_ROWS, is_small
-from .common import BLANKS, byte_values, mix, rolling, shards_for, shared_folder, slices, stored, text_buffer, unused, words_of
+from ..session import scratch_path, scratch_scope
+from .common import (
+    BLANKS, ROWS_A_FILE, byte_values, mix, rolling, settled, shards_for, shared_folder, shuffles_removed, slices, stored, text_buffer, unused, words_of,
+)
 
 #: Most frequent shingles that are ordered by their count (16 bytes each).
 FREQUENT = 1 << 20
@@ -45,8 +49,8 @@ LOCAL_COUNT = 16
 PART = 4
 #: Rounds against pivots before all remaining pairs are compared.
 PIVOT_ROUNDS = 4
-#: Words of 64 bits of the Bloom filter of documents whose sets are read, and bits an id sets.
-BLOOM_WORDS, BLOOM_PROBES = 1 << 20, 4
+#: Most words of 64 bits of the Bloom filter of documents whose sets are read, bits of it for an id, and bits an id sets.
+BLOOM_WORDS, BLOOM_BITS, BLOOM_PROBES = 1 << 20, 32, 4
 #: Classes of a shingle that a task holds against all others of the shingle.
 SALTED = 1024
 
@@ -249,34 +253,35 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     piles up from step to step, and planning would take longer with each.
     """
     both = stored(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), "links")
-    labels = nodes
+    labels, n = settled(nodes.select("cls", "comp"), "labels")
     while True:
         seen = both.join(labels.select(F.col("cls").alias("b"), F.col("comp").alias("_c")), "b").groupBy("a").agg(F.min("_c").alias("_m"))
         spread = labels.join(seen.withColumnRenamed("a", "cls"), "cls", "left").select("cls", "comp", F.least("comp", F.coalesce("_m", "comp")).alias("_new"))
         # a label that fell takes its holders along: they ask the node that the old label names
         fell = spread.where("_new < comp").groupBy(F.col("comp").alias("_old")).agg(F.min("_new").alias("_to"))
-        moved = stored(spread.join(fell, F.col("_new") == F.col("_old"), "left").select("cls", F.col("comp").alias("_was"), F.least("_new", F.coalesce("_to", "_new")).alias("comp")), "labels")
+        moved = stored(spread.join(fell, F.col("_new") == F.col("_old"), "left").select("cls", F.col("comp").alias("_was"), F.least("_new", F.coalesce("_to", "_new")).alias("comp")).coalesce(1 + n // ROWS_A_FILE), "labels")
         labels = moved.select("cls", "comp")
         if moved.where("comp <> _was").isEmpty():
             return labels
 
 
-def bloom(ids: DataFrame) -> np.ndarray:
-    """A Bloom filter of (at most BLOOM_WORDS words) over the column ``doc_id``; more ids only let more others pass."""
-    bits = 64 * BLOOM_WORDS
+def bloom(ids: DataFrame, n: int) -> np.ndarray:
+    """A Bloom filter over the column ``doc_id`` of ``n`` rows, of at most BLOOM_WORDS words; more ids only let more others pass."""
+    length = min(BLOOM_WORDS, 1 + n * BLOOM_BITS // 64)
+    bits = 64 * length
     probes = [F.pmod(F.xxhash64(F.lit(i), F.coalesce("doc_id", F.lit(0))), F.lit(bits)) for i in range(BLOOM_PROBES)]
     set_bits = ids.select(F.explode(F.array(*probes)).alias("bit")).groupBy(F.shiftright("bit", 6).cast("int").alias("word")).agg(
         F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 AS int))")).alias("bits"))
     got = set_bits.toArrow()  # at most BLOOM_WORDS rows of 12 bytes
-    words = np.zeros(BLOOM_WORDS, np.int64)
+    words = np.zeros(length, np.int64)
     words[got["word"].to_numpy()] = got["bits"].to_numpy()
     return words
 
 
-def sets_of(rows: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """(cls, shingles): the sorted set of the class of each document of ``wanted`` (doc_id), and some more."""
-    sent = rows.sparkSession.sparkContext.broadcast(bloom(wanted))
-    probes = [F.pmod(F.xxhash64(F.lit(i), F.coalesce("doc_id", F.lit(0))), F.lit(64 * BLOOM_WORDS)).alias(f"p{i}") for i in range(BLOOM_PROBES)]
+def sets_of(rows: DataFrame, sent: Broadcast[np.ndarray], k: int) -> DataFrame:
+    """(cls, shingles): the sorted set of the class of each document that the filter ``sent`` lets pass."""
+    bits = 64 * len(sent.value)
+    probes = [F.pmod(F.xxhash64(F.lit(i), F.coalesce("doc_id", F.lit(0))), F.lit(bits)).alias(f"p{i}") for i in range(BLOOM_PROBES)]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = sent.value
@@ -349,10 +354,12 @@ class Verifier:
 
     def links(self, pairs: DataFrame) -> DataFrame:
         """The similar ones as (a, b), a < b, stored."""
-        pairs = possible(pairs, self.sigs, self.percent).checkpoint()
-        if not pairs.isEmpty():
+        pairs, n = settled(possible(pairs, self.sigs, self.percent), "possible")
+        if n:
             wanted = pairs.select(F.explode(F.array("d_center", "d_member")).alias("doc_id"))
-            pairs = similar(pairs, sets_of(self.rows, wanted, self.k), self.percent).checkpoint()
+            sent = self.rows.sparkSession.sparkContext.broadcast(bloom(wanted, 2 * n))
+            pairs, _ = settled(similar(pairs, sets_of(self.rows, sent, self.k), self.percent), "similar")
+            sent.destroy()  # else every executor keeps a copy on its disk
         return pairs.select(F.least("center", "member").alias("a"), F.greatest("center", "member").alias("b"))
 
 
@@ -412,8 +419,9 @@ def jaccard_links(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataF
     rows. A shingle that many classes share is dealt over tasks: one side by class, the
     other to each of them.
     """
-    members, shared, verifier = _compared(docs, k, percent)
-    return verifier.links(sharing(shared, percent)), members
+    with shuffles_removed(docs.sparkSession):
+        members, shared, verifier = _compared(docs, k, percent)
+        return verifier.links(sharing(shared, percent)), members
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -425,36 +433,37 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     copies of each other; no rows give no rows; other columns are ignored. Shingles are
     compared by hashes of 64 bits.
     """
-    members, shared, verifier = _compared(docs, k, percent)
-    classes = members.where("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
-    group = Window.partitionBy("h")
-    labels = shared.select("cls").distinct().select("cls", F.col("cls").alias("comp")).checkpoint()
-    tried = None
-    for turn in range(PIVOT_ROUNDS):
-        # the class that most of its prefix connects to others; other ones of these in later rounds
-        luck = 1 - F.pmod(F.xxhash64(F.lit(turn), "cls"), F.lit(1024)) / (2048 if turn else 1 << 20)
-        pivot = F.max(F.struct((F.col("w") * luck).alias("key"), F.col("cls").alias("pc"), F.col("np").alias("pnp"), "comp")).over(group)
-        marked = shared.join(labels, "cls") if turn else shared.withColumn("comp", F.col("cls"))
-        held = marked.withColumn("_p", pivot).withColumn("_low", F.min("comp").over(group)).withColumn("_top", F.max("comp").over(group)).where("_low < _top").select(
-            "h", "cls", "np", "w", "comp", "_p.pc", "_p.pnp", F.col("_p.comp").alias("pcomp"))
-        if turn:  # shingles within one component have no more to tell
-            held = held.checkpoint()
-            shared = held.select("h", "cls", "np", "w")
-        near = held.where((F.col("comp") != F.col("pcomp")) & fits("np", "pnp", percent)).groupBy("cls", "pc").agg(F.count(F.lit(1)).alias("_n"))
-        pairs = near.select(F.col("pc").alias("center"), F.col("cls").alias("member"), "_n")
-        if tried is not None:
-            pairs = untried(pairs, tried)
-        pairs = pairs.groupBy("member").agg(F.max_by("center", F.struct("_n", "center")).alias("center")).checkpoint()
-        if pairs.isEmpty():
-            break
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        before, labels = labels, _merge(labels, verifier.links(pairs))
-        if labels is before:
-            break
-    # what is left: every unverified pair between two components
-    rest = sharing(shared.join(labels, "cls"), percent, "comp")
-    labels = _merge(labels, verifier.links(rest if tried is None else untried(rest, tried)))
+    with shuffles_removed(docs.sparkSession):
+        members, shared, verifier = _compared(docs, k, percent)
+        group = Window.partitionBy("h")
+        labels = shared.select("cls").distinct().select("cls", F.col("cls").alias("comp")).checkpoint()
+        tried = None
+        for turn in range(PIVOT_ROUNDS):
+            # the class that most of its prefix connects to others; other ones of these in later rounds
+            luck = 1 - F.pmod(F.xxhash64(F.lit(turn), "cls"), F.lit(1024)) / (2048 if turn else 1 << 20)
+            pivot = F.max(F.struct((F.col("w") * luck).alias("key"), F.col("cls").alias("pc"), F.col("np").alias("pnp"), "comp")).over(group)
+            marked = shared.join(labels, "cls") if turn else shared.withColumn("comp", F.col("cls"))
+            held = marked.withColumn("_p", pivot).withColumn("_low", F.min("comp").over(group)).withColumn("_top", F.max("comp").over(group)).where("_low < _top").select(
+                "h", "cls", "np", "w", "comp", "_p.pc", "_p.pnp", F.col("_p.comp").alias("pcomp"))
+            if turn:  # shingles within one component have no more to tell
+                held = held.checkpoint()
+                shared = held.select("h", "cls", "np", "w")
+            near = held.where((F.col("comp") != F.col("pcomp")) & fits("np", "pnp", percent)).groupBy("cls", "pc").agg(F.count(F.lit(1)).alias("_n"))
+            pairs = near.select(F.col("pc").alias("center"), F.col("cls").alias("member"), "_n")
+            if tried is not None:
+                pairs = untried(pairs, tried)
+            pairs, n = settled(pairs.groupBy("member").agg(F.max_by("center", F.struct("_n", "center")).alias("center")), "pairs")
+            if not n:
+                break
+            tried = pairs if tried is None else tried.unionByName(pairs)
+            before, labels = labels, _merge(labels, verifier.links(pairs))
+            if labels is before:
+                break
+        # what is left: every unverified pair between two components
+        rest = sharing(shared.join(labels, "cls"), percent, "comp")
+        labels = _merge(labels, verifier.links(rest if tried is None else untried(rest, tried)))
 
+    classes = members.where("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
     smallest = classes.join(labels, "cls", "left").select("cls", "doc_id", F.coalesce("comp", "cls").alias("comp"))
     least = smallest.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     named = smallest.join(least, "comp").select("cls", "component_id")
@@ -473,10 +482,12 @@ def _merge(labels: DataFrame, links: DataFrame) -> DataFrame:
     if links.isEmpty():
         return labels
     of = lambda c: labels.select(F.col("cls").alias(c), F.col("comp").alias(f"_{c}"))
-    between = links.join(of("a"), "a").join(of("b"), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b")).where("a <> b").distinct()
-    nodes = labels.select("comp").distinct().select(F.col("comp").alias("cls"), "comp")
-    joined = components(nodes, between).select(F.col("cls").alias("_old"), F.col("comp").alias("_new"))
-    return stored(labels.join(joined, F.col("comp") == F.col("_old")).select("cls", F.col("_new").alias("comp")), "labels")
+    path = scratch_path(labels.sparkSession, "labels")
+    with scratch_scope():  # the steps' tables go with the merge
+        between, _ = settled(links.join(of("a"), "a").join(of("b"), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b")).where("a <> b").distinct(), "between")
+        nodes = between.select(F.col("a").alias("cls")).unionByName(between.select(F.col("b").alias("cls"))).distinct().select("cls", F.col("cls").alias("comp"))
+        joined = components(nodes, between).select(F.col("cls").alias("_old"), F.col("comp").alias("_new"))
+        return stored(labels.join(joined, F.col("comp") == F.col("_old"), "left").select("cls", F.coalesce("_new", "comp").alias("comp")), "labels", path)
 
 
 def keep_smallest(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:

@@ -4,6 +4,7 @@ import collections
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -13,6 +14,7 @@ from llm_cases import frame, odd_rows, rows_of, small_documents, with_clashes, w
 from pyspark.sql import functions as F
 
 from kickoff.llm import jaccard_join, quality_knn, quality_rules, sharding, toxicity
+from kickoff.llm.common import REMOVE_SHUFFLES, settled
 
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 
@@ -109,6 +111,29 @@ def test_candidates_of_a_group_of_near_copies(spark, monkeypatch):
     assert rows_of(jaccard_join.near_duplicates(docs), "doc_id", "n_shingles", "component_id") == brute_components(rows)
 
 
+def shuffle_files(spark):
+    env = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get()
+    files = spark.sparkContext._jvm.scala.jdk.javaapi.CollectionConverters.asJava(env.blockManager().diskBlockManager().getAllFiles())
+    return {f.getName() for f in files if f.getName().startswith("shuffle_") and f.getName().endswith(".data")}
+
+
+def test_shuffle_files_of_the_join_go_with_its_steps(spark):
+    before, setting = shuffle_files(spark), spark.conf.get(REMOVE_SHUFFLES, None)
+    out = jaccard_join.near_duplicates(frame(spark, near_copies()))
+    for _ in range(50):  # they go a little later
+        if not (left := shuffle_files(spark) - before):
+            break
+        time.sleep(0.2)
+    assert not left and spark.conf.get(REMOVE_SHUFFLES, None) == setting
+    assert rows_of(out, "doc_id", "n_shingles", "component_id") == rows_of(out, "doc_id", "n_shingles", "component_id") == brute_components(near_copies())
+
+
+def test_small_steps_of_the_join_stay_small(spark):
+    table, n = settled(spark.range(0, 1000, 1, 40).repartition(50), "few")
+    assert n == 1000 and len(table.inputFiles()) == 1 and table.agg(F.sum("id")).first()[0] == 499500
+    assert len(jaccard_join.bloom(spark.range(100).withColumnRenamed("id", "doc_id"), 100)) <= 100
+
+
 @pytest.mark.parametrize("salted", [1024, 2])
 def test_jaccard_links_gives_every_pair(spark, monkeypatch, salted):
     monkeypatch.setattr(jaccard_join, "SALTED", salted)
