@@ -39,19 +39,31 @@ COMMENT_RE = r"(?s)<!--(.*?)-->"
 ENTITY_RE = r"&(?:#[xX][0-9a-fA-F]{1,6}|#[0-9]{1,7}|[a-zA-Z][a-zA-Z0-9]{1,31});"
 
 
+def texts_of(cells: Column) -> Column:
+    """An array of cells' texts: tags removed, entities decoded, surrounding whitespace stripped.
+
+    A pass for each step: where a step reads its input twice, that is a finished text, not
+    a regular expression to be evaluated again.
+    """
+    plain = F.transform(cells, lambda c: F.regexp_replace(c, r"(?s)<[^>]*>", ""))
+    decoded = F.transform(plain, lambda t: F.when(t.contains("&"), unescape(t)).otherwise(t))
+    return F.transform(decoded, S.strip_ws)
+
+
 def text_of(html: Column) -> Column:
-    """Cell text: tags removed, entities decoded, surrounding whitespace stripped."""
-    t = F.regexp_replace(html, r"(?s)<[^>]*>", "")
-    return S.strip_ws(F.when(t.contains("&"), unescape(t)).otherwise(t))
+    """The text of one cell (see ``texts_of``)."""
+    return F.get(texts_of(F.array(html)), F.lit(0))
 
 
 def _entity(e: Column) -> Column:
     """The character of one entity (with & and ;), itself if it names none."""
     names = F.create_map(*[F.lit(x) for n, c in sorted(name2codepoint.items()) for x in (f"&{n};", chr(c))])
     number = F.when(F.lower(e).startswith("&#x"), F.conv(F.regexp_extract(e, "([0-9a-fA-F]+);", 1), 16, 10)).otherwise(F.regexp_extract(e, "#([0-9]+);", 1)).try_cast("bigint")
-    bad = (number <= 0) | (number > 0x10FFFF) | ((number >= 0xD800) & (number <= 0xDFFF))
-    char = F.when(bad, F.lit("\ufffd")).otherwise(F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32"))
-    return F.when(e.startswith("&#"), char).otherwise(F.coalesce(names[e], e))
+
+    def char(n):
+        bad = (n <= 0) | (n > 0x10FFFF) | ((n >= 0xD800) & (n <= 0xDFFF))
+        return F.when(bad, F.lit("\ufffd")).otherwise(F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32"))
+    return F.when(e.startswith("&#"), S.once(number, char)).otherwise(F.coalesce(names[e], e))
 
 
 def unescape(t: Column) -> Column:
@@ -136,23 +148,18 @@ def extract_fixtures(pages: DataFrame) -> DataFrame:
         i = F.coalesce(F.col(f"_m_{k}"), F.lit(defaults[k]))
         return F.when(i < F.size(c), F.element_at(c, (i + 1).cast("int")))
 
-    def txt(c, k):
-        return F.coalesce(text_of(cell(c, k)), F.lit(""))
-
     def team(c, k):
         x = cell(c, k)
-        link = F.regexp_extract(x, r"(?is)<a\b[^>]*>(.*?)</a>", 1)
-        return F.when(x.isNull(), F.lit("")).when(x.rlike(r"(?is)<a\b"), text_of(link)).otherwise(text_of(x))
+        return F.when(x.rlike(r"(?is)<a\b"), F.regexp_extract(x, r"(?is)<a\b[^>]*>(.*?)</a>", 1)).otherwise(x)
 
-    # Parse every body row of the page inside one array pass and filter there:
+    # Parse every body row of the page in array passes and filter there:
     # each row's cells are extracted once, and no row predicate is pushed below
     # (and re-evaluated before) the parsing.
     cells = F.filter(F.transform(F.slice("_rows", 2, 1 << 30), lambda r: _cells(r)),
                      lambda c: F.size(c) >= F.col("_need"))
-    parsed = F.transform(cells, lambda c: F.struct(
-        txt(c, "date").alias("date_text"), txt(c, "time").alias("time"), team(c, "home").alias("home_team"),
-        team(c, "away").alias("away_team"), txt(c, "score").alias("score"), txt(c, "venue").alias("venue"),
-        txt(c, "attendance").alias("attendance")))
+    fields = {"date": "date_text", "time": "time", "home": "home_team", "away": "away_team", "score": "score", "venue": "venue", "attendance": "attendance"}
+    texts = F.transform(cells, lambda c: texts_of(F.array(*[team(c, k) if k in ("home", "away") else cell(c, k) for k in fields])))
+    parsed = F.transform(texts, lambda t: F.struct(*[F.coalesce(F.get(t, F.lit(i)), F.lit("")).alias(name) for i, name in enumerate(fields.values())]))
     p = p.withColumn("_parsed", parsed)
 
     def keep(x):
@@ -263,8 +270,9 @@ def fixtures_pages(matches: DataFrame) -> DataFrame:
               + "</tr>")
     rows = matches.select("league", "season_year",
                           F.struct("match_date", "home_team", "away_team").alias("k"), row.alias("r"))
-    pages = rows.groupBy("league", "season_year").agg(F.array_sort(F.collect_list(F.struct("k", "r"))).alias("rs"))
-    body = F.transform("rs", lambda x: x.r)
+    # rows go to their page one by one: collected where they lie, half-built pages would be shuffled
+    pages = rows.repartition("league", "season_year").groupBy("league", "season_year").agg(F.sort_array(F.collect_list(F.struct("k", "r"))).alias("rs"))
+    body = F.col("rs.r")
     body = F.array_insert(body, F.least(F.size(body) + 1, F.lit(11)), F.lit(header))
     body = F.concat(body, F.array(F.lit("<tr><td>01/01/2000</td><td>20:00</td></tr>")))
     html = F.concat(F.lit('<html><body><table data-id="sched_old"><tr><td>none</td></tr></table><div class="note">Fixtures</div><table id="sched_all" class="stats_table">'

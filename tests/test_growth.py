@@ -120,3 +120,28 @@ def test_elo_arrivals_are_written_by_all_tasks(spark, tables, monkeypatch):
     files = sum(f.endswith(".parquet") for f in os.listdir(paths[0]))
     seasons = tables.matches().select("season_year").distinct().count()
     assert n == tables.matches().count() and files > 4 * seasons  # 4 a season before
+
+
+def test_a_cells_text_is_found_once(spark):
+    from kickoff.sources import html as HT
+    named = matches(spark).withColumns({c: F.concat(F.lit("FC "), c) for c in ("home_team", "away_team")})
+    made = HT.fixtures_pages(named)
+    assert "partial_collect_list" not in made._jdf.queryExecution().executedPlan().toString().split("Exchange")[-1]  # pages are built where their rows were dealt to
+    pages = spark.createDataFrame(made.select("league", "season_year", "html").collect())
+    plan = plan_of(HT.extract_fixtures(pages))
+    assert plan.count("(?s)<[^>]*>") <= 6  # five of them for a page; 42 before
+    got = {(r.league, r.date, r.home_team, r.away_team, r.home_goals, r.away_goals) for r in HT.extract_fixtures(pages).collect()}
+    assert got == {(r.league, str(r.match_date), r.home_team, r.away_team, int(r.home_goals), int(r.away_goals)) for r in named.collect()}
+
+
+def test_date_texts_as_by_every_format(spark):
+    from kickoff.functions import constants as C
+    from kickoff.functions import scalars as S
+    texts = ["2020-01-31", " 31/1/2020 ", "5 Ene 2021", "mar 4, 2020", "4 diciembre 2020", "May 4, 2020", "june 4, 2020", "31-01-2020", "2020/01/31", "1/2 2020", "a-b/c d", "x", "", " ", None, "-5/3/1", "2020-02-30"]
+    x = F.lower(S.strip_ws("t"))
+    for es, en in C.SPANISH_MONTHS:
+        x = F.replace(x, F.lit(es), F.lit(en))
+    plain = F.coalesce(F.date_format(F.coalesce(*[F.try_to_timestamp(x, F.lit(f)) for f in C.DATE_TEXT_FORMATS]), "yyyy-MM-dd"), x)
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for r in df.select("t", S.parse_date_text("t").alias("got"), plain.alias("want")).collect():
+        assert r.got == (r.want if r.t else "")
