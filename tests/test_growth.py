@@ -145,3 +145,22 @@ def test_date_texts_as_by_every_format(spark):
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     for r in df.select("t", S.parse_date_text("t").alias("got"), plain.alias("want")).collect():
         assert r.got == (r.want if r.t else "")
+
+
+def test_momentum_looks_back_only_as_far_as_it_counts(spark):
+    import re
+    plan = plan_of(FE.momentum_features(matches(spark)).select("home_momentum"))
+    assert len(set(re.findall(r"lag\(g#\d+L?, (-?\d+)", plan))) == FE.C.MOMENTUM_SPAN  # 15 before
+    assert "POWER" not in plan.upper()  # a power and all newer entries for each of the 8 before
+
+
+def test_generated_methods_stay_small_enough_to_be_compiled(spark):
+    from kickoff.session import HUGE_METHOD, configure
+    name, limit = HUGE_METHOD
+    assert spark.conf.get(name) == limit
+    spark.conf.set(name, "20000")
+    configure(spark)
+    assert spark.conf.get(name) == "20000"  # somebody's own choice stays
+    spark.conf.set(name, "65535")
+    configure(spark)
+    assert spark.conf.get(name) == limit
